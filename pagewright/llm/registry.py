@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pagewright.llm.op4_quality import op4_quality
 from pagewright.llm.op8_token_store import op8_token_store
+from pagewright.llm.op10_flac import op10_flac
 
 QUERIES = {
+    "op4_quality": op4_quality,
     "op8_token_store": op8_token_store,
+    "op10_flac": op10_flac,
 }
 ORACLES: dict[str, str] = {}
