@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pagewright.llm.op1_decontaminate import op1_decontaminate
+from pagewright.llm.op2_minhash import op2_minhash
 from pagewright.llm.op4_quality import op4_quality
 from pagewright.llm.op8_token_store import op8_token_store
 from pagewright.llm.op10_flac import op10_flac
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_minhash": op2_minhash,
     "op4_quality": op4_quality,
     "op8_token_store": op8_token_store,
     "op10_flac": op10_flac,
