@@ -41,20 +41,31 @@ from pagewright.session import materialize, scratch_path, table
 
 END_ID = 2
 BUCKET_KEYS = 50_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 
 # ---------------------------------------------------------------- encoding
 
-#: White space beside white space, or at an end of the text.
-_RUNS = re.compile(r"[\s᠎]{2}|^[\s᠎]|[\s᠎]\Z")
+#: White space other than space and line feed.
+_ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _plain(t: str) -> bool:
+    """Every white space is one space or one line feed between two other characters."""
+    return not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n" or _ODD.search(t))
+
+
 _CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
 
 
+#: What may follow a word; between a letter and one of these every text is cut.
+_TAIL = ".,;:!?*#$%&|)]}\"-"
+
+
 class WordCoder:
     """Encodes whole texts with a byte-level BPE tokenizer whose pre-tokenizer never joins a word with what follows it.
 
-    Such a tokenizer cuts a text before each space that stands between two other characters, and around a line end that
-    does; so the ids of a text are those of its pieces, and each different piece is encoded once while the cache lasts.
+    Such a tokenizer cuts a text before each space that stands between two other characters, around a line end that does, and
+    between a letter and punctuation; so the ids of a text are those of its pieces, and each different piece is encoded once while the cache lasts.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -64,60 +75,73 @@ class WordCoder:
         self.tok.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.line = self._raw("\n")
-        self.cache: dict[str, bytes] = {}
+        #: Ids of pieces that begin a line or text, and of words behind a space (without it).
+        self.first: dict[str, bytes] = {}
+        self.next: dict[str, bytes] = {}
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Their concatenation is the text."""
-        if not text:
-            return []
-        if _RUNS.search(text):
-            parts = _CUT.split(text)
-            return [parts[0], *[f" {p}" for p in parts[1:]]]
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            head, *rest = line.split(" ")
-            out.append(head)
-            out += [f" {p}" for p in rest]
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-        one = self.line
-        plain = [p for p in new if len(one) == self.dtype.itemsize and not re.search(r"[\s᠎]", p[1:]) and p != " " and (p[0] == " " or not p[0].isspace())]
-        # Pieces in one call, a line end between them: its id marks where each piece's ids end.
-        sep = np.frombuffer(one, self.dtype)[0] if plain else 0
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tok.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            at = np.flatnonzero(ids == sep)
-            if len(at) != len(part) - 1:
-                for p in part:
-                    self.cache[p] = self._raw(p)
+    def lines(text: str) -> list[list[str]]:
+        """Pieces: those of a list had one space between them, the lists one line end."""
+        return [x.split(" ") for x in text.split("\n")] if _plain(text) else [_CUT.split(text)]
+
+    def _bulk(self, texts: list[str]) -> list[bytes]:
+        """Encodes pieces in few calls, a line end between them: its id marks where each piece's ids end."""
+        out: dict[int, bytes] = {}
+        plain, w = [], self.dtype.itemsize
+        for i, p in enumerate(texts):
+            q = p[1:] if p[0] == " " else p
+            if q and "\n" not in q and not q[0].isspace() and not q[-1].isspace():
+                plain.append(i)
+            else:
+                out[i] = self._raw(p)
+        sep = int(np.frombuffer(self.line, self.dtype)[0])
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(self.tok.encode_batch_fast(["\n".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(ids == sep)
+            if len(self.line) != w or len(cut) != len(part) - 1:
+                out |= {i: self._raw(texts[i]) for i in part}
                 continue
-            raw, w = ids.tobytes(), self.dtype.itemsize
-            for p, a, z in zip(part, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True):
-                self.cache[p] = raw[a * w : z * w]
-        for p in new:
-            if p not in self.cache:
-                self.cache[p] = self._raw(p)
+            raw = ids.tobytes()
+            for i, a, z in zip(part, [0, *((cut + 1) * w).tolist()], [*(cut * w).tolist(), len(raw)], strict=True):
+                out[i] = raw[a:z]
+        return [out[i] for i in range(len(texts))]
+
+    def _learn(self, heads: set[str], words: set[str]) -> None:
+        split = []
+        for p in words:
+            core = p.rstrip(_TAIL)
+            if core and len(core) < len(p) and core[-1].isalpha():
+                split.append((p, core, p[len(core) :]))
+        whole = words.difference(x[0] for x in split)
+        whole.update(x[1] for x in split if x[1] not in self.next)
+        heads = heads.union(x[2] for x in split).difference(self.first)
+        ordered, leads = list(whole), list(heads)
+        got = self._bulk([*(f" {p}" for p in ordered), *leads])
+        self.next.update(zip(ordered, got, strict=False))
+        self.first.update(zip(leads, got[len(ordered) :], strict=True))
+        for p, core, tail in split:
+            self.next[p] = self.next[core] + self.first[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
-        known = self.cache
-        new = list({p: None for ps in split for p in ps if p not in known})
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                new = list({p: None for ps in split for p in ps})
-            self._learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, ps)) for ps in split]
+        split = [self.lines(t) if t else [] for t in texts]
+        heads = {x[0] for ls in split for x in ls}
+        heads.discard("")
+        words: set[str] = set()
+        for ls in split:
+            for x in ls:
+                words.update(x[1:])
+        new_heads, new_words = heads.difference(self.first), words.difference(self.next)
+        if len(self.first) + len(self.next) + len(new_heads) + len(new_words) > CACHE_WORDS:
+            self.first, self.next = {}, {}
+            new_heads, new_words = heads, words
+        if new_heads or new_words:
+            self._learn(new_heads, new_words)
+        first, get, line = self.first, self.next.__getitem__, self.line
+        return [line.join([b"".join([first[x[0]], *map(get, x[1:])]) for x in ls]) for ls in split]
 
 
 # ---------------------------------------------------------------- minimal perfect hash
