@@ -5,6 +5,7 @@ from __future__ import annotations
 from pagewright.llm.op1_decontaminate import op1_decontaminate
 from pagewright.llm.op2_minhash import op2_minhash
 from pagewright.llm.op4_quality import op4_quality
+from pagewright.llm import op6_repeats as repeats
 from pagewright.llm.op8_token_store import op8_token_store
 from pagewright.llm.op10_flac import op10_flac
 
@@ -12,7 +13,10 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_minhash": op2_minhash,
     "op4_quality": op4_quality,
+    "op6_repeats": repeats.op6_repeats,
     "op8_token_store": op8_token_store,
     "op10_flac": op10_flac,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_repeats": repeats.ORACLE,
+}
