@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pagewright.llm.op1_decontaminate import op1_decontaminate
 from pagewright.llm.op2_minhash import op2_minhash
+from pagewright.llm.op3_chat import op3_chat
 from pagewright.llm.op4_quality import op4_quality
+from pagewright.llm.op5_surrogates import op5_surrogates
 from pagewright.llm import op6_repeats as repeats
 from pagewright.llm import op9_mix as mixing
 from pagewright.llm.op7_html import op7_html
@@ -14,7 +16,9 @@ from pagewright.llm.op10_flac import op10_flac
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_minhash": op2_minhash,
+    "op3_chat": op3_chat,
     "op4_quality": op4_quality,
+    "op5_surrogates": op5_surrogates,
     "op6_repeats": repeats.op6_repeats,
     "op7_html": op7_html,
     "op8_token_store": op8_token_store,
