@@ -5,17 +5,18 @@ circle of 2^20 places; a second one ranks the places. Signature coordinate k is
 places shifted by k: two permutations give all coordinates. ROWS coordinates form a band; documents that agree in a band share a bucket.
 
 1. Documents with equal sets form a class; its smallest id stands for it from here on.
-2. In each bucket every class is paired with the bucket's smallest and largest id. Of its pairs that are plausible (sizes, and one bit of each
-   of 128 coordinates) each class keeps the likeliest, and those are verified on full sets. Verified pairs are links.
-3. In buckets that still hold several components, all plausible pairs between classes of different components are verified too. So no candidate pair
-   that could join components is left out; pairs inside a component, which can't, are never made.
+2. A pair of classes that share a bucket is plausible if their sizes and one bit of each of 128 coordinates allow the similarity. Groups are the
+   components of all plausible pairs. Most come from pairing each class with the smallest and the largest id of each of its buckets; where groups still
+   meet in a bucket, all its pairs of different groups are tested too.
+3. Within each group all pairs are verified on full sets, block against block; pairs that reach the similarity are links.
 4. Components of all links; the smallest id names a component.
 
 Candidates miss a pair at similarity 0.8 with probability (1 - 0.8^5)^32 = 3e-6, less above it. The plausibility test refuses a pair at 0.8
-when over 40 of 128 bits differ; 13 are expected (8 standard deviations).
+when over 34 of 128 bits differ; 13 are expected (6 standard deviations).
 
 Hot groups: equal sets collapse before anything is paired; stars have as many pairs as members; buckets are pre-aggregated and joined, never gathered,
-so adaptive execution can split a hot one. Step 3 is quadratic only in a bucket's classes outside its main component.
+so adaptive execution can split a hot one. A large group is spread over blocks; a block comparison intersects a set with all sets of a block in one
+pass and sends out only pairs that join trees.
 
 Defined results: null and empty texts have an empty set (n_shingles 0), link with nothing and are kept. Fewer words than `width`: the whole sequence is one
 shingle. A null id links with nothing and is kept. Rows with the same id are one document: it has the links of all of them. Empty tables give
@@ -26,8 +27,10 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +41,8 @@ from pagewright.session import materialize, table
 
 BANDS, ROWS, CIRCLE = 32, 5, 1 << 20
 COORDINATES = BANDS * ROWS
-MOST_BITS = 40
+MOST_BITS = 34
+BLOCK = 256
 U = np.uint64
 
 
@@ -98,37 +102,97 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, b0 long, b1 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id, members (binary) of the documents named."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, buf, off in pieces(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(buf, off, width)], pa.binary())], ["doc_id", "members"])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-    return chosen.mapInArrow(run, "doc_id long, members binary")
-
-
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets reach the similarity."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = materialize(_sets(docs, ids, width), "sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Forest:
+    """Union-find over a few documents; keeps the pairs that joined two trees."""
+
+    def __init__(self, n: int):
+        self.up, self.edges = list(range(n)), []
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.up[b] = a
+            self.edges.append((i, j))
+
+
+def _similar(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of similar sets that connect all similar ones; members of right are numbered behind those of left. right None: left with itself."""
+    other = left if right is None else right
+    size = np.array([len(x) for x in other])
+    if not size.sum():
+        return []
+    h = np.concatenate(other)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], np.repeat(np.arange(len(other)), size)[order]
+    shift = 0 if right is None else len(left)
+    forest = _Forest(shift + len(other))
+    for i, x in enumerate(left):
+        if not len(x):
+            continue
+        lo = np.searchsorted(h, x, "left")
+        n = np.searchsorted(h, x, "right") - lo
+        both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(other))
+        for j in np.flatnonzero((100 * both >= percent * (len(x) + size - both)) & (both > 0)).tolist():
+            if right is not None or j > i:
+                forest.join(i, shift + j)
+    return forest.edges
+
+
+def _unpack(data: bytes, sizes: bytes) -> list[np.ndarray]:
+    return np.split(np.frombuffer(data, U), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
+
+
+def verified(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of similar full sets among the documents of each group (node, component): enough of them to connect all that are similar.
+
+    A group is dealt into blocks of about BLOCK documents; each block is compared with itself and with each other block of its group. Of a comparison
+    only the pairs that join trees leave the task, so its output is no larger than the number of its documents.
+    """
+    size = groups.groupBy("component").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("blocks"))
+    placed = materialize(groups.join(size, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("g"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks"), "blocks")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
-                ok.append(len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    sides = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    return sides.mapInArrow(run, "a long, b long")
+            for i, j, buf, off in pieces(b.column(4)):
+                members = pa.array([s.tobytes() for s in shingle_sets(buf, off, width)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[:4]), members], ["g", "block", "blocks", "doc_id", "members"])
+
+    def within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for f in frames for r in f.itertuples(index=False, name=None))
+        out, held = [], 0
+        for (g, block, blocks), mine in groupby(rows, key=lambda r: r[:3]):
+            mine = list(mine)
+            parts = [np.frombuffer(r[4], U) for r in mine]
+            out += [(g, block, mine[i][3], mine[j][3], None, None, None) for i, j in _similar(parts, None, percent)]
+            if blocks > 1:
+                out.append((g, block, None, None, np.array([r[3] for r in mine], np.int64).tobytes(), np.array([len(x) for x in parts], np.int64).tobytes(), b"".join(r[4] for r in mine)))
+                held += len(out[-1][6])
+            if len(out) > 5000 or held > 1 << 24:
+                yield pd.DataFrame(out, columns=names)
+                out, held = [], 0
+        yield pd.DataFrame(out, columns=names)
+
+    names = ["g", "block", "a", "b", "ids", "sizes", "data"]
+    members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, "doc_id").select("g", "block", "blocks", "doc_id", "text").mapInArrow(sets, "g long, block long, blocks long, doc_id long, members binary")
+    first = materialize(members.repartition("g", "block").sortWithinPartitions("g", "block").mapInPandas(within, "g long, block long, a long, b long, ids binary, sizes binary, data binary"), "verified")
+    packed = first.where("ids is not null").select("g", "block", "ids", "sizes", "data")
+
+    def between(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                ids = np.concatenate([np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids_2, np.int64)])
+                found = np.array(_similar(_unpack(r.data, r.sizes), _unpack(r.data_2, r.sizes_2), percent), np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
+
+    other = packed.toDF("g", "block_2", "ids_2", "sizes_2", "data_2")
+    pairs = packed.join(other, "g").where("block < block_2").repartition("g", "block", "block_2")
+    links_ = first.where("a is not null").select("a", "b")
+    return links_.unionByName(pairs.mapInPandas(between, "a long, b long"))
 
 
 def _plausible(x: str, y: str, percent: int) -> F.Column:
@@ -140,28 +204,32 @@ def _differ(x: str, y: str) -> F.Column:
     return F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))) + F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1")))
 
 
-def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Components of class representatives (doc_id, n_shingles, b0, b1, bands) that have a link: node, component."""
+def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
+    """Components (node, component) of all plausible pairs of classes (doc_id, n_shingles, b0, b1, bands) that share a bucket."""
     me = F.struct("doc_id", "n_shingles", "b0", "b1")
     rows = reps.select(F.explode("bands").alias("band"), me.alias("x"))
     hubs = rows.groupBy("band").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = rows.join(hubs, "band").select("x", F.explode(F.array("lo", "hi")).alias("hub")).where("x.doc_id <> hub.doc_id").where(_plausible("x", "hub", percent))
-    best = stars.groupBy(F.col("x.doc_id").alias("child")).agg(F.min(F.struct(_differ("x", "hub").alias("differ"), F.col("hub.doc_id").alias("hub"))).alias("best"))
-    first = best.select(F.least("child", "best.hub").alias("a"), F.greatest("child", "best.hub").alias("b")).distinct()
-    sure = materialize(verify(materialize(first, "pairs"), docs, width, percent), "links")
-    comp = components(sure)
-    # Buckets in which components still meet.
+    comp = components(stars.select(F.least("x.doc_id", "hub.doc_id").alias("a"), F.greatest("x.doc_id", "hub.doc_id").alias("b")))
+    # Buckets in which groups still meet.
     known = reps.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.explode("bands").alias("band"), me.alias("x"), F.coalesce("component", "doc_id").alias("c"))
     sizes = known.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     open_ = known.join(sizes, "band")
     left = open_.where("c <> main").select("band", F.col("x").alias("y"), F.col("c").alias("d"))
-    right = open_.select("band", "x", "c", "main")
-    more = left.join(right, "band").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("x.doc_id") < F.col("y.doc_id")))).where(_plausible("x", "y", percent))
-    more = materialize(more.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    more = left.join(open_, "band").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("x.doc_id") < F.col("y.doc_id")))).where(_plausible("x", "y", percent))
+    more = materialize(more.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "pairs")
     if not more.limit(1).count():
         return comp
-    late = verify(more, docs, width, percent)
-    return components(materialize(late.unionByName(comp.select(F.col("component").alias("a"), F.col("node").alias("b"))), "links"))
+    lone = more.select(F.explode(F.array("a", "b")).alias("b")).select(F.col("b").alias("a"), "b")
+    over = components(more)
+    named = comp.unionByName(lone.select(F.col("a").alias("node"), F.col("b").alias("component"))).distinct()
+    return named.join(over.toDF("component", "over"), "component", "left").select("node", F.coalesce("over", "component").alias("component"))
+
+
+def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Components of class representatives that have a link: node, component."""
+    groups = materialize(candidate_groups(reps, percent), "groups")
+    return components(materialize(verified(groups, docs, width, percent), "links"))
 
 
 def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
