@@ -1,6 +1,205 @@
-"""Queries by name, and DuckDB SQL for the same results."""
+"""Queries by name, and DuckDB SQL for the same results.
+
+Names page_* and pool_* stand for the page store itself. Names ext_* are plain Spark SQL on the relational tables, which both engines run
+from the same text.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.functions import pages as P
+from pagewright.operators.pool import pool_events, pool_stats
+from pagewright.plans import traces
+from pagewright.sources import pagefile
+from pagewright.session import table
+
+POOL, SWEEP = 16, [4, 8, 16, 32, 48, 64]
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+# ---------------------------------------------------------------- pool
+
+
+def pool_fifo_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool_stats(traces.event_trace(spark, sf_dir), [POOL], 64).select("trace_id", "cache_hits", "cache_misses", "evictions", "hit_rate")
+
+
+def pool_stats_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pool_stats(traces.event_trace(spark, sf_dir), [POOL], 64)
+    return got.drop("pool_size").withColumn("summary", P.stats_text("cache_hits", "cache_misses", "evictions"))
+
+
+def pool_capacity_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool_stats(traces.event_trace(spark, sf_dir), SWEEP, 64).select("trace_id", "pool_size", "cache_hits", "cache_misses", "evictions")
+
+
+def pool_order_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool_stats(traces.order_trace(spark, sf_dir), [64], 256).select("trace_id", "cache_hits", "cache_misses", "evictions", "pages_read", "pages_written", "hit_rate")
+
+
+def pool_missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes where only 60 of the 64 pages exist and a failed fetch loses its frame."""
+    got = pool_events(traces.event_trace(spark, sf_dir), POOL, 60)
+    return got.groupBy("trace_id", "outcome").agg(F.count("*").alias("n"), F.max("evictions").alias("evictions")).withColumn("message", P.outcome_message("outcome", F.lit(None)))
+
+
+def pool_missing_pages_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where failed fetches give their frame back."""
+    return pool_events(traces.event_trace(spark, sf_dir), POOL, 60, False).groupBy("trace_id", "outcome").agg(F.count("*").alias("n"))
+
+
+def _fold(tables: str, size: str, group: str, dirty: bool = False) -> str:
+    """SQL for a FIFO fold over `tables` (trace_id, seq, page, w), for pools of `size`."""
+    full = f"len(a.q) >= {size}"
+    d_after = f"CASE WHEN {full} THEN list_filter(a.d, lambda y: y <> a.q[1]) ELSE a.d END"
+    touch = "CASE WHEN b.x AND NOT list_contains({d}, b.p) THEN list_append({d}, b.p) ELSE {d} END"
+    hit = f"{{'q': a.q, 'd': {touch.format(d='a.d')}, 'h': a.h + 1, 'm': a.m, 'e': a.e, 'w': a.w, 'p': b.p, 'x': b.x}}"
+    miss = (
+        f"{{'q': CASE WHEN {full} THEN list_append(a.q[2:], b.p) ELSE list_append(a.q, b.p) END, 'd': {touch.format(d='(' + d_after + ')')}, 'h': a.h, 'm': a.m + 1, 'e': a.e + CASE WHEN {full} THEN 1 ELSE 0 END, "
+        f"'w': a.w + CASE WHEN {full} AND list_contains(a.d, a.q[1]) THEN 1 ELSE 0 END, 'p': b.p, 'x': b.x}}"
+    )
+    if not dirty:
+        hit, miss = hit.replace(touch.format(d="a.d"), "a.d"), miss.replace(touch.format(d="(" + d_after + ")"), "a.d")
+    zero = "{'q': []::BIGINT[], 'd': []::BIGINT[], 'h': 0::BIGINT, 'm': 0::BIGINT, 'e': 0::BIGINT, 'w': 0::BIGINT, 'p': -1::BIGINT, 'x': false}"
+    item = "{'q': []::BIGINT[], 'd': []::BIGINT[], 'h': 0::BIGINT, 'm': 0::BIGINT, 'e': 0::BIGINT, 'w': 0::BIGINT, 'p': page::BIGINT, 'x': w}"
+    return f"""WITH t AS ({tables}), g AS (
+  SELECT {group}, list_prepend({zero}, list({item} ORDER BY seq)) AS s FROM t GROUP BY {group}
+), f AS (
+  SELECT {group}, list_reduce(s, lambda a, b: CASE WHEN list_contains(a.q, b.p) THEN {hit} ELSE {miss} END) AS r FROM g
+)"""
+
+
+_EVENTS = "SELECT event_type AS trace_id, event_id AS seq, user_id % 64 AS page, event_id % 4 = 0 AS w FROM events"
+_ORDERS = "SELECT o_orderpriority AS trace_id, o_orderkey AS seq, o_custkey % 256 AS page, false AS w FROM orders"
+_RATE = "CASE WHEN r.h + r.m > 0 THEN r.h / (r.h + r.m) ELSE 0.0 END AS hit_rate"
+
+# ---------------------------------------------------------------- pages
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.document_pages(table(spark, sf_dir, "documents"))
+
+
+def page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header of every page, decoded from its bytes."""
+    d = _pages(spark, sf_dir)
+    h = P.header("data")
+    return d.select("doc_id", "part", h["page_type"].alias("page_type"), h["lsn"].cast("long").alias("lsn"), P.verify_checksum("data").alias("checksum_ok"), P.page_id_text("part").alias("shown"), F.length("data").cast("long").alias("n_bytes"))
+
+
+def page_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _pages(spark, sf_dir)
+    return d.select("doc_id", "part", P.header("data")["checksum"].alias("checksum"))
+
+
+def page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by type and class; every seventh document's pages are overwritten by zero pages, every fifth one's get a flipped byte."""
+    d = _pages(spark, sf_dir)
+    flipped = F.concat(F.substring("data", 1, P.PAGE_SIZE - 1), F.unhex(F.lit("01")))
+    d = d.select("doc_id", F.when(F.col("doc_id") % 7 == 0, P.zero_page()).when(F.col("doc_id") % 5 == 0, flipped).otherwise(F.col("data")).alias("data"))
+    h = P.header("data")
+    per = d.groupBy(h["page_type"].alias("page_type"), P.page_class("data").alias("class"))
+    return per.agg(F.count("*").alias("page_count"), (F.count("*") * P.PAGE_SIZE).alias("file_size"), F.max(h["lsn"]).cast("long").alias("max_lsn"))
+
+
+def page_reencode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type and lsn of every page are set anew and read back; every tenth page is freed."""
+    d = _pages(spark, sf_dir)
+    kind = F.when(F.col("doc_id") % 10 == 0, "Free").otherwise("BTreeLeaf")
+    new = P.update_checksum(P.set_header("data", kind, F.lit(0), F.col("doc_id") * 2 + F.col("part")))
+    d = d.select("doc_id", "part", new.alias("data"))
+    h = P.header("data")
+    return d.groupBy(h["page_type"].alias("page_type")).agg(F.count("*").alias("n"), F.sum(h["lsn"]).cast("long").alias("lsn_sum"), F.sum(P.verify_checksum("data").cast("long")).alias("ok"))
+
+
+def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of one page for each order status, five pages allocated, some written: what is where."""
+    first = spark.range(5).select(F.col("id").alias("page_id"), P.zero_page().alias("data"))
+    pages = pagefile.allocate(first, 5)
+    n = table(spark, sf_dir, "nation").where("n_nationkey < 12").select(F.col("n_nationkey").cast("long").alias("page_id"), F.col("n_name"))
+    data = F.substring(F.concat(P.header_bytes(F.lit("Data"), F.lit(0), F.lit(1)), F.encode("n_name", "utf-8"), P.zero_page()), 1, P.PAGE_SIZE)
+    changed = n.select("page_id", P.update_checksum(data).alias("data"))
+    now = pagefile.write_pages(pages, changed).select("page_id", P.page_class("data").alias("state"))
+    lost = pagefile.missing(pages, changed.select("page_id"))
+    return now.unionByName(lost.select("page_id", F.col("outcome").alias("state")))
+
+
+_PARTS = "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, unnest(range(0, greatest(1, CAST(ceil(octet_length(encode(coalesce(text, ''))) / 4083.0) AS BIGINT)))) AS part FROM documents"
+
+# ---------------------------------------------------------------- plain SQL, the same text for both engines
+
+SHARED = {
+    "ext_equi_join_agg": "SELECT c_mktsegment, o_orderstatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_mktsegment, o_orderstatus",
+    "ext_semi_join": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
+    "ext_anti_join": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')",
+    "ext_outer_join": "SELECT n_name, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name",
+    "ext_rollup": "SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
+    "ext_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "ext_distinct_agg": "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
+    "ext_rank": "SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn FROM orders",
+    "ext_lag": "SELECT event_id, user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events",
+    "ext_running_sum": "SELECT o_orderkey, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS spent FROM orders",
+    "ext_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
+    "ext_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
+    "ext_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier",
+    "ext_except": "SELECT CAST(p_size AS BIGINT) AS k FROM part EXCEPT SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation",
+    "ext_range_join": "SELECT p_size AS size, count(*) AS n FROM part JOIN (SELECT DISTINCT CAST(l_quantity AS INT) AS q FROM lineitem) x ON p_size BETWEEN q AND q + 2 GROUP BY p_size",
+}
+
+
+def _shared(sql: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = [t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events") if t in sql.split() or f"{t})" in sql]
+        return spark.sql(_named(sql, names), **{t: table(spark, sf_dir, t) for t in names})
+
+    return run
+
+
+def _named(sql: str, names: list[str]) -> str:
+    import re
+
+    return re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b", lambda m: f"{m[1]} {{{m[2]}}} AS {m[2]}", sql)
+
+
+def ext_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    w = F.window(F.col("ts").cast("timestamp"), "1 hour")
+    return e.groupBy(w.start.cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+
+
+def ext_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return e.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+def ext_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_sum"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (pool_fifo_hit_rate, pool_stats_full, pool_capacity_sweep, pool_order_trace, pool_missing_pages, pool_missing_pages_kept, page_headers, page_checksums, page_inventory, page_reencode, page_store, ext_tumbling, ext_session, ext_json_props)
+} | {name: _shared(sql) for name, sql in SHARED.items()}
+
+ORACLES: dict[str, str] = SHARED | {
+    "pool_fifo_hit_rate": _fold(_EVENTS, "16", "trace_id") + f" SELECT trace_id, r.h AS cache_hits, r.m AS cache_misses, r.e AS evictions, {_RATE} FROM f",
+    "pool_stats_full": _fold(_EVENTS, "16", "trace_id", True)
+    + f" SELECT trace_id, r.h AS cache_hits, r.m AS cache_misses, r.e AS evictions, r.m AS pages_read, r.w AS pages_written, {_RATE}, printf('Stats {{ hits: %d, misses: %d, evictions: %d, hit_rate: %.2f%% }}', r.h, r.m, r.e, 100.0 * r.h / (r.h + r.m)) AS summary FROM f",
+    "pool_capacity_sweep": _fold(f"SELECT trace_id, seq, page, w, unnest({SWEEP}) AS pool_size FROM ({_EVENTS})", "a.z", "trace_id, pool_size")
+    .replace("'p': -1::BIGINT", "'z': pool_size, 'p': -1::BIGINT")
+    .replace("'p': page::BIGINT", "'z': pool_size, 'p': page::BIGINT")
+    .replace("'p': b.p", "'z': b.z, 'p': b.p")
+    + " SELECT trace_id, CAST(pool_size AS INT) AS pool_size, r.h AS cache_hits, r.m AS cache_misses, r.e AS evictions FROM f",
+    "pool_order_trace": _fold(_ORDERS, "64", "trace_id") + f" SELECT trace_id, r.h AS cache_hits, r.m AS cache_misses, r.e AS evictions, r.m AS pages_read, CAST(0 AS BIGINT) AS pages_written, {_RATE} FROM f",
+    "page_headers": f"SELECT doc_id, part, 'Data' AS page_type, doc_id AS lsn, true AS checksum_ok, 'Page(' || part || ')' AS shown, CAST(4096 AS BIGINT) AS n_bytes FROM ({_PARTS})",
+    "page_inventory": f"SELECT CASE WHEN doc_id % 7 = 0 THEN 'Invalid' ELSE 'Data' END AS page_type, CASE WHEN doc_id % 7 = 0 THEN 'zero' WHEN doc_id % 5 = 0 THEN 'corrupt' ELSE 'ok' END AS class, count(*) AS page_count, count(*) * 4096 AS file_size, max(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE doc_id END) AS max_lsn FROM ({_PARTS}) GROUP BY 1, 2",
+    "page_reencode": f"SELECT CASE WHEN doc_id % 10 = 0 THEN 'Free' ELSE 'BTreeLeaf' END AS page_type, count(*) AS n, CAST(sum(doc_id * 2 + part) AS BIGINT) AS lsn_sum, count(*) AS ok FROM ({_PARTS}) GROUP BY 1",
+    "page_store": "SELECT CAST(n_nationkey AS BIGINT) AS page_id, CASE WHEN n_nationkey < 10 THEN 'ok' ELSE 'PageNotFound' END AS state FROM nation WHERE n_nationkey < 12",
+    "ext_tumbling": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "ext_session": "WITH s AS (SELECT user_id, sum(CASE WHEN ts < p + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
+    "ext_json_props": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY event_type",
+}
