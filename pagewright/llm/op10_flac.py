@@ -578,7 +578,7 @@ def pcm_blocks(df: DataFrame, key: str = "doc_id", column: str = "media") -> Dat
                             c.append(v)
                         continue
                     info, samples, offsets = got
-                    for k, (a, z) in enumerate(zip(offsets, [*offsets[1:], samples.shape[1]], strict=True)):
+                    for k, (a, z) in enumerate(zip(offsets, [*offsets[1:], samples.shape[1]][: len(offsets)], strict=True)):
                         which.append(i + n)
                         for c, v in zip(cols, (k, a, z - a, info["rate"], info["channels"], info["bits"], pcm_bytes(samples[:, a:z], info["bits"]), None), strict=True):
                             c.append(v)

@@ -235,21 +235,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     return fit(x, both.quality.to_numpy(np.float64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' columns, then score (double)."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs' columns, then the score (double); a column of docs with that name is left out."""
+    docs = docs.drop(name)
     bc = docs.sparkSession.sparkContext.broadcast(model)
     names, at = docs.columns, docs.columns.index("text")
-    if "score" in names:
-        raise ValueError("docs has a column named score already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [bc.value.score(features(buf, off)) for _, _, buf, off in pieces(b.column(at))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(got) if got else np.zeros(0))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(got) if got else np.zeros(0))], [*names, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def quality_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -260,7 +259,7 @@ def quality_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the classifier rejects (score under 0.5); docs' columns."""
-    return score(docs, train(docs, labels)).where("score >= 0.5").drop("score")
+    return score(docs, train(docs, labels), "__quality").where("__quality >= 0.5").drop("__quality")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,7 +181,8 @@ def _written(kind: Column, core: Column, surrogate: Column) -> Column:
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs' columns with surrogates in text, then n_entities (mentions replaced)."""
+    """docs' columns with surrogates in text, then n_entities (mentions replaced); a column of docs with that name is left out."""
+    docs = docs.drop("n_entities")
     cols = docs.columns
     text = F.col("text")
     hit = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))

@@ -1,0 +1,82 @@
+import re
+
+from helpers import SF, docs
+
+from pagewright.llm import op5_surrogates as o
+from pagewright.session import table
+
+SHAPES = [r"\+\d \(\d{3}\) \d{3}-\d{4}", r"\S+@\S+\.com", r"(?<!\d)\d{16}(?!\d)", r"(?:\d{1,3}\.){3}\d{1,3}", r'token = "(\w+)"']
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.collect()}
+
+
+def test_formats_and_coreference(spark):
+    a = "Mail John.Doe7@Mail.example.com or john.doe7@mail.example.com. Card 4111 1111 1111 1111, 4111-1111-1111-1111; IP 10.0.0.1. Call +1 (073) 555-8658 or +1 073 555 8658, SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00."
+    got = texts(o.replace(docs(spark, [(1, a), (2, "again john.doe7@mail.example.com")])))
+    assert re.sub(r"\d", "0", re.sub(r"[a-z]", "x", re.sub(r"[A-Z]", "X", re.sub(r"IP \S+", "", got[1])))) == re.sub(r"\d", "0", re.sub(r"[a-z]", "x", re.sub(r"[A-Z]", "X", re.sub(r"IP \S+", "", a))))
+    mails = re.findall(r"\S+@[\w.]+\w", got[1])
+    assert mails[0].lower() == mails[1]
+    assert mails[1] in got[2]
+    cards = [re.sub(r"\D", "", x) for x in re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", got[1])[:2]]
+    assert cards[0] == cards[1] != "4111" * 4
+    digits = [int(c) for c in cards[0][::-1]]
+    assert sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2]) == (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) // 10 * 10
+    ip = re.search(r"IP ([\d.]+)\.", got[1])[1]
+    assert all(0 < int(x) < 255 for x in ip.split("."))
+    assert ip != "10.0.0.1"
+
+
+def test_names(spark):
+    got = texts(o.replace(docs(spark, [(1, "Mr. John Smith and Mrs. Anna Smith met Dr. SMITH"), (2, "госпожа Анна Иванова"), (3, "the master Smith and Mrx Smith")])))
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) and Mrs\. (\w+) (\w+) met Dr\. (\w+)", got[1])
+    assert m[2] == m[4] != "Smith"
+    assert m[5] == m[2].upper()
+    assert m[1].lower().endswith(tuple(o.SYLLABLES["latin"][1]["m"]))
+    assert m[3].lower().endswith(tuple(o.SYLLABLES["latin"][1]["f"]))
+    assert re.fullmatch(r"госпожа [А-Я][а-я]+ [А-Я][а-я]+", got[2])
+    assert "Иванова" not in got[2]
+    assert got[3] == "the master Smith and Mrx Smith"
+
+
+def test_distinct(spark):
+    ents = spark.createDataFrame([("ssn", "", f"{i:03d}", f"{i:03d}") for i in range(600)] + [("name-latin-x", "", f"n{i}", f"n{i}") for i in range(3000)], "kind string, scope string, norm string, shape string")
+    got = o.surrogate_table(ents).collect()
+    assert len(got) == 3600
+    assert len({(r.kind, r.surrogate) for r in got}) == 3600
+    assert not {(r.kind, r.surrogate) for r in got} & {(r.kind, r.norm) for r in got}
+    again = o.surrogate_table(ents.repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert sorted(map(tuple, got)) != sorted(map(tuple, o.surrogate_table(ents, "other key").collect()))
+
+
+def test_whole_table(spark):
+    before = texts(table(spark, SF, "documents"))
+    after = {r.doc_id: r for r in o.op5_surrogates(spark, SF).collect()}
+    assert set(before) == set(after)
+    seen, kinds = {}, 0
+    for i, t in before.items():
+        found = [(k, m) for k, p in enumerate(SHAPES) for m in re.findall(p, t)]
+        new = [(k, m) for k, p in enumerate(SHAPES) for m in re.findall(p, after[i].text)]
+        if not found:
+            assert after[i].text == t
+            continue
+        kinds += len(found)
+        assert len(found) == len(new)
+        for (k, a), (_, b) in zip(found, new, strict=True):
+            assert a != b
+            assert seen.setdefault((k, a), b) == b
+    assert kinds > 10
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_edges(spark):
+    d = docs(spark, [(1, None), (1, ""), (None, "a@b.com"), (2, "1.2.3.4 " + "word " * 200_000 + "1.2.3.4"), (2, "a@b.com"), (2, "a@b.com")]).selectExpr("*", "'k' AS kind", "9 AS n_entities", "'x' AS surrogate")
+    got = o.replace(d)
+    assert sorted(got.columns) == sorted(d.columns)
+    rows = got.collect()
+    assert len(rows) == 6
+    assert sorted(r.n_entities for r in rows) == [0, 0, 1, 1, 1, 2]
+    assert len({r.text for r in rows if r.text and "@" in r.text}) == 1
+    assert o.replace(d.limit(0)).count() == 0
