@@ -261,3 +261,35 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"), width=2)
+
+
+#: Exact, by way of the rarest shingles: similar sets share one among each set's first n - ceil(0.8 n) + 1.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_sort(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) END AS sh FROM w
+), c AS (
+  SELECT min(doc_id) AS rep, sh, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh
+), e AS (
+  SELECT rep, n, unnest(sh) AS g FROM c
+), f AS (
+  SELECT g, count(*) AS df FROM e GROUP BY g
+), o AS (
+  SELECT rep, n, g, row_number() OVER (PARTITION BY rep ORDER BY df, g) AS r FROM e JOIN f USING (g)
+), p AS (
+  SELECT rep, n, g FROM o WHERE r <= n - (4 * n + 4) // 5 + 1
+), pairs AS (
+  SELECT DISTINCT a.rep AS a, b.rep AS b FROM p a JOIN p b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), l AS (
+  SELECT a, b, x.n + y.n AS n, len(list_intersect(x.sh, y.sh)) AS i FROM pairs JOIN c x ON x.rep = a JOIN c y ON y.rep = b
+), linked AS (
+  SELECT a, b FROM l WHERE 100 * i >= 80 * (n - i) UNION ALL SELECT b, a FROM l WHERE 100 * i >= 80 * (n - i)
+), reach AS (
+  SELECT rep AS node, rep AS m FROM c UNION SELECT b, m FROM reach JOIN linked ON a = node
+), comp AS (
+  SELECT node, min(m) AS component FROM reach GROUP BY node
+)
+SELECT doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM s LEFT JOIN c ON s.sh = c.sh LEFT JOIN comp ON node = rep
+"""

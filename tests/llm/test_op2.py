@@ -2,11 +2,10 @@ import random
 import re
 
 import numpy as np
-from helpers import SF, docs
+from helpers import SF, docs, oracle, same
 
 from pagewright.llm import op2_minhash as o
 from pagewright.llm.graph import components
-from pagewright.session import table
 
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -95,8 +94,8 @@ def test_empty(spark):
     assert o.deduplicate(d).count() == 0
 
 
-def test_table_against_brute_force(spark):
-    check(spark, [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()], 2)
+def test_oracle(spark):
+    same(o.op2_minhash(spark, SF), oracle(o.ORACLE))
 
 
 def test_signature_estimates_similarity():
