@@ -31,6 +31,7 @@ from pagewright.llm.textbatch import pieces
 from pagewright.session import table
 
 BLOCK, RATE, UNIT = 4608, 8000, 192
+PIECE = 1 << 20
 
 # ---------------------------------------------------------------- checksums
 
@@ -554,7 +555,7 @@ def encode_media(df: DataFrame, key: str = "doc_id", column: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, buf, off in pieces(b.column(1)):
+            for i, j, buf, off in pieces(b.column(1), PIECE):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(encode(buf, off), pa.binary())], [key, "media"])
 
     return df.select(key, column).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, media binary")
@@ -616,7 +617,7 @@ def media_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, buf, off in pieces(b.column(1)):
+            for i, j, buf, off in pieces(b.column(1), PIECE):
                 media = encode(*padded(buf, off))
                 rows = []
                 for n, m, got in zip(np.diff(off).tolist(), media, decode_batch(media), strict=True):

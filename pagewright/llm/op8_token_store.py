@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import files
-from pagewright.llm.textbatch import scramble
+from pagewright.llm.textbatch import claim, scramble
 from pagewright.session import materialize, scratch_path, table
 
 END_ID = 2
 BUCKET_KEYS = 50_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 # ---------------------------------------------------------------- encoding
 
@@ -136,8 +136,8 @@ class WordCoder:
                 words.update(x[1:])
         new_heads, new_words = heads.difference(self.first), words.difference(self.next)
         if len(self.first) + len(self.next) + len(new_heads) + len(new_words) > CACHE_WORDS:
-            self.first, self.next = {}, {}
-            new_heads, new_words = heads, words
+            self.first = {h: self.first[h] for h in heads if h in self.first}
+            self.next = {w: self.next[w] for w in words if w in self.next}  # what comes in each batch stays
         if new_heads or new_words:
             self._learn(new_heads, new_words)
         first, get, line = self.first, self.next.__getitem__, self.line
@@ -236,7 +236,8 @@ _CODERS: dict = {}
 
 
 def _coder(path: str, special_as_text: bool) -> WordCoder:
-    """One for each worker process, with its cache."""
+    """One for each worker process, with its cache, until another operator works there."""
+    claim("tokens", _CODERS.clear)
     if (path, special_as_text) not in _CODERS:
         _CODERS[path, special_as_text] = WordCoder(path, special_as_text)
     return _CODERS[path, special_as_text]

@@ -7,14 +7,14 @@ hashes of a batch cost a few passes over its bytes; no Python loop runs over wor
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = (1 << 19) - 64
 #: Space and \t \n \v \f \r.
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -37,9 +37,7 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.cache
-def _powers(base: int, log2: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << log2
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for b in (base, pow(base, -1, 1 << 64)):
         p = np.full(n, U(b))
@@ -48,9 +46,26 @@ def _powers(base: int, log2: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_kept_powers = functools.lru_cache(16)(_powers)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^0.. and its inverse powers; at least n of each."""
-    return _powers(base, max(21, int(n - 1).bit_length() if n > 1 else 0))
+    """base^0.. and its inverse powers; at least n of each. Those for a batch of usual size are kept, those for a very long text aren't."""
+    for size in (1 << 17, 1 << 19, 1 << 20):
+        if n <= size:
+            return _kept_powers(base, size)
+    return _powers(base, n)
+
+
+_owner: list = [None, None]
+
+
+def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Says which operator a worker process works for; what the one before kept in memory is released."""
+    if _owner[0] != owner:
+        if _owner[1]:
+            _owner[1]()
+        _owner[:] = owner, release
 
 
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
@@ -138,6 +153,7 @@ def _bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(col: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Splits a text column into runs of rows of at most so many bytes (one row at least): first row, last row + 1, buffer, offsets."""
+    claim("texts")
     buf, off = _bytes_of(col)
     i, n = 0, len(off) - 1
     while i < n:
