@@ -113,13 +113,13 @@ def _kept(raw: bytes, gone: np.ndarray | None) -> tuple[int, int, str]:
     return len(words), 0 if gone is None else int(gone.sum()), hashlib.sha256(b" ".join(words if gone is None else left)).hexdigest()
 
 
-_SETTLED = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, spans array<struct<start:int,n:int>>, edges array<struct<h1:long,h2:long,start:int,lead:boolean>>"
+_SETTLED = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, spans array<struct<start:int,n:int>>, edges array<struct<h1:long,h2:long,start:int>>"
 
 
 def _settle(window: int):
     """Rows of doc_id, text, hits: the result where no hit is at a branch, else the text, the spans known to go and the edges in question."""
     span = pa.struct([("start", pa.int32()), ("n", pa.int32())])
-    edge = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("lead", pa.bool_())])
+    edge = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +150,10 @@ def _settle(window: int):
                     x, y = h1[w.first[d] + place], h2[w.first[d] + place]
                     is_first = np.zeros(len(x), bool)
                     is_first[np.unique(scramble(x) + y, return_index=True)[1]] = True
-                    edges = pa.StructArray.from_arrays([pa.array(x.view(I64)), pa.array(y.view(I64)), pa.array(place.astype(np.int32)), pa.array(is_first)], fields=list(edge))
+                    # Later occurrences within the document go whatever other documents hold; only first ones are in question.
+                    s, e = np.concatenate([s, place[~is_first]]), np.concatenate([e, place[~is_first] + window])
+                    x, y, place = x[is_first], y[is_first], place[is_first]
+                    edges = pa.StructArray.from_arrays([pa.array(x.view(I64)), pa.array(y.view(I64)), pa.array(place.astype(np.int32))], fields=list(edge))
                     spans = pa.StructArray.from_arrays([pa.array(s.astype(np.int32)), pa.array((e - s).astype(np.int32))], fields=list(span))
                     rows.append((int(w.count[d]), None, None, raw.decode(), spans, edges))
                 cols = list(zip(*rows, strict=True))
@@ -204,15 +207,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """doc_id, n_words, n_removed, kept_sha256."""
     docs, back = _in_order(docs)
     counts = paths(docs, window, anchor).groupBy("key").agg(F.count("*").alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("loop").alias("loop"), F.min("doc_id").alias("source"))
-    repeated = counts.where("times > 1 or loop").select("key", ((F.col("lo") != F.col("hi")) | F.col("loop")).alias("branch"), "source")
+    # Written, so that both sides of the join are plain shuffles and a hot key's rows can be split.
+    repeated = materialize(counts.where("times > 1 or loop").select("key", ((F.col("lo") != F.col("hi")) | F.col("loop")).alias("branch"), "source"), "repeated")
     met = paths(docs, window, anchor).select("key", "doc_id", "start", "n", "lead").join(repeated, "key")
     hits = materialize(met.where("branch or doc_id > source or not lead").select("doc_id", "start", "n", F.col("branch").cast("int").alias("branch")), "hits")
     listed = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "branch")).alias("hits"))
     settled = materialize(docs.join(listed, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(_settle(window), _SETTLED), "settled")
     done = settled.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
     edges = settled.where("text is not null").select("doc_id", F.inline("edges"))
-    twice = edges.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("doc_id").alias("source")).where("times > 1").drop("times")
-    gone = edges.join(twice, ["h1", "h2"]).where("doc_id > source or not lead").groupBy("doc_id").agg(F.collect_list("start").alias("places"))
+    twice = materialize(edges.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("doc_id").alias("source")).where("times > 1").drop("times"), "twice")
+    gone = edges.join(twice, ["h1", "h2"]).where("doc_id > source").groupBy("doc_id").agg(F.collect_list("start").alias("places"))
     late = settled.where("text is not null").select("doc_id", "text", "spans").join(gone, "doc_id", "left").select("doc_id", "text", "spans", "places")
     out = done.unionByName(late.mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string"))
     if back is None:
