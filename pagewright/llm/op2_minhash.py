@@ -208,13 +208,14 @@ def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
     """Components (node, component) of all plausible pairs of classes (doc_id, n_shingles, b0, b1, bands) that share a bucket."""
     me = F.struct("doc_id", "n_shingles", "b0", "b1")
     rows = reps.select(F.explode("bands").alias("band"), me.alias("x"))
-    hubs = rows.groupBy("band").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that both sides of the join are plain shuffles and a hot bucket's rows can be split.
+    hubs = materialize(rows.groupBy("band").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
     stars = rows.join(hubs, "band").select("x", F.explode(F.array("lo", "hi")).alias("hub")).where("x.doc_id <> hub.doc_id").where(_plausible("x", "hub", percent))
     comp = components(stars.select(F.least("x.doc_id", "hub.doc_id").alias("a"), F.greatest("x.doc_id", "hub.doc_id").alias("b")))
     # Buckets in which groups still meet.
     known = reps.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.explode("bands").alias("band"), me.alias("x"), F.coalesce("component", "doc_id").alias("c"))
     sizes = known.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_ = known.join(sizes, "band")
+    open_ = materialize(known.join(materialize(sizes, "open"), "band"), "buckets")
     left = open_.where("c <> main").select("band", F.col("x").alias("y"), F.col("c").alias("d"))
     more = left.join(open_, "band").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("x.doc_id") < F.col("y.doc_id")))).where(_plausible("x", "y", percent))
     more = materialize(more.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "pairs")
