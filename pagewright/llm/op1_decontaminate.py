@@ -210,3 +210,35 @@ def decontaminate(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BY
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+
+
+def _sql_tokens(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), '{_CAPITALS}', '{_SMALL}'), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+'), lambda x: x <> '')"
+
+
+#: By all equal tokens of all alignments. Of the equal places of an alignment, NEED in a row within WINDOW make a window that counts.
+ORACLE = f"""
+WITH d AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT doc_id, {_sql_tokens('text')} AS ws FROM documents)
+), b AS (
+  SELECT item_id, n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS j FROM (SELECT item_id, ws, len(ws) AS n FROM (SELECT DISTINCT item_id, {_sql_tokens('text')} AS ws FROM benchmark WHERE text IS NOT NULL)) WHERE n >= {SHORTEST}
+), e AS (
+  SELECT doc_id, item_id, n, i - j AS shift, j FROM d JOIN b USING (w)
+), c AS (
+  SELECT * FROM e QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= CASE WHEN n < {WINDOW} THEN n ELSE {NEED} END
+), k AS (
+  SELECT *, lag(j, {NEED - 1}) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j) AS lo FROM c
+), s AS (
+  SELECT doc_id, item_id, n, shift, list(j) AS js,
+         CASE WHEN n < {WINDOW} THEN 0 ELSE min(CASE WHEN j - lo < {WINDOW} THEN greatest(0, j - {WINDOW - 1}) END) END AS a,
+         CASE WHEN n < {WINDOW} THEN n ELSE max(CASE WHEN j - lo < {WINDOW} THEN least(lo, n - {WINDOW}) + {WINDOW} END) END AS z
+  FROM k GROUP BY doc_id, item_id, n, shift
+), r AS (
+  SELECT doc_id, item_id, shift + a AS doc_start, a AS item_start, z - a AS n_tokens, len(list_filter(js, lambda x: x >= a AND x < z)) AS n_equal FROM s WHERE a IS NOT NULL
+)
+SELECT doc_id, item_id, CAST(doc_start AS BIGINT) AS doc_start, CAST(item_start AS BIGINT) AS item_start, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_equal AS BIGINT) AS n_equal
+FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, doc_start) = 1
+"""

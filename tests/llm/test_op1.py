@@ -2,7 +2,7 @@ import itertools
 import random
 
 import numpy as np
-from helpers import docs
+from helpers import SF, docs, oracle, same
 
 from pagewright.llm import op1_decontaminate as o
 
@@ -64,6 +64,12 @@ def test_against_brute_force(spark):
         left = o.decontaminate(d, bench(spark, items), block)
         assert left.columns == d.columns
         assert sorted(x.doc_id for x in left.collect()) == sorted(set(range(len(texts))) - {a for a, _ in want})
+    tables = {"documents": ("doc_id BIGINT, text VARCHAR", list(enumerate(texts))), "benchmark": ("item_id BIGINT, text VARCHAR", list(enumerate(items)))}
+    same(o.matches(d, bench(spark, items)), oracle(o.ORACLE, tables))
+
+
+def test_oracle(spark):
+    same(o.op1_decontaminate(spark, SF), oracle(o.ORACLE))
 
 
 def test_edges(spark):
