@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import pages as P
 from pagewright.operators.pool import pool_events, pool_stats
+from pagewright.operators.replacer import replacer_events
 from pagewright.plans import traces
 from pagewright.sources import pagefile
 from pagewright.session import table
@@ -52,6 +53,15 @@ def pool_missing_pages_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool_events(traces.event_trace(spark, sf_dir), POOL, 60, False).groupBy("trace_id", "outcome").agg(F.count("*").alias("n"))
 
 
+def pool_replacer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Victims of the bare FIFO order: frames are accessed and freed by turns, and each fifth event evicts."""
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_id") % 5 == 0, "evict").when(F.col("event_id") % 2 == 0, "access").otherwise("evictable")
+    got = replacer_events(e.select(F.col("event_type").alias("trace_id"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("user_id") % 32).alias("frame_id")))
+    victims = got.where("op = 'evict'").groupBy("trace_id").agg(F.count("*").alias("asked"), F.count("value").alias("evicted"), F.sum("value").alias("frame_sum"))
+    return victims.withColumn("last", P.frame_id_text("frame_sum"))
+
+
 def _fold(tables: str, size: str, group: str, dirty: bool = False) -> str:
     """SQL for a FIFO fold over `tables` (trace_id, seq, page, w), for pools of `size`."""
     full = f"len(a.q) >= {size}"
@@ -182,7 +192,7 @@ def ext_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (pool_fifo_hit_rate, pool_stats_full, pool_capacity_sweep, pool_order_trace, pool_missing_pages, pool_missing_pages_kept, page_headers, page_checksums, page_inventory, page_reencode, page_store, ext_tumbling, ext_session, ext_json_props)
+    f.__name__: f for f in (pool_fifo_hit_rate, pool_stats_full, pool_capacity_sweep, pool_order_trace, pool_missing_pages, pool_missing_pages_kept, pool_replacer, page_headers, page_checksums, page_inventory, page_reencode, page_store, ext_tumbling, ext_session, ext_json_props)
 } | {name: _shared(sql) for name, sql in SHARED.items()}
 
 ORACLES: dict[str, str] = SHARED | {

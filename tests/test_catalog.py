@@ -42,6 +42,19 @@ def test_missing_pages(spark, name, leak):
     assert {(r.trace_id, r.outcome): r.n for r in catalog.QUERIES[name](spark, SF).collect()} == want
 
 
+def test_replacer(spark):
+    from pagewright.operators.replacer import Fifo
+
+    want, fifos = {}, {}
+    for r in table(spark, SF, "events").orderBy("event_id").collect():
+        f = fifos.setdefault(r.event_type, Fifo())
+        v = f.apply("evict" if r.event_id % 5 == 0 else "access" if r.event_id % 2 == 0 else "evictable", r.user_id % 32)
+        if r.event_id % 5 == 0:
+            a, b, c = want.get(r.event_type, (0, 0, 0))
+            want[r.event_type] = (a + 1, b + (v is not None), c + (v or 0))
+    assert {r.trace_id: (r.asked, r.evicted, r.frame_sum or 0) for r in catalog.QUERIES["pool_replacer"](spark, SF).collect()} == want
+
+
 def test_page_checksums(spark):
     import zlib
 
