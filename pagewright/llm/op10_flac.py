@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm.textbatch import pieces
+from pagewright.llm.textbatch import pieces, text_rows
 from pagewright.session import table
 
 BLOCK, RATE, UNIT = 4608, 8000, 192
@@ -558,7 +558,7 @@ def encode_media(df: DataFrame, key: str = "doc_id", column: str = "text") -> Da
             for i, j, buf, off in pieces(b.column(1), PIECE):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(encode(buf, off), pa.binary())], [key, "media"])
 
-    return df.select(key, column).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, media binary")
+    return text_rows(df).select(key, column).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, media binary")
 
 
 def pcm_blocks(df: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
@@ -587,7 +587,7 @@ def pcm_blocks(df: DataFrame, key: str = "doc_id", column: str = "media") -> Dat
                     types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary(), pa.string()]
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(which)), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [key, "block", "sample_offset", "n_samples", "rate", "channels", "bits", "pcm", "error"])
 
-    return df.select(key, column).mapInArrow(run, f"{key} {kind}, block long, sample_offset long, n_samples long, rate int, channels int, bits int, pcm binary, error string")
+    return text_rows(df).select(key, column).mapInArrow(run, f"{key} {kind}, block long, sample_offset long, n_samples long, rate int, channels int, bits int, pcm binary, error string")
 
 
 def padded(buf: np.ndarray, off: np.ndarray, unit: int = UNIT) -> tuple[np.ndarray, np.ndarray]:
@@ -626,7 +626,7 @@ def media_rows(docs: DataFrame) -> DataFrame:
                     rows.append(_digest(n, m, got))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return text_rows(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.textbatch import LOWER, PUNCT, find_words, pieces, scramble
+from pagewright.llm.textbatch import LOWER, PUNCT, find_words, pieces, scramble, text_rows
 from pagewright.session import table
 
 WINDOW, NEED, SHORTEST = 13, 11, 5
@@ -184,7 +184,7 @@ def matches(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BYTES) -
 
     out = None
     for bc in _over_blocks(docs, bench, block_bytes):
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(runner(bc), schema)
+        part = text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(runner(bc), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -204,7 +204,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BY
         return run
 
     for bc in _over_blocks(docs, bench, block_bytes):
-        docs = docs.mapInArrow(runner(bc), docs.schema)
+        docs = text_rows(docs).mapInArrow(runner(bc), docs.schema)
     return docs
 
 

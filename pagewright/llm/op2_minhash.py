@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.graph import components
-from pagewright.llm.textbatch import LOWER, find_words, pieces, rolling, scramble
+from pagewright.llm.textbatch import LOWER, find_words, pieces, rolling, scramble, text_rows
 from pagewright.session import materialize, table
 
 BANDS, ROWS, CIRCLE = 32, 5, 1 << 20
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 cols = list(zip(*(_describe(s) for s in shingle_sets(buf, off, width)), strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "k1", "k2", "b0", "b1", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, b0 long, b1 long, bands array<long>")
+    return text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, b0 long, b1 long, bands array<long>")
 
 
 class _Forest:
@@ -178,7 +178,7 @@ def verified(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         yield pd.DataFrame(out, columns=names)
 
     names = ["g", "block", "a", "b", "ids", "sizes", "data"]
-    members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, "doc_id").select("g", "block", "blocks", "doc_id", "text").mapInArrow(sets, "g long, block long, blocks long, doc_id long, members binary")
+    members = text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, "doc_id").select("g", "block", "blocks", "doc_id", "text").mapInArrow(sets, "g long, block long, blocks long, doc_id long, members binary")
     first = materialize(members.repartition("g", "block").sortWithinPartitions("g", "block").mapInPandas(within, "g long, block long, a long, b long, ids binary, sizes binary, data binary"), "verified")
     packed = first.where("ids is not null").select("g", "block", "ids", "sizes", "data")
 

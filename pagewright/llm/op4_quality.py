@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.textbatch import find_words, pieces, scramble
+from pagewright.llm.textbatch import find_words, pieces, scramble, text_rows
 from pagewright.session import table
 
 TRAIN_ROWS = 20_000
@@ -228,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
                 rows = features(buf, off)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.FixedSizeListArray.from_arrays(rows.reshape(-1), len(NAMES)).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    picked = text_rows(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     got = picked.mapInArrow(run, f"doc_id {kind}, x array<double>").toPandas()  # at most one row for each chosen id, and repeats of it
     both = got.drop_duplicates("doc_id").merge(chosen, on="doc_id").sort_values(["doc_id", "quality"], kind="stable")
     x = np.stack(both.x.to_list()) if len(both) else np.zeros((0, len(NAMES)))
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return text_rows(docs).mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def quality_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:

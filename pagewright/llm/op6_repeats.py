@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.textbatch import WORD_BASE_2, find_words, pieces, rolling, scramble, span_hash
+from pagewright.llm.textbatch import WORD_BASE_2, find_words, pieces, rolling, scramble, span_hash, text_rows
 from pagewright.session import materialize, table
 
 WINDOW, ANCHOR = 20, 8
@@ -89,7 +89,7 @@ def paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
                     ["key", "doc_id", "start", "n", "content", "loop", "lead"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, start int, n int, content long, loop boolean, lead boolean")
+    return text_rows(docs).select("doc_id", "text").mapInArrow(run, "key long, doc_id long, start int, n int, content long, loop boolean, lead boolean")
 
 
 def _removed(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import files
-from pagewright.llm.textbatch import claim, scramble
+from pagewright.llm.textbatch import claim, scramble, text_rows
 from pagewright.session import materialize, scratch_path, table
 
 END_ID = 2
@@ -296,7 +296,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, *, end
     """Writes payload and index of docs (doc_id, text) and returns the store."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-store")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
     in_order = keyed.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
     written = in_order.mapInArrow(_writer(path, tokenizer, end_id, special_as_text), "doc_id long, shard int, first long, n_tokens long")
