@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULT_SHARED = "/tmp/checkpoints/pagewright"
 
 
-def local_session(cpus: int | str = 8, name: str = "pagewright") -> SparkSession:
+def local_session(cpus: int | str = 8, name: str = "pagewright", checkpoint_dir: str | None = None) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -21,8 +21,10 @@ def local_session(cpus: int | str = 8, name: str = "pagewright") -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PAGEWRIGHT_DRIVER_MEMORY", "6g"))
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,11 +1,15 @@
+import shutil
+
 import pytest
 
 from pagewright.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "tests")
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session(4, "tests", f"file://{shared}")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+    shutil.rmtree(shared, ignore_errors=True)
