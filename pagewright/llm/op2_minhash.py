@@ -211,7 +211,11 @@ def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
     # Written, so that both sides of the join are plain shuffles and a hot bucket's rows can be split.
     hubs = materialize(rows.groupBy("band").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
     stars = rows.join(hubs, "band").select("x", F.explode(F.array("lo", "hi")).alias("hub")).where("x.doc_id <> hub.doc_id").where(_plausible("x", "hub", percent))
-    comp = components(stars.select(F.least("x.doc_id", "hub.doc_id").alias("a"), F.greatest("x.doc_id", "hub.doc_id").alias("b")))
+    # A class has at most two hubs a band. An edge to the first, and edges from that to the others, which members of a group have in common, connect the same.
+    own = stars.groupBy(F.col("x.doc_id").alias("child")).agg(F.array_sort(F.collect_set("hub.doc_id")).alias("hubs"))
+    first = F.element_at("hubs", 1)
+    edges = own.select(F.explode(F.transform("hubs", lambda h: F.struct(first.alias("a"), F.when(h == first, F.col("child")).otherwise(h).alias("b")))).alias("e")).select("e.*").distinct()
+    comp = components(edges)
     # Buckets in which groups still meet.
     known = reps.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.explode("bands").alias("band"), me.alias("x"), F.coalesce("component", "doc_id").alias("c"))
     sizes = known.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
