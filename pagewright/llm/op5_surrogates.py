@@ -11,7 +11,7 @@ ip        four numbers up to 255                                       four numb
 phone     +country and groups; (area) number; 3-3-4 groups             digit for digit, country code kept
 ssn       3-2-4 digits                                                 digit for digit
 card      13 to 19 digits, spaces or hyphens between                   first digit kept; passes the Luhn check if the original does
-hexkey    32 to 128 hexadecimal digits                                 hexadecimal digits
+hexkey    32 or more hexadecimal digits                                hexadecimal digits
 name      title and one to three capitalised words                     names made of syllables, endings by the title's gender, Latin or Cyrillic
 
 Entities are compared without case and, for numbers, without punctuation; a surrogate is written with the case and punctuation of the mention.
@@ -30,6 +30,8 @@ names beginning with __pii are this module's own. Empty tables give empty result
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,14 +49,14 @@ _BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
 #: Patterns in order of precedence.
 PATTERNS = {
-    "secret": r"(?<![\p{L}])(?i:token|secret|password|passwd|pwd|(?:api|access|secret)[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.\-]{8,128}={0,2}",
+    "secret": r"(?<![\p{L}])(?i:token|secret|password|passwd|pwd|(?:api|access|secret)[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.\-]{8,}+={0,2}",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,5}\.[\p{L}]{2,24}" + _AFTER,
     "iban": _BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})" + _AFTER,
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}" + _AFTER,
     "card": _BEFORE + r"\d(?:[ -]?\d){12,18}" + _AFTER,
-    "hexkey": _BEFORE + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})" + _AFTER,
+    "hexkey": _BEFORE + r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)" + _AFTER,
     "name": _BEFORE + rf"(?:{_TITLES})\.? {{1,2}}{_NAME_WORD}(?: {_NAME_WORD}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -89,6 +91,11 @@ def kind_of(mention: Column) -> Column:
     return out
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once, however often lambdas in use need it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _alnum(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
 
@@ -117,15 +124,17 @@ def _entities(kind: Column, core: Column) -> Column:
 def _surrogate(kind: Column, norm: Column, shape: Column, turn: int, key: str) -> Column:
     """The surrogate for a shape in a round."""
     hashed = [F.sha2(F.concat_ws("\x01", F.lit(key), kind, norm, F.lit(f"{turn}:{n}")), 256) for n in range(3)]
-    stream = F.concat(*hashed)
+    is_hex = (kind == "hexkey") | (kind == "secret") & shape.rlike("^[0-9a-f]{16,}$")
+    return _with(F.struct(F.concat(*hashed).alias("stream"), is_hex.alias("hex")), lambda once: _drawn(kind, norm, shape, turn, once["stream"], once["hex"]))
 
+
+def _drawn(kind: Column, norm: Column, shape: Column, turn: int, stream: Column, is_hex: Column) -> Column:
     def byte(i: Column) -> Column:
         return F.conv(F.substr(stream, (i % 96) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
     def sign(c: Column, i: Column) -> Column:
         b = byte(i)
-        hexed = (kind == "hexkey") | (kind == "secret") & shape.rlike("^[0-9a-f]{16,}$")
-        out = F.when(hexed & c.rlike("^[0-9a-f]$"), _pick("0123456789abcdef", b))
+        out = F.when(is_hex & c.rlike("^[0-9a-f]$"), _pick("0123456789abcdef", b))
         keep = ((kind == "card") & (i == 0)) | ((kind == "iban") & (i < 2)) | ((kind == "phone") & (F.length(shape) > 10) & (i < F.length(shape) - 10))
         out = out.when(keep, c)
         for pattern, letters in _ALPHABETS.items():
@@ -166,16 +175,15 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def _written(kind: Column, core: Column, surrogate: Column) -> Column:
     """The surrogate with the case and punctuation of the mention."""
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
+    body = F.when(kind == "domain", F.regexp_extract(core, r"^(.*)\.[^.]*$", 1)).otherwise(core)
+    gaps, shown = F.split(body, r"[\p{L}\p{N}]", -1), F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}]"), F.lit(0))
+    signs = F.filter(F.split(surrogate, ""), lambda c: c != "")
 
-    def step(acc: Column, c: Column) -> Column:
-        s = F.substr(surrogate, acc["i"], F.lit(1))
-        upper = (c == F.upper(c)) & (c != F.lower(c))
-        shown = F.when(c.rlike(r"[\p{L}\p{N}]"), F.when(upper, F.upper(s)).otherwise(s)).otherwise(c)
-        return F.struct(F.concat(acc["out"], shown).alias("out"), (acc["i"] + c.rlike(r"[\p{L}\p{N}]").cast("int")).alias("i"))
+    def step(x: Column) -> Column:
+        c, s = x["c"], F.coalesce(x["s"], F.lit(""))
+        return F.concat(F.coalesce(x["gap"], F.lit("")), F.when((c == F.upper(c)) & (c != F.lower(c)), F.upper(s)).otherwise(s))
 
-    body = F.when(kind == "domain", F.regexp_extract(core, r"^(.*)\.[^.]*$", 1)).otherwise(core)
-    walked = F.aggregate(F.filter(F.split(body, ""), lambda c: c != ""), start, step, lambda acc: F.concat(acc["out"], F.substr(surrogate, acc["i"], F.length(surrogate))))
+    walked = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), shown.alias("c"), signs.alias("s")), step), "")
     top = F.when(kind == "domain", F.concat(F.lit("."), F.regexp_extract(core, r"[^.]*$", 0))).otherwise("")
     return F.when(kind == "ip", surrogate).when(kind.startswith("name-"), F.when((core == F.upper(core)) & (F.length(core) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))).otherwise(F.concat(walked, top))
 

@@ -80,3 +80,23 @@ def test_edges(spark):
     assert sorted(r.n_entities for r in rows) == [0, 0, 1, 1, 1, 2]
     assert len({r.text for r in rows if r.text and "@" in r.text}) == 1
     assert o.replace(d.limit(0)).count() == 0
+
+
+def test_long_secrets(spark):
+    long, jwt, blob, lower, upper = "aB3" * 67, ".".join(["eyJhbGci" * 40] * 3), "Qx7+/" * 400, "0a1b2c3d" * 20, "9F8E7D6C" * 100
+    rows = [(1, f"token = {long} end"), (2, f'"api_key": "{jwt}", next'), (3, f"secret={blob}== end"), (4, f"key {lower} end"), (5, f"key {upper} end"), (6, f"key {lower} and {lower.upper()}")]
+    got = texts(o.replace(docs(spark, rows)))
+    for i, value in enumerate([long, jwt, blob, lower, upper], 1):
+        before = rows[i - 1][1]
+        lead, tail = before.split(value)
+        assert got[i].startswith(lead)
+        assert got[i].endswith(tail)
+        new = got[i][len(lead) : len(got[i]) - len(tail)]
+        assert len(new) == len(value)
+        assert [c.isalnum() for c in new] == [c.isalnum() for c in value]
+        assert not any(value[k : k + 24] in got[i] for k in range(0, len(value) - 23, 8))
+    assert re.fullmatch(r"key [0-9a-f]{160} end", got[4])
+    assert re.fullmatch(r"key [0-9A-Fa-f]{800} end", got[5])
+    a, b = re.fullmatch(r"key (\w+) and (\w+)", got[6]).groups()
+    assert a == b.lower()
+    assert f"key {a} end" == got[4]
