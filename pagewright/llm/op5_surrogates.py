@@ -12,11 +12,14 @@ phone     +country and groups; (area) number; 3-3-4 groups             digit for
 ssn       3-2-4 digits                                                 digit for digit
 card      13 to 19 digits, spaces or hyphens between                   first digit kept; passes the Luhn check if the original does
 hexkey    32 or more hexadecimal digits                                hexadecimal digits
-name      title and one to three capitalised words                     names made of syllables, endings by the title's gender, Latin or Cyrillic
+name      title and all capitalised words behind it; a name's words     names made of syllables, endings by the title's gender, Latin or Cyrillic
+          without a title in the same text
 
 Entities are compared without case and, for numbers, without punctuation; a surrogate is written with the case and punctuation of the mention.
 A letter becomes one of the same script (Latin, Latin with diacritics, Cyrillic, Greek). Words of a name are entities of their own, so
-"Mr. Ann Example" and "Ms. Example" share the surrogate of "Example". Domains are, too.
+"Mr. Ann Example" and "Ms. Example" share the surrogate of "Example". Domains are, too. Small particles (de, van, von, ...), hyphens, initials' full stops and
+a final 's may stand in or behind a name and are kept. Untitled capitalised mentions of a word of a text's titled names get its surrogate (of the surname if it
+is one, too), each counted as a mention; single letters and capitalised particles only get one behind a title.
 
 Distinctness: two entities of a kind never share a surrogate, and none equals an entity of that kind in the data. Entities whose surrogate is taken (the
 smallest keeps it) go to another round with a new hash; from round 6 on they also get a suffix of their own hash, so rounds end.
@@ -44,8 +47,15 @@ _MALE = "Mr|Mister|Herr|Herrn|Monsieur|Señor|Sr|Sir|господин|г-н"
 _FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Srta|Sra|Lady|госпожа|г-жа"
 _NEUTRAL = "Dr|Prof|Mx"
 _TITLES = f"{_FEMALE}|{_MALE}|{_NEUTRAL}"
-_NAME_WORD = r"\p{Lu}[\p{L}'’]*+(?:-\p{Lu}[\p{L}'’]*+)*+"
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: A capitalised word that is no title; a final 's isn't part of it.
+_WORD = rf"(?!(?:{_TITLES})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:['’](?![sS](?![\p{{L}}\p{{M}}]))[\p{{L}}\p{{M}}]++)*+"
+_PARTICLES = "de|del|della|delle|dello|degli|dei|di|da|das|do|dos|du|des|la|las|le|les|lo|los|van|von|vom|zu|zum|zur|und zu|den|der|dem|het|ter|ten|te|tot|af|av|y|e|bin|bint|ibn|ben|abu|al|el|st"
+_PARTICLE = rf"(?:(?:{_PARTICLES}) {{1,2}}|(?:d|l|dell|t)['’]|(?:al|el)-)*+"
+#: Between words of a name: spaces, a hyphen, or an initial's full stop.
+_BETWEEN = r"(?: {1,2}|-|(?<=[^\p{L}\p{M}]\p{Lu})\. {0,2})"
+#: A word that may be a later mention of a name.
+BARE = r"(?<![\p{L}\p{M}\p{N}])" + _WORD
 
 #: Patterns in order of precedence.
 PATTERNS = {
@@ -57,7 +67,7 @@ PATTERNS = {
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}" + _AFTER,
     "card": _BEFORE + r"\d(?:[ -]?\d){12,18}" + _AFTER,
     "hexkey": _BEFORE + r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)" + _AFTER,
-    "name": _BEFORE + rf"(?:{_TITLES})\.? {{1,2}}{_NAME_WORD}(?: {_NAME_WORD}){{0,2}}",
+    "name": _BEFORE + rf"(?:{_TITLES})\.? {{1,2}}{_PARTICLE}{_WORD}(?:{_BETWEEN}{_PARTICLE}{_WORD})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every text with an entity has.
@@ -101,24 +111,26 @@ def _alnum(c: Column) -> Column:
 
 
 def _entities(kind: Column, core: Column) -> Column:
-    """The entities in a mention's core: kind, scope (within which surrogates must differ), norm (identity), shape (signs to replace), core."""
+    """The entities in a mention's core: kind, scope (within which surrogates must differ), norm (identity), shape (signs to replace), core, before (kept)."""
 
-    def one(k: Column | str, scope: Column, norm: Column, shape: Column, c: Column) -> Column:
-        return F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), scope.alias("scope"), norm.alias("norm"), shape.alias("shape"), c.alias("core"))
+    def one(k: Column | str, scope: Column, norm: Column, shape: Column, c: Column, before: Column | None = None) -> Column:
+        before = F.lit("") if before is None else before
+        return F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), scope.alias("scope"), norm.alias("norm"), shape.alias("shape"), c.alias("core"), before.alias("before"))
 
     none = F.lit("")
     local, domain = F.substring_index(core, "@", 1), F.substring_index(core, "@", -1)
     stem = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
     email = F.array(one("email", F.lower(domain), F.lower(core), _alnum(local), local), one("domain", F.regexp_extract(F.lower(domain), r"[^.]*$", 0), F.lower(domain), _alnum(stem), domain))
-    words = F.split(core, " ")
+    words, gaps = F.regexp_extract_all(core, F.lit(_WORD), F.lit(0)), F.split(core, _WORD, -1)
 
-    def name(w: Column, i: Column) -> Column:
+    def name(w: Column, i: Column, n: Column, before: Column) -> Column:
         script = F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-        role = F.when(i == F.size(words) - 1, "x").otherwise(F.regexp_extract(kind, "^name(.)$", 1))
-        return one(F.concat(F.lit("name-"), script, F.lit("-"), role), none, F.lower(w), F.lower(w), w)
+        role = F.when(i == n - 1, "x").otherwise(F.regexp_extract(kind, "^name(.)$", 1))
+        return one(F.concat(F.lit("name-"), script, F.lit("-"), role), none, F.lower(w), F.lower(w), w, before)
 
+    names = _with(F.struct(words.alias("words"), gaps.alias("gaps")), lambda x: F.transform(x["words"], lambda w, i: name(w, i, F.size(x["words"]), F.get(x["gaps"], i))))
     plain = F.array(one(kind, none, F.when(kind.isin("ip"), core).otherwise(_alnum(core)), F.when(kind.isin("ip"), core).otherwise(_alnum(core)), core))
-    return F.when(kind == "email", email).when(kind.startswith("name"), F.transform(words, name)).otherwise(plain)
+    return F.when(kind == "email", email).when(kind.startswith("name"), names).otherwise(plain)
 
 
 def _surrogate(kind: Column, norm: Column, shape: Column, turn: int, key: str) -> Column:
@@ -188,6 +200,30 @@ def _written(kind: Column, core: Column, surrogate: Column) -> Column:
     return F.when(kind == "ip", surrogate).when(kind.startswith("name-"), F.when((core == F.upper(core)) & (F.length(core) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))).otherwise(F.concat(walked, top))
 
 
+def _with_bare(found: DataFrame) -> DataFrame:
+    """found's mentions as (mention, bare); in rows with a name, capitalised words between mentions are listed as bare, and the parts are those between all."""
+    empty = F.array().cast("array<struct<mention: string, bare: boolean>>")
+    parts, hits = F.col("__pii_parts"), F.col("__pii")
+    named = F.exists(hits, lambda x: x.rlike(rf"\A(?:{PATTERNS['name']})\z"))
+
+    def one(x: Column) -> Column:
+        bare = F.transform(F.regexp_extract_all(x["p"], F.lit(BARE), F.lit(0)), lambda w: F.struct(w.alias("mention"), F.lit(True).alias("bare")))
+        return F.concat(bare, F.when(x["m"].isNull(), empty).otherwise(F.array(F.struct(x["m"].alias("mention"), F.lit(False).alias("bare")))))
+
+    both = F.flatten(F.transform(F.arrays_zip(parts.alias("p"), hits.alias("m")), one))
+    plain = F.transform(hits, lambda x: F.struct(x.alias("mention"), F.lit(False).alias("bare")))
+    found = found.withColumn("__pii_named", named)
+    cut = F.when(F.col("__pii_named"), F.flatten(F.transform(parts, lambda p: F.split(p, BARE, -1)))).otherwise(parts)
+    return found.withColumns({"__pii_parts": cut, "__pii": F.when(F.col("__pii_named"), both).otherwise(plain)}).drop("__pii_named")
+
+
+def _later(bare: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Bare words (__pii_row, at, core, norm) with the kind of the name they mention in their row, else null."""
+    name = mentions.where(F.col("kind").startswith("name-") & (F.length("norm") > 1) & ~F.col("norm").rlike(rf"^(?:{_PARTICLES})$"))
+    name = name.groupBy("__pii_row", "norm").agg(F.max("kind").alias("kind"))  # x, a surname, is the last letter of all
+    return bare.select("__pii_row", "at", F.col("mention").alias("core"), F.lower("mention").alias("norm")).join(name, ["__pii_row", "norm"], "left")
+
+
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs' columns with surrogates in text, then n_entities (mentions replaced); a column of docs with that name is left out."""
     docs = docs.drop("n_entities")
@@ -195,8 +231,10 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     text = F.col("text")
     hit = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
     clean = docs.where(~hit).withColumn("n_entities", F.lit(0))
-    found = materialize(docs.where(hit).withColumn("__pii_row", F.monotonically_increasing_id()).withColumn("__pii_parts", F.split(text, ANY, -1)).withColumn("__pii", F.regexp_extract_all("text", F.lit(ANY), F.lit(0))), "found")
-    m = found.select("__pii_row", F.posexplode("__pii").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
+    found = docs.where(hit).withColumn("__pii_row", F.monotonically_increasing_id()).withColumn("__pii_parts", F.split(text, ANY, -1)).withColumn("__pii", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    found = materialize(_with_bare(found), "found")
+    listed = found.select("__pii_row", F.posexplode("__pii").alias("at", "x")).select("__pii_row", "at", "x.*")
+    m = listed.where("not bare").select("__pii_row", "at", "mention").withColumn("kind", kind_of(F.col("mention")))
     lead = F.when(F.col("kind") == "secret", F.regexp_extract("mention", r"^[^=:]*[=:]\s*[\"']?", 0)).when(F.col("kind") == "name", F.regexp_extract("mention", rf"^(?:{_TITLES})\.? {{1,2}}", 0)).otherwise("")
     m = m.withColumn("lead", lead).withColumn("core", F.substr("mention", F.length("lead") + 1, F.length("mention")))
     title = F.regexp_replace(F.trim("lead"), r"\.", "")
@@ -204,14 +242,17 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     m = m.withColumn("kind", F.when(F.col("kind") == "name", F.concat(F.lit("name"), gender)).otherwise(F.col("kind")))
     m = m.select("__pii_row", "at", "lead", "kind", F.posexplode(_entities(F.col("kind"), F.col("core"))).alias("nth", "e")).select("__pii_row", "at", "lead", F.col("kind").alias("as"), "nth", "e.*")
     m = materialize(m, "mentions")
+    later = materialize(_later(listed.where("bare"), m), "later")
     known = surrogate_table(m.groupBy("kind", "scope", "norm").agg(F.min("shape").alias("shape")), key)
-    shown = m.join(known, ["kind", "scope", "norm"]).select("__pii_row", "at", "lead", "as", "nth", _written(F.col("kind"), F.col("core"), F.col("surrogate")).alias("s"))
+    again = later.where("kind is not null").select("__pii_row", "at", F.lit("").alias("lead"), F.lit("name").alias("as"), F.lit(0).alias("nth"), "kind", F.lit("").alias("scope"), "norm", F.col("norm").alias("shape"), "core", F.lit("").alias("before"))
+    shown = m.unionByName(again).join(known, ["kind", "scope", "norm"]).select("__pii_row", "at", "lead", "as", "nth", F.concat("before", _written(F.col("kind"), F.col("core"), F.col("surrogate"))).alias("s"))
     parts = shown.groupBy("__pii_row", "at").agg(F.min("lead").alias("lead"), F.min("as").alias("as"), F.array_sort(F.collect_list(F.struct("nth", "s"))).alias("parts"))
-    sep = F.when(F.col("as") == "email", "@").when(F.col("as").startswith("name"), " ").otherwise("")
-    whole = parts.select("__pii_row", F.struct("at", F.concat("lead", F.reduce(F.col("parts.s"), F.lit(None).cast("string"), lambda a, s: F.when(a.isNull(), s).otherwise(F.concat(a, sep, s)))).alias("s")).alias("part"))
-    per_row = whole.groupBy("__pii_row").agg(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["s"]).alias("__pii_new"))
+    sep = F.when(F.col("as") == "email", "@").otherwise("")
+    whole = parts.select("__pii_row", F.struct("at", F.concat("lead", F.reduce(F.col("parts.s"), F.lit(None).cast("string"), lambda a, s: F.when(a.isNull(), s).otherwise(F.concat(a, sep, s)))).alias("s")).alias("part"), F.lit(1).alias("new"))
+    whole = whole.unionByName(later.where("kind is null").select("__pii_row", F.struct("at", F.col("core").alias("s")).alias("part"), F.lit(0).alias("new")))
+    per_row = whole.groupBy("__pii_row").agg(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["s"]).alias("__pii_new"), F.sum("new").cast("int").alias("__pii_n"))
     rebuilt = F.array_join(F.transform("__pii_parts", lambda p, i: F.concat(p, F.coalesce(F.get("__pii_new", i), F.lit("")))), "")
-    changed = found.join(per_row, "__pii_row").withColumn("text", rebuilt).withColumn("n_entities", F.size("__pii_new"))
+    changed = found.join(per_row, "__pii_row").withColumn("text", rebuilt).withColumn("n_entities", F.col("__pii_n"))
     return clean.unionByName(changed.select(*cols, "n_entities"))
 
 

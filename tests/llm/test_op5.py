@@ -100,3 +100,31 @@ def test_long_secrets(spark):
     a, b = re.fullmatch(r"key (\w+) and (\w+)", got[6]).groups()
     assert a == b.lower()
     assert f"key {a} end" == got[4]
+
+
+def test_whole_names(spark):
+    rows = [
+        (1, "Mr. Juan Carlos García López came. García López, GARCÍA and Juan's friend; garcía, Garcíax."),
+        (2, "Señora María del Carmen García López"),
+        (3, "Mr. Ludwig van Beethoven; Beethoven's Fifth. Van Gogh, Ludwig."),
+        (4, "Mr. John Smith called j.smith@mail.example.com, then Smith left. Mrs. Anna Smith-Jones, Prof. Dr. J. R. Tolkien"),
+        (5, "Smith, López and Beethoven stay. Mail a.b@mail.example.com"),
+        (6, "Herr von der Leyen und Frau Dr. Ada de la Cruz: Leyen, Cruz. J is a letter"),
+    ]
+    out = {r.doc_id: r for r in o.replace(docs(spark, rows)).collect()}
+    got = {k: r.text for k, r in out.items()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) (\w+) (\w+) came\. (\w+) (\w+), (\w+) and (\w+)'s friend; garcía, Garcíax\.", got[1])
+    assert m[5] == m[3] and m[6] == m[4] and m[7] == m[3].upper() and m[8] == m[1]
+    assert not {"Juan", "Carlos", "García", "López", "GARCÍA"} & set(re.findall(r"\w+", got[1]))
+    assert out[1].n_entities == 5
+    n = re.fullmatch(r"Señora (\w+) del (\w+) (\w+) (\w+)", got[2])
+    assert n[4] == m[4]
+    assert not {"María", "Carmen", "García", "López"} & set(n.groups())
+    b = re.fullmatch(r"Mr\. (\w+) van (\w+); (\w+)'s Fifth\. Van Gogh, (\w+)\.", got[3])
+    assert b[3] == b[2] != "Beethoven" and b[4] == b[1] != "Ludwig"
+    s = re.fullmatch(r"Mr\. (\w+) (\w+) called \S+@\S+\.com, then (\w+) left\. Mrs\. (\w+) (\w+)-(\w+), Prof\. Dr\. (\w+)\. (\w+)\. (\w+)", got[4])
+    assert s[3] == s[2] != "Smith"
+    assert not {"Jones", "Anna", "Tolkien"} & set(s.groups())
+    assert got[5].startswith("Smith, López and Beethoven stay. Mail ")
+    h = re.fullmatch(r"Herr von der (\w+) und Frau Dr\. (\w+) de la (\w+): (\w+), (\w+)\. J is a letter", got[6])
+    assert h[4] == h[1] != "Leyen" and h[5] == h[3] != "Cruz"
