@@ -10,6 +10,7 @@ Encoding takes bytes as signed 8-bit samples, in blocks of 4,608, and picks for
 verbatim and fixed predictors of order 0 to 2 with the best Rice parameter. It is deterministic: equal bytes, equal streams.
 
 Memory: pieces of about 1 MB of text at a time, whatever a partition holds. Nothing is shuffled.
+The query writes its streams to the shared folder and describes the PCM blocks read back from there.
 
 Null and empty texts count as empty payloads (the query pads them to 192 spaces). Null media give no blocks. A stream that is
 damaged gives error texts in `error`, not a failed task. Repeated rows are handled each for itself; other columns are ignored.
@@ -26,9 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagewright.llm.textbatch import pieces, text_rows
-from pagewright.session import table
+from pagewright.session import materialize, table
 
 BLOCK, RATE, UNIT = 4608, 8000, 192
 PIECE = 1 << 20
@@ -568,8 +570,8 @@ def pcm_blocks(df: DataFrame, key: str = "doc_id", column: str = "media") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0)
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
+            for i, j, _, _ in pieces(b.column(1), PIECE):
+                part = b.slice(i, j - i)
                 have = [n for n, v in enumerate(part.column(1)) if v.is_valid]
                 which, cols = [], [[] for _ in range(8)]
                 for n, got in zip(have, decode_batch([part.column(1)[n].as_py() for n in have]), strict=True):
@@ -600,33 +602,68 @@ def padded(buf: np.ndarray, off: np.ndarray, unit: int = UNIT) -> tuple[np.ndarr
     return out, new
 
 
-def _digest(n: int, media: bytes, got: tuple) -> tuple:
-    info, samples, offsets = got
-    s = samples[0].astype(np.int8)
-    back = s.tobytes()
-    wide = s.astype(np.int64)
-    crossings = int(np.count_nonzero(np.diff(np.signbit(wide))))
-    feature = f"rate={info['rate']};samples={len(s)};blocks={len(offsets)};sum={int(wide.sum())};energy={int((wide * wide).sum())};min={int(wide.min())};max={int(wide.max())};crossings={crossings}"
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+class _Digest:
+    """What describes a payload, block after block."""
 
+    def __init__(self):
+        self.sha, self.tail, self.n, self.blocks, self.sum, self.energy, self.crossings = hashlib.sha256(), b"", 0, 0, 0, 0, 0
+        self.least, self.most, self.last = 127, -128, None
+
+    def add(self, pcm: bytes, rate: int) -> None:
+        s = np.frombuffer(pcm, np.int8).astype(np.int64)
+        self.sha.update(pcm)
+        self.tail = (self.tail + pcm[-16:])[-16:]
+        sign = np.signbit(s) if self.last is None else np.concatenate([[self.last], np.signbit(s)])
+        self.crossings += int(np.count_nonzero(np.diff(sign)))
+        self.last, self.rate = sign[-1], rate
+        self.n, self.blocks, self.sum, self.energy = self.n + len(s), self.blocks + 1, self.sum + int(s.sum()), self.energy + int((s * s).sum())
+        self.least, self.most = min(self.least, int(s.min())), max(self.most, int(s.max()))
+
+    def row(self, stream: dict) -> tuple:
+        feature = f"rate={self.rate};samples={self.n};blocks={self.blocks};sum={self.sum};energy={self.energy};min={self.least};max={self.most};crossings={self.crossings}"
+        return stream["doc_id"], stream["n_bytes"], self.n, self.sha.hexdigest(), zlib.crc32(self.tail), stream["media_bytes"], stream["media_sha256"], feature
 
-def media_rows(docs: DataFrame) -> DataFrame:
-    """Stores each padded text as a FLAC stream, decodes the stream's bytes and describes what comes back."""
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+def store_media(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n_bytes (of the text), media: the padded texts' FLAC streams, written to the shared folder and read from there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, buf, off in pieces(b.column(1), PIECE):
-                media = encode(*padded(buf, off))
-                rows = []
-                for n, m, got in zip(np.diff(off).tolist(), media, decode_batch(media), strict=True):
-                    if isinstance(got, FlacError):
-                        raise got
-                    rows.append(_digest(n, m, got))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", *names])
+            for i, j, buf, off in pieces(b.column(2), PIECE):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(np.diff(off), pa.int64()), pa.array(encode(*padded(buf, off)), pa.binary())], ["row", "doc_id", "n_bytes", "media"])
 
-    return text_rows(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    rows = text_rows(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return materialize(rows.mapInArrow(run, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, media binary"), "media")
+
+
+def media_rows(docs: DataFrame) -> DataFrame:
+    """Stores each padded text as a FLAC stream, reads the stored streams' PCM blocks and describes what comes back."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, digest = None, None  # blocks of a stream follow each other, also into the next batch
+        for b in batches:
+            done = []
+            for x, rate, pcm, error in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("stream", "rate", "pcm", "error")), strict=True):
+                if error is not None:
+                    raise FlacError(error)
+                if stream is None or x["row"] != stream["row"]:
+                    if stream is not None:
+                        done.append(digest.row(stream))
+                    stream, digest = x, _Digest()
+                digest.add(pcm, rate)
+            if done:
+                yield out(b, done)
+        if stream is not None:
+            yield out(b, [digest.row(stream)])
+
+    def out(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        types = [b.schema.field("stream").type.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    stream = F.struct("row", "doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    blocks = pcm_blocks(store_media(docs).select(stream.alias("stream"), "media"), "stream")
+    return blocks.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

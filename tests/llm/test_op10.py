@@ -191,3 +191,26 @@ def test_edges(spark, n):
     assert sorted((r.payload_bytes for r in got)) == [192, 192, 192, 192, 400_128]
     assert len({(r.media_sha256, r.feature) for r in got}) == 3
     assert o.media_rows(d.limit(0)).count() == 0
+
+
+def test_query_stores_streams(spark, monkeypatch):
+    import hashlib
+
+    stored, blocks = [], []
+    keep, read = o.materialize, o.pcm_blocks
+    monkeypatch.setattr(o, "materialize", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    monkeypatch.setattr(o, "pcm_blocks", lambda *a: blocks.append(read(*a)) or blocks[-1])
+    texts = ["é" * 7000, "", None, "abc " * 5000, "abc " * 5000]
+    got = {(r.doc_id, r.n_bytes): r for r in o.media_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(stored) == len(blocks) == 1
+    media = {r.doc_id: bytes(r.media) for r in stored[0].collect()}
+    assert len(got) == len(media) == 5
+    for i, x in enumerate(texts):
+        raw = (x or "").encode()
+        pad = raw.ljust(max(1, -(-len(raw) // o.UNIT)) * o.UNIT)
+        r = got[i, len(raw)]
+        assert r.payload_sha256 == hashlib.sha256(pad).hexdigest() and r.payload_bytes == len(pad)
+        assert r.media_sha256 == hashlib.sha256(media[i]).hexdigest() and r.media_bytes == len(media[i])
+        signs = [c > 127 for c in pad]
+        assert f"blocks={-(-len(pad) // o.BLOCK)};" in r.feature
+        assert r.feature.endswith(f"crossings={sum(a != b for a, b in zip(signs, signs[1:]))}")
