@@ -128,9 +128,18 @@ def page_reencode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of one page for each order status, five pages allocated, some written: what is where."""
+    return _stored(spark, table(spark, sf_dir, "nation").where("n_nationkey < 12"))
+
+
+def page_store_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same store, written to by all of nation."""
+    return _stored(spark, table(spark, sf_dir, "nation"))
+
+
+def _stored(spark: SparkSession, nation: DataFrame) -> DataFrame:
     first = spark.range(5).select(F.col("id").alias("page_id"), P.zero_page().alias("data"))
     pages = pagefile.allocate(first, 5)
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 12").select(F.col("n_nationkey").cast("long").alias("page_id"), F.col("n_name"))
+    n = nation.select(F.col("n_nationkey").cast("long").alias("page_id"), F.col("n_name"))
     data = F.substring(F.concat(P.header_bytes(F.lit("Data"), F.lit(0), F.lit(1)), F.encode("n_name", "utf-8"), P.zero_page()), 1, P.PAGE_SIZE)
     changed = n.select("page_id", P.update_checksum(data).alias("data"))
     now = pagefile.write_pages(pages, changed).select("page_id", P.page_class("data").alias("state"))
@@ -192,7 +201,7 @@ def ext_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (pool_fifo_hit_rate, pool_stats_full, pool_capacity_sweep, pool_order_trace, pool_missing_pages, pool_missing_pages_kept, pool_replacer, page_headers, page_checksums, page_inventory, page_reencode, page_store, ext_tumbling, ext_session, ext_json_props)
+    f.__name__: f for f in (pool_fifo_hit_rate, pool_stats_full, pool_capacity_sweep, pool_order_trace, pool_missing_pages, pool_missing_pages_kept, pool_replacer, page_headers, page_checksums, page_inventory, page_reencode, page_store, page_store_nation, ext_tumbling, ext_session, ext_json_props)
 } | {name: _shared(sql) for name, sql in SHARED.items()}
 
 ORACLES: dict[str, str] = SHARED | {
@@ -209,6 +218,7 @@ ORACLES: dict[str, str] = SHARED | {
     "page_inventory": f"SELECT CASE WHEN doc_id % 7 = 0 THEN 'Invalid' ELSE 'Data' END AS page_type, CASE WHEN doc_id % 7 = 0 THEN 'zero' WHEN doc_id % 5 = 0 THEN 'corrupt' ELSE 'ok' END AS class, count(*) AS page_count, count(*) * 4096 AS file_size, max(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE doc_id END) AS max_lsn FROM ({_PARTS}) GROUP BY 1, 2",
     "page_reencode": f"SELECT CASE WHEN doc_id % 10 = 0 THEN 'Free' ELSE 'BTreeLeaf' END AS page_type, count(*) AS n, CAST(sum(doc_id * 2 + part) AS BIGINT) AS lsn_sum, count(*) AS ok FROM ({_PARTS}) GROUP BY 1",
     "page_store": "SELECT CAST(n_nationkey AS BIGINT) AS page_id, CASE WHEN n_nationkey < 10 THEN 'ok' ELSE 'PageNotFound' END AS state FROM nation WHERE n_nationkey < 12",
+    "page_store_nation": "SELECT CAST(n_nationkey AS BIGINT) AS page_id, CASE WHEN n_nationkey < 10 THEN 'ok' ELSE 'PageNotFound' END AS state FROM nation",
     "ext_tumbling": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "ext_session": "WITH s AS (SELECT user_id, sum(CASE WHEN ts < p + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
     "ext_json_props": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY event_type",

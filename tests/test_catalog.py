@@ -72,3 +72,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_page_store_of_all_nations(spark):
+    rows = catalog.QUERIES["page_store_nation"](spark, SF).collect()
+    assert sorted(r.page_id for r in rows) == sorted(r.n_nationkey for r in table(spark, SF, "nation").collect())
+    assert sum(r.state == "PageNotFound" for r in rows) == len(rows) - 10
