@@ -12,15 +12,28 @@ def _at(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+class Writer:
+    """Writes under a name of its own; close() renames: a lost or repeated task leaves a whole file or none."""
+
+    def __init__(self, uri: str):
+        self.store, self.path = _at(uri)
+        self.store.create_dir(posixpath.dirname(self.path), recursive=True)
+        self.own = f"{self.path}.{uuid.uuid4().hex}.part"
+        self.file = self.store.open_output_stream(self.own)
+
+    def write(self, part: bytes) -> None:
+        self.file.write(part)
+
+    def close(self) -> None:
+        self.file.close()
+        self.store.move(self.own, self.path)
+
+
 def write(uri: str, parts: list) -> None:
-    """Writes under a name of its own, then renames: a lost or repeated task leaves a whole file or none."""
-    store, path = _at(uri)
-    store.create_dir(posixpath.dirname(path), recursive=True)
-    own = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(own) as f:
-        for p in parts:
-            f.write(p)
-    store.move(own, path)
+    out = Writer(uri)
+    for p in parts:
+        out.write(p)
+    out.close()
 
 
 def read(uri: str) -> bytes:

@@ -13,8 +13,9 @@ The perfect hash has levels of bitmaps: a key alone at its position of a level i
 level; a slot is the number of set bits before a key's bit.
 
 Scale: texts are shuffled once, by ranges of doc_id; everything after moves rows of about 40 bytes. A task streams its range to
-its shard; memory holds one batch and a bounded cache of word encodings. Each file is written under a name of its own
-and renamed, so repeated tasks are harmless.
+its shard; memory holds one Arrow batch, about CHUNK signs of text at a time (longer texts are cut where ids are cut) and a cache of
+CACHE_WORDS word encodings. Each file is written under a name of its own and renamed, so repeated tasks are harmless. Copies of an id are
+numbered along the shards; no window gathers the rows of an id.
 
 Null texts count as empty and give the end id alone. A null doc_id is a key like any other: it sorts first. Repeated rows
 are all written, in an order fixed by text, and get copy numbers. Other columns are ignored. An empty table gives a store without documents.
@@ -25,23 +26,26 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import files
-from pagewright.llm.textbatch import claim, scramble, text_rows
+from pagewright.llm.textbatch import claim, scramble
 from pagewright.session import materialize, scratch_path, table
 
 END_ID = 2
 BUCKET_KEYS = 50_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
+CHUNK = 1 << 22
 
 # ---------------------------------------------------------------- encoding
 
@@ -61,11 +65,30 @@ _CUT = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
 _TAIL = ".,;:!?*#$%&|)]}\"-"
 
 
+#: Letters below this sign are letters in every version of Unicode that the library may use.
+_OLD = "\u0530"
+#: The byte-level alphabet: printable Latin-1 signs stand for themselves, the other bytes for signs from U+0100 on, in order.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_ALPHABET = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
+def _ends_in_letter(col: pa.Array, texts: list[str]) -> np.ndarray:
+    """For each text (the same in both forms) whether its last sign is a letter of an old block."""
+    end, data = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1], np.frombuffer(col.buffers()[2] or b"\0", np.uint8)
+    last = np.where(end[1:] > end[:-1], data[np.maximum(end[1:], 1) - 1], 0)
+    out = (last | 32 >= 97) & (last | 32 <= 122)
+    for i in np.flatnonzero(last >= 128).tolist():
+        out[i] = texts[i][-1].isalpha() and texts[i][-1] < _OLD
+    return out
+
+
 class WordCoder:
     """Encodes whole texts with a byte-level BPE tokenizer whose pre-tokenizer never joins a word with what follows it.
 
     Such a tokenizer cuts a text before each space that stands between two other characters, around a line end that does, and
     between a letter and punctuation; so the ids of a text are those of its pieces, and each different piece is encoded once while the cache lasts.
+    A batch's pieces are numbered by Arrow's dictionary encoding; ids are then gathered for all pieces at once, without a loop over them. A piece of
+    letters only is a single pre-token and goes straight to the tokenizer's model.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -75,25 +98,28 @@ class WordCoder:
         self.tok.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.line = self._raw("\n")
+        self.straight = all(self._raw(f" {w}") == self._letters(f" {w}") for w in ("the", "Été", "слово", "internationalization"))
         #: Ids of pieces that begin a line or text, and of words behind a space (without it).
-        self.first: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {"": b""}
         self.next: dict[str, bytes] = {}
+        self._old_first, self._old_next = dict(self.first), {}
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    @staticmethod
-    def lines(text: str) -> list[list[str]]:
-        """Pieces: those of a list had one space between them, the lists one line end."""
-        return [x.split(" ") for x in text.split("\n")] if _plain(text) else [_CUT.split(text)]
+    def _letters(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))], self.dtype).tobytes()
 
     def _bulk(self, texts: list[str]) -> list[bytes]:
-        """Encodes pieces in few calls, a line end between them: its id marks where each piece's ids end."""
-        out: dict[int, bytes] = {}
-        plain, w = [], self.dtype.itemsize
+        """Encodes pieces: those of letters by the model, the others in few calls, a line end between them: its id marks where each piece's ids end."""
+        out: list = [None] * len(texts)
+        plain, w, model, code = [], self.dtype.itemsize, self.tok.model, "H" if self.dtype.itemsize == 2 else "I"
         for i, p in enumerate(texts):
             q = p[1:] if p[0] == " " else p
-            if q and "\n" not in q and not q[0].isspace() and not q[-1].isspace():
+            if self.straight and q.isalpha() and (q.isascii() or max(q) < _OLD):
+                shown = p.encode().decode("latin-1").translate(_ALPHABET) if not q.isascii() else f"\u0120{q}" if q is not p else q
+                out[i] = array(code, [t.id for t in model.tokenize(shown)]).tobytes()
+            elif q and "\n" not in q and not q[0].isspace() and not q[-1].isspace():
                 plain.append(i)
             else:
                 out[i] = self._raw(p)
@@ -103,45 +129,116 @@ class WordCoder:
             ids = np.array(self.tok.encode_batch_fast(["\n".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, self.dtype)
             cut = np.flatnonzero(ids == sep)
             if len(self.line) != w or len(cut) != len(part) - 1:
-                out |= {i: self._raw(texts[i]) for i in part}
+                for i in part:
+                    out[i] = self._raw(texts[i])
                 continue
             raw = ids.tobytes()
             for i, a, z in zip(part, [0, *((cut + 1) * w).tolist()], [*(cut * w).tolist(), len(raw)], strict=True):
                 out[i] = raw[a:z]
-        return [out[i] for i in range(len(texts))]
-
-    def _learn(self, heads: set[str], words: set[str]) -> None:
-        split = []
-        for p in words:
-            core = p.rstrip(_TAIL)
-            if core and len(core) < len(p) and core[-1].isalpha():
-                split.append((p, core, p[len(core) :]))
-        whole = words.difference(x[0] for x in split)
-        whole.update(x[1] for x in split if x[1] not in self.next)
-        heads = heads.union(x[2] for x in split).difference(self.first)
-        ordered, leads = list(whole), list(heads)
-        got = self._bulk([*(f" {p}" for p in ordered), *leads])
-        self.next.update(zip(ordered, got, strict=False))
-        self.first.update(zip(leads, got[len(ordered) :], strict=True))
-        for p, core, tail in split:
-            self.next[p] = self.next[core] + self.first[tail]
+        return out
+
+    def _get(self, pieces_: list[str], behind_space: bool) -> list[bytes]:
+        """Ids of different pieces. The cache has two generations: when the younger one is full it becomes the older one, and what is asked for moves back."""
+        now, old = (self.next, self._old_next) if behind_space else (self.first, self._old_first)
+        out = [now.get(p) for p in pieces_]
+        lost = [i for i, v in enumerate(out) if v is None]
+        if not lost:
+            return out
+        if len(self.first) + len(self.next) + len(lost) > CACHE_WORDS // 2:
+            self._old_first, self._old_next, self.first, self.next = self.first, self.next, {"": b""}, {}
+            now = self.next if behind_space else self.first
+        new = []
+        for i in lost:
+            p = pieces_[i]
+            v = out[i] = old.get(p)
+            if v is None:
+                new.append(i)
+            else:
+                now[p] = v
+        lead = " " if behind_space else ""
+        for i, v in zip(new, self._bulk([lead + pieces_[i] for i in new]), strict=True):
+            out[i] = now[pieces_[i]] = v
+        return out
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        if not texts:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        odd = [i for i, t in enumerate(texts) if t and not _plain(t)]
+        skip = set(odd)
+        order = [i for i in range(len(texts)) if i not in skip] if odd else list(range(len(texts)))
+        lines = pc.split_pattern(pa.array([texts[i] for i in order], pa.large_string()), "\n")
+        words = pc.split_pattern(lines.values, " ")
+        flat, line_at, text_at = words.values, words.offsets.to_numpy().astype(np.int64), lines.offsets.to_numpy().astype(np.int64)
+        if odd:  # what isn't plain is one line, cut where a single space stands between two characters
+            cut = [_CUT.split(texts[i]) for i in odd]
+            flat = pa.concat_arrays([flat, pa.array([p for c in cut for p in c], pa.large_string())])
+            line_at = np.concatenate([line_at, line_at[-1] + np.cumsum([len(c) for c in cut])])
+            text_at = np.concatenate([text_at, text_at[-1] + 1 + np.arange(len(odd))])
+            order += odd
+        # Punctuation behind a letter is a piece of its own. Tails of one sign are known by it, longer ones by their number among the batch's tails.
+        coded = pc.ascii_rtrim(flat, characters=_TAIL).dictionary_encode()
+        cores, core = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        core_size = pc.binary_length(coded.dictionary).to_numpy()
+        tail = pc.binary_length(flat).to_numpy() - core_size[core]
+        letter = _ends_in_letter(coded.dictionary, cores)
+        whole = np.flatnonzero((tail > 0) & ~letter[core])
+        tail[whole] = 0
+        late = pc.take(flat, pa.array(whole)).dictionary_encode()
+        core[whole] = len(cores) + late.indices.to_numpy()
+        cores += late.dictionary.to_pylist()
+        end, data = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset + 1 : flat.offset + 1 + len(flat)], np.frombuffer(flat.buffers()[2] or b"", np.uint8)
+        tailed = np.flatnonzero(tail > 0)
+        sign = np.zeros(len(tailed), np.int64)
+        one = tail[tailed] == 1
+        sign[one] = data[end[tailed[one]] - 1]
+        more = [data[e - n : e].tobytes().decode() for e, n in zip(end[tailed[~one]].tolist(), tail[tailed[~one]].tolist(), strict=True)]
+        number = {t: 128 + i for i, t in enumerate(dict.fromkeys(more))}
+        sign[~one] = [number[t] for t in more]
+        # A piece is behind a space (0), at the beginning of a text (1) or of a later line, behind that line end (2). Tails are numbered behind all of these.
+        place = np.zeros(len(core), np.int64)
+        place[line_at[:-1]] = 2
+        place[line_at[text_at[:-1]]] = 1
+        at = np.arange(len(core) + 1)
+        at[1:] += np.cumsum(tail > 0)
+        unit = np.empty(at[-1], np.int64)
+        unit[at[:-1]] = core * 3 + place
+        unit[at[tailed] + 1] = 3 * len(cores) + sign
+        seen = np.zeros(3 * len(cores) + 128 + len(number), bool)
+        seen[unit] = True
+        seen = np.flatnonzero(seen)
+        mains = np.searchsorted(seen, 3 * len(cores))
+        behind = seen[:mains] % 3
+        names = [cores[i] for i in (seen[:mains] // 3).tolist()]
+        inner = np.flatnonzero(behind == 0)
+        raw: list = [None] * len(seen)
+        for i, v in zip(inner.tolist(), self._get([names[i] for i in inner.tolist()], True), strict=True):
+            raw[i] = v
+        outer = np.flatnonzero(behind).tolist()
+        for i, v in zip(outer, self._get([names[i] for i in outer], False), strict=True):
+            raw[i] = v if behind[i] == 1 else self.line + v
+        tails = [*map(chr, range(128)), *number]
+        raw[mains:] = self._get([tails[i] for i in (seen[mains:] - 3 * len(cores)).tolist()], False)
+        size = np.zeros(3 * len(cores) + 128 + len(number), np.int64)
+        size[seen] = np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
+        begin = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(raw), self.dtype)
+        n = size[unit]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = ids[np.repeat(begin[unit] - ends[:-1], n) + np.arange(int(ends[-1]))]
+        total = np.diff(ends[at[line_at[text_at]]])
+        if not odd:
+            return out, total
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        begin, n = (np.cumsum(total) - total)[back], total[back]
+        ends = np.cumsum(n)
+        return out[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]))], n
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.lines(t) if t else [] for t in texts]
-        heads = {x[0] for ls in split for x in ls}
-        heads.discard("")
-        words: set[str] = set()
-        for ls in split:
-            for x in ls:
-                words.update(x[1:])
-        new_heads, new_words = heads.difference(self.first), words.difference(self.next)
-        if len(self.first) + len(self.next) + len(new_heads) + len(new_words) > CACHE_WORDS:
-            self.first = {h: self.first[h] for h in heads if h in self.first}
-            self.next = {w: self.next[w] for w in words if w in self.next}  # what comes in each batch stays
-        if new_heads or new_words:
-            self._learn(new_heads, new_words)
-        first, get, line = self.first, self.next.__getitem__, self.line
-        return [line.join([b"".join([first[x[0]], *map(get, x[1:])]) for x in ls]) for ls in split]
+        """The ids of each text, as bytes."""
+        ids, n = self.encode_all(texts)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -150,8 +247,10 @@ _SEED = scramble(np.arange(1, 130, dtype=np.uint64))
 GAMMA, LEVELS = 2.0, 48
 
 
-def key_hash(doc_id: np.ndarray, copy: np.ndarray) -> np.ndarray:
-    return scramble(doc_id.astype(np.int64).view(np.uint64) + scramble(copy.astype(np.uint64)) * (copy != 0))
+def key_hash(doc_id: np.ndarray, copy: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Of keys' ids (anything where null), copy numbers and whether the id is null."""
+    known = np.where(null, np.uint64(0xC2B2AE3D27D4EB4F), doc_id.astype(np.int64).view(np.uint64))
+    return scramble(known + scramble(copy.astype(np.uint64) + (null.astype(np.uint64) << np.uint64(63))) * ((copy != 0) | null))
 
 
 def fingerprint(h: np.ndarray) -> np.ndarray:
@@ -193,9 +292,11 @@ class PerfectHash:
             todo = todo[~hit]
             if not len(todo):
                 break
-        for i in todo if len(self.rest) else ():
-            if len(at := np.flatnonzero(self.rest == h[i])):
-                out[i] = self.rank[-1] + at[0]
+        if len(todo) and len(self.rest):
+            order = np.argsort(self.rest, kind="stable")
+            at = np.minimum(np.searchsorted(self.rest[order], h[todo]), len(order) - 1)
+            hit = self.rest[order[at]] == h[todo]
+            out[todo[hit]] = self.rank[-1] + order[at[hit]]
         return out
 
     def pack(self) -> bytes:
@@ -243,41 +344,63 @@ def _coder(path: str, special_as_text: bool) -> WordCoder:
     return _CODERS[path, special_as_text]
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[list[str], list[int], list[bool]]]:
+    """Texts in runs of about CHUNK signs: parts, the text of each, and whether it is that text's last. A longer text is cut before a space between two other signs, where its ids are cut, too."""
+    parts, owner, last, size = [], [], [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while at is not None:
+            m = _CUT.search(t, at + CHUNK) if len(t) - at > 2 * CHUNK else None
+            parts.append(t[at : m.start()] if m else t[at:] if at else t)
+            owner.append(i)
+            last.append(m is None)
+            size += len(parts[-1])
+            at = m.start() if m else None
+            if size >= CHUNK:
+                yield parts, owner, last
+                parts, owner, last, size = [], [], [], 0
+    if parts:
+        yield parts, owner, last
+
+
 def _writer(path: str, tokenizer: str, end_id: int | None, special_as_text: bool) -> Callable:
+    names = ["doc_id", "shard", "first", "n_tokens", "run"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, coder, rows = TaskContext.get().partitionId(), _coder(tokenizer, special_as_text), []
-        end = b"" if end_id is None else np.array([end_id], coder.dtype).tobytes()
-
-        def parts() -> Iterator[bytes]:
-            first = 0
-            for b in batches:
-                for i in range(0, b.num_rows, 256):
-                    part = b.slice(i, 256)
-                    ids = [x + end for x in coder.encode([t or "" for t in part.column(1).to_pylist()])]
-                    n = np.array([len(x) for x in ids], np.int64) // coder.dtype.itemsize
-                    at = first + np.concatenate([[0], np.cumsum(n)])
-                    rows.append(pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.full(len(n), shard, np.int32)), pa.array(at[:-1]), pa.array(n)], ["doc_id", "shard", "first", "n_tokens"]))
-                    first = int(at[-1])
-                    yield b"".join(ids)
-
-        stream = parts()
-        lead = next(stream, None)
-        if lead is not None:
-            files.write(f"{path}/payload/shard-{shard:05d}.bin", _chain(lead, stream))
-        yield from rows
+        shard, coder = TaskContext.get().partitionId(), _coder(tokenizer, special_as_text)
+        out, first, id_now, same = None, 0, None, 0
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                if out is None:
+                    out = files.Writer(f"{path}/payload/shard-{shard:05d}.bin")
+                n = np.zeros(part.num_rows, np.int64)
+                for texts, owner, last in _parts([t or "" for t in part.column(1).to_pylist()]):
+                    ids, size = coder.encode_all(texts)
+                    n += np.bincount(owner, size, len(n)).astype(np.int64)
+                    if end_id is not None:
+                        ends = np.cumsum(size)[np.array(last)]
+                        ids = np.insert(ids, ends, end_id)
+                    out.write(ids.tobytes())
+                n += end_id is not None
+                at = first + np.concatenate([[0], np.cumsum(n)])
+                first = int(at[-1])
+                ids = part.column(0).cast(pa.int64()).to_pylist()
+                runs = np.zeros(len(ids), np.int64)
+                for k, x in enumerate(ids):
+                    same = same + 1 if x == id_now and (i or k or same) else 0
+                    id_now, runs[k] = x, same
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(n), shard, np.int32)), pa.array(at[:-1]), pa.array(n), pa.array(runs)], names)
+        if out is not None:
+            out.close()
 
     return run
 
 
-def _chain(lead: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
-    yield lead
-    yield from rest
-
-
 def _index_writer(path: str) -> Callable:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf.doc_id.fillna(0).to_numpy(np.int64)
-        h = key_hash(ids, pdf["copy"].to_numpy(np.int64))
+        h = key_hash(ids, pdf["copy"].to_numpy(np.int64), pdf.doc_id.isna().to_numpy())
         mph = PerfectHash.build(h)
         slot = mph.slots(h)
         if len(mph.rest):  # equal hashes: each takes a slot of its own, and lookup compares keys
@@ -292,17 +415,29 @@ def _index_writer(path: str) -> Callable:
     return run
 
 
+def _copies(written: DataFrame) -> DataFrame:
+    """written with the copy number of each row: its place in its shard's run of that id, behind what earlier shards have of the id. The windows go over one row a shard."""
+    ends = written.groupBy("shard").agg(F.min_by("doc_id", "first").alias("lead"), F.max_by(F.struct("doc_id", "run"), "first").alias("last"))
+    by_shard = Window.orderBy("shard")
+    ends = ends.select("shard", "lead", F.col("last.doc_id").alias("tail"), (F.col("last.run") + 1).alias("n"), F.lag(F.struct(F.col("last.doc_id").alias("id"))).over(by_shard).alias("before"))
+    goes_on = F.col("before").isNotNull() & F.col("before.id").eqNullSafe(F.col("lead"))
+    ends = ends.withColumn("goes_on", goes_on).withColumn("segment", F.sum((~(goes_on & F.col("lead").eqNullSafe(F.col("tail")))).cast("int")).over(by_shard))
+    ends = ends.withColumn("so_far", F.sum("n").over(Window.partitionBy("segment").orderBy("shard")))
+    ends = ends.select("shard", "lead", F.when(F.col("goes_on"), F.lag("so_far").over(by_shard)).otherwise(0).alias("carry"))
+    copy = F.col("run") + F.when(F.col("doc_id").eqNullSafe(F.col("lead")), F.col("carry")).otherwise(0)
+    return written.join(ends, "shard").select("doc_id", "shard", "first", "n_tokens", copy.alias("copy"))
+
+
 def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, *, end_id: int | None = END_ID, special_as_text: bool = False) -> Store:
     """Writes payload and index of docs (doc_id, text) and returns the store."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-store")
-    keyed = text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tie = F.xxhash64("text")
-    in_order = keyed.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
-    written = in_order.mapInArrow(_writer(path, tokenizer, end_id, special_as_text), "doc_id long, shard int, first long, n_tokens long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tie = (F.xxhash64("text"), F.spark_partition_id())  # the last one only spreads equal rows
+    in_order = keyed.withColumns({"tie": tie[0], "from": tie[1]}).repartitionByRange("doc_id", "tie", "from").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    written = in_order.mapInArrow(_writer(path, tokenizer, end_id, special_as_text), "doc_id long, shard int, first long, n_tokens long, run long")
     written = materialize(written, "token-rows")
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("shard", "first")) - 1
-    entries = written.withColumn("copy", copy.cast("long"))
+    entries = _copies(written)
     buckets = max(1, -(-written.count() // BUCKET_KEYS))
     by_bucket = entries.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "copy"), F.lit(buckets)).cast("int"))
     indexed = by_bucket.groupBy("bucket").applyInPandas(_index_writer(path), "bucket int, keys long")
@@ -317,16 +452,15 @@ def _finder(store_path: str) -> Callable:
         raw = files.read(f"{store_path}/index/bucket-{key[0]:05d}.mph")
         mph, at = PerfectHash.unpack(raw)
         rec = np.frombuffer(raw, RECORD, -1, at)
-        ids, copy = pdf.doc_id.fillna(0).to_numpy(np.int64), pdf["copy"].to_numpy(np.int64)
-        h = key_hash(ids, copy)
+        ids, copy, null = pdf.doc_id.fillna(0).to_numpy(np.int64), pdf["copy"].to_numpy(np.int64), pdf.doc_id.isna().to_numpy()
+        h = key_hash(ids, copy, null)
         slot = mph.slots(h)
         ok = slot >= 0
         ok[ok] = rec["fingerprint"][slot[ok]] == fingerprint(h[ok])
-        if len(mph.rest) or pdf.doc_id.isna().any():
-            for i in np.flatnonzero(ok):  # null or colliding keys: compare whole keys among the unsettled slots
-                want = (ids[i], int(pdf.doc_id.isna().iloc[i]), copy[i])
-                same = np.flatnonzero((rec["doc_id"] == want[0]) & (rec["null"] == want[1]) & (rec["copy"] == want[2]))
-                ok[i], slot[i] = len(same) > 0, same[0] if len(same) else -1
+        late = rec[mph.rank[-1] :]  # keys whose hashes are equal, if any: whole keys are compared
+        for i in np.flatnonzero(ok & (slot >= mph.rank[-1])):
+            same = np.flatnonzero((late["doc_id"] == ids[i]) & (late["null"] == null[i]) & (late["copy"] == copy[i]))
+            ok[i], slot[i] = len(same) > 0, mph.rank[-1] + same[0] if len(same) else -1
         r = rec[slot[ok]]
         return pd.DataFrame({"doc_id": pdf.doc_id[ok], "copy": copy[ok], "shard": r["shard"].astype(np.int32), "first": r["first"].astype(np.int64), "n_tokens": r["n"].astype(np.int64)})
 

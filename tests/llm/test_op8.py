@@ -80,3 +80,32 @@ def test_edges(spark, tok):
     assert got[0][0] == 0
     assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:], strict=False))
     assert o.token_rows(d.limit(0)).count() == 0
+
+
+def test_long_texts_are_cut_where_ids_are_cut(tok, monkeypatch):
+    monkeypatch.setattr(o, "CHUNK", 40)
+    r = random.Random(5)
+    parts = ["a", "don't", " ", "  ", "\n", "\t", "é,", "12", "!!", "word", "(x)", "long"]
+    texts = ["", *(r.choice(["", " "]).join(r.choice(parts) for _ in range(r.randint(1, 200))) for _ in range(300)), " ".join(["word"] * 500), "x" * 500]
+    c, got, n = o.WordCoder(PATH), [[] for _ in texts], 0
+    for part, owner, last in o._parts(texts):
+        ids, size = c.encode_all(part)
+        n += sum(last)
+        for i, x in zip(owner, np.split(ids, np.cumsum(size)[:-1]), strict=True):
+            got[i] += x.tolist()
+    assert n == len(texts)
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_copies_over_shards(spark):
+    """A third of all rows have no id and a third the same one: copy numbers go on from shard to shard, and every key is found."""
+    rows = [((None, 7, i)[i % 3], f"text {i % 50}") for i in range(1200)]
+    store = o.write_store(docs(spark, rows).repartition(5), PATH)
+    entries = store.entries.collect()
+    by_id = {}
+    for r in sorted(entries, key=lambda r: (r.shard, r.first)):
+        by_id.setdefault(r.doc_id, []).append(r.copy)
+    assert {k: len(v) for k, v in by_id.items()}[None] == 400
+    assert all(v == list(range(len(v))) for v in by_id.values())
+    found = o.lookup(store, store.entries.select("doc_id", "copy")).collect()
+    assert sorted(found, key=repr) == sorted(((r.doc_id, r.copy, r.shard, r.first, r.n_tokens) for r in entries), key=repr)
