@@ -3,13 +3,15 @@
 The format is that of RFC 9639. Decoding handles constant, verbatim, fixed-predictor and LPC subframes, Rice partitions of either
 parameter width with escape codes, wasted bits, and the four stereo modes; every frame's CRC-8 and CRC-16 are verified, and the
 stream's MD5 against the decoded samples. Two paths give the same result: a bit reader that decodes any frame, and a vectorised one
-for mono 8-bit frames with one Rice partition, which decodes all frames of a batch at once (frames are found by their
+for mono 8-bit frames with one Rice partition, which decodes many frames at once (frames are found by their
 sync code, CRC-8 and running number; should one not end exactly where the next begins, its stream goes to the bit reader).
 
-Encoding takes bytes as signed 8-bit samples, in blocks of 4,608, and picks for each block the smallest of constant,
-verbatim and fixed predictors of order 0 to 2 with the best Rice parameter. It is deterministic: equal bytes, equal streams.
+Encoding takes bytes as signed 8-bit samples, in blocks of 4,608, and picks for each block among constant, verbatim, fixed predictors of
+order 0 to 2 and a linear predictor of order 4 (autocorrelation, Levinson-Durbin, 12-bit coefficients), with the best of three Rice
+parameters. It is deterministic: equal bytes, equal streams.
 
-Memory: pieces of about 1 MB of text at a time, whatever a partition holds. Nothing is shuffled.
+Memory: frames of about 1 MB of samples are coded or decoded at a time, whatever a partition holds and however long a text is; beside them a text is held
+a few times over (text, payload, stream, samples), so one of 100 MB takes under 1 GB. Nothing is shuffled.
 The query writes its streams to the shared folder and describes the PCM blocks read back from there.
 
 Null and empty texts count as empty payloads (the query pads them to 192 spaces). Null media give no blocks. A stream that is
@@ -29,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.textbatch import pieces, text_rows
+from pagewright.llm.textbatch import pieces
 from pagewright.session import materialize, table
 
 BLOCK, RATE, UNIT = 4608, 8000, 192
 PIECE = 1 << 20
+#: Order, bits of a coefficient, and bits ahead of the residuals, of the encoder's linear predictor.
+LPC, PRECISION = 4, 12
+LPC_BITS = 4 + 5 + LPC * PRECISION
 
 # ---------------------------------------------------------------- checksums
 
@@ -122,7 +127,8 @@ def encode(buf: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     number = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
     start = offsets[doc] + number * BLOCK
     size = np.minimum(BLOCK, offsets[doc + 1] - start)
-    body, at, length = _frames(buf, start, size, number)
+    body, length = _all_frames(buf, start, size, number)
+    at = np.cumsum(length) - length
     ends = np.cumsum(per)
     out = []
     for d in range(len(sizes)):
@@ -136,6 +142,53 @@ def encode(buf: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return out
 
 
+def _runs(size: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Runs (first, last + 1) of sizes whose sum is at most so much, or one size."""
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + most, "right")))
+        yield a, z
+        a = z
+
+
+def _all_frames(buf: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All frames' bytes in a row, and each frame's length; about PIECE samples at a time."""
+    parts, lengths = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for a, z in _runs(size):
+        out, at, length = _frames(buf[start[a] : start[z - 1] + size[z - 1]], start[a:z] - start[a], size[a:z], number[a:z])
+        parts.append(out[: at[-1] + length[-1]])
+        lengths.append(length)
+    return np.concatenate(parts), np.concatenate(lengths)
+
+
+def _predict(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each frame's coefficients (LPC rows) and shift, and the residuals of all samples; those of a frame's first LPC samples mean nothing."""
+    r = []
+    for k in range(LPC + 1):
+        p = np.zeros(len(x), np.int32)
+        np.multiply(x[k:], x[: len(x) - k], out=p[k:])
+        for j in range(k):
+            p[first[size > j] + j] = 0
+        r.append(np.add.reduceat(p, first, dtype=np.int64).astype(np.float64))
+    a, err = np.zeros((LPC, len(first))), r[0] * (1 + 1e-6) + 1
+    for i in range(LPC):
+        k = r[i + 1].copy()
+        for j in range(i):
+            k -= a[j] * r[i - j]
+        k /= err
+        a[:i] = a[:i] - k * a[:i][::-1]
+        a[i] = k
+        err = err * (1 - k * k)
+    shift = np.clip(PRECISION - 1 - np.frexp(np.abs(a).max(axis=0))[1], 0, 15).astype(np.int32)
+    most = 1 << (PRECISION - 1)
+    weights = np.clip(np.rint(np.ldexp(a, shift)), -most, most - 1).astype(np.int32)
+    seen = np.zeros(len(x), np.int32)
+    for j in range(LPC):
+        seen[j + 1 :] += np.repeat(weights[j], size)[j + 1 :] * x[: -j - 1]
+    seen >>= np.repeat(shift, size)
+    return weights, shift, x - seen
+
+
 def _frames(buf: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All frames one after another: bytes, and each frame's place and length. The frames' samples follow one another in buf."""
     n_frames = len(start)
@@ -156,23 +209,35 @@ def _frames(buf: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.nda
         s = np.add.reduceat(s, first, dtype=np.int64)
         cost.append(np.where(size > o, s, 1 << 40))
     order = np.argmin(cost, axis=0)
-    mine = np.repeat(order.astype(np.int32), size)
+    weights, shift, d = _predict(x, first, size)
+    s = np.abs(d)
+    for j in range(LPC):
+        s[first[size > j] + j] = 0
+    s = np.add.reduceat(s, first, dtype=np.int64)
+    # Halving the mean residual saves a bit a sample: the coefficients' and warm-up samples' bits have to be saved.
+    lpc = (size > 4 * LPC) & (np.min(cost, axis=0) * size > s * (size + 60))
+    resid.append(d)
+    pick = np.where(lpc, 3, order)
+    mine = np.repeat(pick.astype(np.int32), size)
     r = d1.copy()
-    for o, d in ((0, x), (2, d2)):
-        if (order == o).any():
-            np.copyto(r, d, where=mine == o)
+    for o in (0, 2, 3):
+        if (pick == o).any():
+            np.copyto(r, resid[o], where=mine == o)
+    order = np.where(lpc, LPC, order)
+    mine = np.repeat(order.astype(np.int32), size)
     coded = inside >= mine
     u = (r << 1) ^ (r >> 31)
     u[~coded] = 0
     m = size - order
     mean = np.add.reduceat(u, first, dtype=np.int64) / np.maximum(m, 1)
-    guess = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))).astype(np.int64), 0, 12)
+    guess = np.clip(np.frexp(np.maximum(mean * 0.7, 1))[1].astype(np.int64) - 1, 0, 12)
     best, bits = guess, None
     for k in (guess, np.maximum(guess - 1, 0), guess + 1):
         b = np.add.reduceat(u >> np.repeat(k.astype(np.int32), size), first, dtype=np.int64) + m * (k + 1)
         best, bits = (k, b) if bits is None else (np.where(b < bits, k, best), np.minimum(b, bits))
     constant = np.maximum.reduceat(x, first) == np.minimum.reduceat(x, first)
-    rice_bytes = 1 + order + (10 + bits + 7) // 8
+    ahead = np.where(lpc, LPC_BITS, 0)
+    rice_bytes = 1 + order + (ahead + 10 + bits + 7) // 8
     verbatim = ~constant & (rice_bytes >= 1 + size)
     rice = ~constant & ~verbatim
     heads = [_frame_header(a, b) for a, b in zip(number.tolist(), size.tolist(), strict=True)]
@@ -183,7 +248,7 @@ def _frames(buf: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.nda
     h_first = np.cumsum(head_len) - head_len
     out[np.repeat(at - h_first, head_len) + np.arange(int(head_len.sum()))] = np.frombuffer(b"".join(heads), np.uint8)
     sub = at + head_len
-    out[sub] = np.where(constant, 0, np.where(verbatim, 2, 16 + 2 * order))
+    out[sub] = np.where(constant, 0, np.where(verbatim, 2, np.where(lpc, 64 + 2 * (order - 1), 16 + 2 * order)))
     out[sub[constant] + 1] = buf[first[constant]]
     raw = (verbatim[frame]) | (rice[frame] & ~coded)
     where = np.flatnonzero(raw)
@@ -198,16 +263,27 @@ def _frames(buf: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.nda
         q += k
         ends = np.cumsum(q + 1)
         lead = np.cumsum(count) - count
-        base = 8 * (sub + 1 + order) + 10
+        base = 8 * (sub + 1 + order) + ahead + 10
         base[rice] -= np.where(lead > 0, ends[lead - 1], 0)[rice]
         one = np.repeat(base, count) + ends - k - 1
         word = ((v & ((1 << k) - 1)) | (1 << k)) << (23 - (one & 7).astype(np.int32) - k)
         byte = one >> 3
         put = np.bincount(byte, word >> 16, len(out)) + np.bincount(byte + 1, word >> 8 & 255, len(out)) + np.bincount(byte + 2, word & 255, len(out))
         out += put.astype(np.uint8)
-        where = (sub + 1 + order)[rice]
-        out[where] += (best[rice] >> 2).astype(np.uint8)
-        out[where + 1] += (best[rice] << 6 & 255).astype(np.uint8)
+        f = np.flatnonzero(rice & ~lpc)
+        where = (sub + 1 + order)[f]
+        out[where] += (best[f] >> 2).astype(np.uint8)
+        out[where + 1] += (best[f] << 6 & 255).astype(np.uint8)
+        f = np.flatnonzero(rice & lpc)
+        where = (sub + 1 + order)[f]
+        bits_ = np.full(len(f), PRECISION - 1, np.uint64) << np.uint64(5) | shift[f].astype(np.uint64)
+        for w in weights[:, f]:
+            bits_ = bits_ << np.uint64(PRECISION) | (w & ((1 << PRECISION) - 1)).astype(np.uint64)
+        # LPC_BITS bits and the 10 of the residuals' head, from the left of nine bytes.
+        out[where] = (bits_ >> np.uint64(LPC_BITS - 8)).astype(np.uint8)
+        low = bits_ << np.uint64(72 - LPC_BITS) | best[f].astype(np.uint64) << np.uint64(72 - LPC_BITS - 10)
+        for j in range(8):
+            out[where + 1 + j] += (low >> np.uint64(56 - 8 * j)).astype(np.uint8)
     crc = crc16(out, at, at + length - 2)
     out[at + length - 2], out[at + length - 1] = crc >> 8, crc & 0xFF
     return out, at, length
@@ -381,6 +457,8 @@ def decode_frame(data: bytes, at: int, info: dict) -> tuple[np.ndarray, dict, in
 def pcm_bytes(samples: np.ndarray, bits: int) -> bytes:
     """Interleaved little-endian samples of whole bytes."""
     w = (bits + 7) // 8
+    if w == 1 and len(samples) == 1:
+        return samples[0].astype(np.int8).tobytes()
     flat = np.ascontiguousarray(samples.T).reshape(-1).astype("<i4")
     return flat.view(np.uint8).reshape(-1, 4)[:, :w].tobytes()
 
@@ -439,7 +517,7 @@ def decode_batch(streams: list[bytes]) -> list[tuple[dict, np.ndarray, list[int]
             infos[i] = info
             ends = [*(p for p, _ in frames[1:]), len(data)]
             plan += [(i, base[i] + p, base[i] + h["body"], h["size"], base[i] + z) for (p, h), z in zip(frames, ends, strict=True)]
-    samples, good = _plain_frames(buf, plan) if plan else (None, None)
+    samples, good = _plain_pieces(buf, plan)
     at = 0
     k = 0
     for i in range(len(streams)):
@@ -461,11 +539,23 @@ def decode_batch(streams: list[bytes]) -> list[tuple[dict, np.ndarray, list[int]
                 out[i] = e
         if not isinstance(out[i], FlacError):
             info, s, _ = out[i]
-            if info["md5"] != bytes(16) and hashlib.md5(pcm_bytes(s, info["bits"]) if info["bits"] != 8 or len(s) > 1 else s[0].astype(np.int8).tobytes()).digest() != info["md5"]:
+            if info["md5"] != bytes(16) and hashlib.md5(pcm_bytes(s, info["bits"])).digest() != info["md5"]:
                 out[i] = FlacError("the samples' MD5 differs from STREAMINFO's")
     return out
 
 
+def _plain_pieces(buf: np.ndarray, plan: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """_plain_frames for about PIECE samples at a time; whole frames' samples have 8 bits."""
+    size = np.array([p[3] for p in plan], np.int64)
+    out, good = np.zeros(int(size.sum()), np.int8), np.zeros(len(plan), bool)
+    first = np.cumsum(size) - size
+    for a, z in _runs(size):
+        lo, hi = int(plan[a][1]), int(plan[z - 1][4])
+        x, good[a:z] = _plain_frames(np.concatenate([buf[lo:hi], np.zeros(8, np.uint8)]), [(i, p - lo, q - lo, n, e - lo) for i, p, q, n, e in plan[a:z]])
+        out[first[a] : first[a] + len(x)] = x
+    return out, good
+
+
 def _plain_frames(buf: np.ndarray, plan: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Samples of all frames in a row, and which frames are whole."""
     _, at, sub, size, end = (np.array(c, np.int64) for c in zip(*plan, strict=True))
@@ -482,19 +572,40 @@ def _plain_frames(buf: np.ndarray, plan: list[tuple]) -> tuple[np.ndarray, np.nd
     for f in np.flatnonzero((kind == 2) & (end == sub + 3 + size)).tolist():
         out[first[f] : first[f] + size[f]] = signed[sub[f] + 1 : sub[f] + 1 + size[f]]
         good[f] = True
-    order = (kind.astype(np.int64) - 16) >> 1
-    fixed = (kind >= 16) & (kind <= 24) & (kind % 2 == 0) & (size > order)
-    body = sub + 1 + np.where(fixed, order, 0)
-    param = (buf[body].astype(np.int64) << 8 | buf[body + 1]) >> 6  # 2 bits of method, 4 of partitions, 4 of parameter
-    fixed &= (param >> 4 == 0) & (param & 15 != 15)
-    r = np.flatnonzero(fixed)
+    linear = (kind >= 64) & (kind < 128) & (kind % 2 == 0)
+    order = np.where(linear, (kind.astype(np.int64) >> 1) - 31, (kind.astype(np.int64) - 16) >> 1)
+    plain = ((kind >= 16) & (kind <= 24) & (kind % 2 == 0) | linear) & (size > order) & (sub + 1 + order + 2 <= end - 2)
+    body = 8 * (sub + 1 + np.where(plain, order, 0))  # the bit behind the warm-up samples
+    rules = {}
+    for f in np.flatnonzero(linear & plain).tolist():
+        try:
+            bits = Bits(buf[body[f] >> 3 : end[f] - 2].tobytes()[:80])
+            width = bits.take(4) + 1
+            shift = bits.signed(5)
+            rules[f] = shift, [bits.signed(width) for _ in range(order[f])]
+            body[f] += bits.pos
+        except FlacError:
+            plain[f] = False
+        else:
+            plain[f] = shift >= 0
+    at8 = np.minimum(body >> 3, len(buf) - 3)
+    param = (buf[at8].astype(np.int64) << 16 | buf[at8 + 1].astype(np.int64) << 8 | buf[at8 + 2]) >> (14 - (body & 7)) & 1023  # 2 bits of method, 4 of partitions, 4 of parameter
+    plain &= (param >> 4 == 0) & (param & 15 != 15)
+    r = np.flatnonzero(plain)
     if len(r):
         r = r[np.argsort(-(size[r] - order[r]), kind="stable")]
-        values, ended = _rice(buf, 8 * body[r] + 10, param[r] & 15, size[r] - order[r])
+        values, ended = _rice(buf, body[r] + 10, param[r] & 15, size[r] - order[r])
         good[r] = (ended + 7) // 8 + 2 == end[r]
         v_at = np.cumsum(size[r] - order[r]) - (size[r] - order[r])
+        for o in np.unique(order[r][linear[r]]).tolist():
+            mine = np.flatnonzero((order[r] == o) & linear[r] & good[r])
+            if len(mine):
+                f = r[mine]
+                warm = np.stack([signed[sub[f] + 1 + j].astype(np.int64) for j in range(o)])
+                for g, s in zip(f.tolist(), _unpredict(values, v_at[mine], size[f] - o, warm, [rules[g] for g in f.tolist()]), strict=True):
+                    out[first[g] : first[g] + size[g]] = s
         for o in np.unique(order[r]).tolist():
-            mine = np.flatnonzero((order[r] == o) & good[r])
+            mine = np.flatnonzero((order[r] == o) & ~linear[r] & good[r])
             if not len(mine):
                 continue
             f, m = r[mine], size[r[mine]] - o
@@ -514,6 +625,26 @@ def _plain_frames(buf: np.ndarray, plan: list[tuple]) -> tuple[np.ndarray, np.nd
     return out, good & crc_ok
 
 
+def _unpredict(values: np.ndarray, at: np.ndarray, count: np.ndarray, warm: np.ndarray, rules: list[tuple[int, list[int]]]) -> list[np.ndarray]:
+    """Samples of frames (longest first) with linear predictors of one order. One step makes one sample of every frame."""
+    o, most = len(warm), int(count[0])
+    kind = np.int64 if max(sum(map(abs, w)) for _, w in rules) > 1 << 22 else np.int32
+    shift = np.array([s for s, _ in rules], kind)
+    weights = np.array([w[::-1] for _, w in rules], kind).T.copy()
+    made = np.zeros((o + most, len(count)), kind)
+    made[:o] = warm
+    inside = np.arange(most)[:, None] < count
+    lead = np.zeros((len(count), most), kind)
+    lead[inside.T] = values[np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+    made[o:] = lead.T
+    active = np.searchsorted(-count, -np.arange(1, most + 1), "right")
+    for t, a in enumerate(active.tolist()):
+        seen = np.einsum("jf,jf->f", weights[:, :a], made[t : t + o, :a])
+        seen >>= shift[:a]
+        made[t + o, :a] += seen
+    return [made[: o + n, i] for i, n in enumerate(count.tolist())]
+
+
 def _rice(buf: np.ndarray, start: np.ndarray, k: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Residuals of frames (longest first) in a row, and the bit where each ends. One step reads one residual of every frame."""
     bits = np.unpackbits(buf)
@@ -560,7 +691,7 @@ def encode_media(df: DataFrame, key: str = "doc_id", column: str = "text") -> Da
             for i, j, buf, off in pieces(b.column(1), PIECE):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(encode(buf, off), pa.binary())], [key, "media"])
 
-    return text_rows(df).select(key, column).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, media binary")
+    return df.select(key, column).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, media binary")
 
 
 def pcm_blocks(df: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
@@ -589,7 +720,7 @@ def pcm_blocks(df: DataFrame, key: str = "doc_id", column: str = "media") -> Dat
                     types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary(), pa.string()]
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(which)), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [key, "block", "sample_offset", "n_samples", "rate", "channels", "bits", "pcm", "error"])
 
-    return text_rows(df).select(key, column).mapInArrow(run, f"{key} {kind}, block long, sample_offset long, n_samples long, rate int, channels int, bits int, pcm binary, error string")
+    return df.select(key, column).mapInArrow(run, f"{key} {kind}, block long, sample_offset long, n_samples long, rate int, channels int, bits int, pcm binary, error string")
 
 
 def padded(buf: np.ndarray, off: np.ndarray, unit: int = UNIT) -> tuple[np.ndarray, np.ndarray]:
@@ -632,7 +763,7 @@ def store_media(docs: DataFrame) -> DataFrame:
             for i, j, buf, off in pieces(b.column(2), PIECE):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(np.diff(off), pa.int64()), pa.array(encode(*padded(buf, off)), pa.binary())], ["row", "doc_id", "n_bytes", "media"])
 
-    rows = text_rows(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return materialize(rows.mapInArrow(run, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, media binary"), "media")
 
 

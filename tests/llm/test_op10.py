@@ -214,3 +214,25 @@ def test_query_stores_streams(spark, monkeypatch):
         signs = [c > 127 for c in pad]
         assert f"blocks={-(-len(pad) // o.BLOCK)};" in r.feature
         assert r.feature.endswith(f"crossings={sum(a != b for a, b in zip(signs, signs[1:]))}")
+
+
+def test_linear_prediction_and_pieces(monkeypatch):
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "né"]) for _ in range(r.choice([1, 40, 900, 5000]))).encode() for _ in range(30)]
+    buf, off = o.padded(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    whole = o.encode(buf, off)
+    kinds = set()
+    for s in whole:
+        info, at = o.stream_info(s)
+        kinds.add(s[o.frame_header(s, at, info)["body"]])
+    assert 64 + 2 * (o.LPC - 1) in kinds
+    monkeypatch.setattr(o._runs, "__defaults__", (5000,))
+    assert o.encode(buf, off) == whole
+    for i, (s, (info, x, at)) in enumerate(zip(whole, o.decode_batch(whole), strict=True)):
+        assert o.pcm_bytes(x, 8) == buf[off[i] : off[i + 1]].tobytes()
+        slow, blocks = o.decode_stream(s)
+        assert [b[0] for b in blocks] == at and slow == info
+        assert (np.concatenate([b for _, b in blocks], axis=1) == x).all()
+    bad = bytearray(whole[3])
+    bad[len(bad) // 2] ^= 4
+    assert isinstance(o.decode_batch([bytes(bad)])[0], o.FlacError)
