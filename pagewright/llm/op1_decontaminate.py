@@ -9,6 +9,10 @@ compared token by token. An alignment counts if WINDOW consecutive tokens of the
 The two long masks together hit every window of 13 tokens with up to two substitutions (all 78 pairs of places; a test goes through them),
 so no such window is missed. A token is compared by its 64-bit hash.
 
+Repetitive texts: equal seeds in a row, on either side, are one run, and two runs that meet give an interval of alignments, so every alignment is listed once. Alignments are
+compared PART item tokens at a time; once one of a document and item is equal in all tokens, later ones of that pair can't be better and are left out.
+At worst (items that nearly match everywhere) an item's tokens times the document's are compared, in bounded memory.
+
 Scale: the benchmark is the stated query set. It is taken in blocks of a bounded size (BLOCK_BYTES of text); a block's
 seeds are broadcast and each block makes one pass over all documents. Documents are never shuffled and a batch's memory is bounded.
 
@@ -28,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.textbatch import LOWER, PUNCT, find_words, pieces, scramble, text_rows
+from pagewright.llm.textbatch import LOWER, PUNCT, find_words, pieces, scramble
 from pagewright.session import table
 
 WINDOW, NEED, SHORTEST = 13, 11, 5
 LONG_MASKS, SHORT_MASKS = ("11101011", "11001111"), ("11111",)
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 22
+PART = 1 << 20
 U = np.uint64
 
 
@@ -62,9 +67,26 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return scramble(out)
 
 
+def _runs(at: np.ndarray, seed: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of neighbouring places with equal seeds and owners: where each begins in at, and how many places follow its first."""
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1])
+    begin = np.flatnonzero(new)
+    return begin, np.diff(np.append(begin, len(at))) - 1
+
+
+def _parts(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs (first, last + 1) of sizes whose sum is at most PART, or one size."""
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + PART, "right")))
+        yield a, z
+        a = z
+
+
 @dataclass
 class Block:
-    """A block of the benchmark. first: each item's first token. seed, item, place: for each mask, sorted by seed; maybe: for each mask, which top bits occur."""
+    """A block of the benchmark. first: each item's first token. seed, place, more: for each mask, sorted by seed, runs of equal seeds (first place, places after it); maybe: for each mask, which top bits occur."""
 
     ids: list
     h: np.ndarray
@@ -72,6 +94,7 @@ class Block:
     masks: list[str]
     seed: list[np.ndarray]
     place: list[np.ndarray]
+    more: list[np.ndarray]
     maybe: list[np.ndarray]
 
     @classmethod
@@ -81,7 +104,7 @@ class Block:
         h, first = tokens(buf, off)
         size = np.diff(first)
         item = np.repeat(np.arange(len(ids)), size)
-        masks, out = [], [[], [], []]
+        masks, out = [], [[], [], [], []]
         for m in (*LONG_MASKS, *SHORT_MASKS):
             s = seeds(h, m)
             place = np.arange(len(s))
@@ -95,7 +118,9 @@ class Block:
             maybe = np.zeros(1 << FILTER_BITS, bool)
             maybe[s >> U(64 - FILTER_BITS)] = True
             masks.append(m)
-            for x, v in zip(out, (s[order], place[order], maybe), strict=True):
+            s, place = s[order], place[order]
+            at, more = _runs(place, s, item[place])
+            for x, v in zip(out, (s[at], place[at], more, maybe), strict=True):
                 x.append(v)
         return cls(ids, h, first, masks, *out)
 
@@ -103,24 +128,54 @@ class Block:
         """Rows (doc, item, doc_start, item_start, n_tokens, n_equal); doc and item by position."""
         h, first = tokens(buf, off)
         hits = []
-        for m, seed, place, maybe in zip(self.masks, self.seed, self.place, self.maybe, strict=True):
+        for m, seed, place, more, maybe in zip(self.masks, self.seed, self.place, self.more, self.maybe, strict=True):
             s = seeds(h, m)
             at = np.flatnonzero(maybe[s >> U(64 - FILTER_BITS)])
+            at = at[seed[np.minimum(np.searchsorted(seed, s[at]), len(seed) - 1)] == s[at]]
+            doc = np.searchsorted(first, at, "right") - 1
+            run, after = _runs(at, s[at], doc)
+            at, doc = at[run], doc[run]
             lo = np.searchsorted(seed, s[at], "left")
             n = np.searchsorted(seed, s[at], "right") - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
             k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            hits.append(np.stack([np.repeat(at, n), place[k]]))
+            item = np.searchsorted(self.first, place[k], "right") - 1
+            at, after = np.repeat(at, n), np.repeat(after, n)
+            # Where the item's first token would stand: an interval for each pair of runs.
+            hits.append(np.stack([np.repeat(doc, n), item, at - place[k] - more[k] + self.first[item], after + more[k] + 1]))
         if not hits or not sum(x.shape[1] for x in hits):
             return _NONE
-        pos, place = np.concatenate(hits, axis=1)
-        doc = np.searchsorted(first, pos, "right") - 1
-        item = np.searchsorted(self.first, place, "right") - 1
-        shift = pos - place + self.first[item]  # where the item's first token would stand
-        key = np.unique(np.stack([doc, item, shift]), axis=1)
-        found = [self._verify(h, first, *key[:, i : i + 20_000]) for i in range(0, key.shape[1], 20_000)]
-        got = pd.concat(found).sort_values(["doc", "item", "n_equal", "doc_start"], ascending=[True, True, False, True], kind="stable")
-        return got.drop_duplicates(["doc", "item"])
+        hits = np.concatenate(hits, axis=1)
+        hits = hits[:, np.lexsort(hits[2::-1])]
+        pair = np.flatnonzero(np.any(np.diff(hits[:2], axis=1, prepend=-1), axis=0))  # the first hit of each document and item
+        found = [_NONE]
+        for a, z in _parts(np.add.reduceat(hits[3], pair)):
+            a, z = pair[a], pair[z] if z < len(pair) else hits.shape[1]
+            found += self._best(h, first, hits[:, a:z])
+        return pd.concat(found).sort_values(["doc", "item"], kind="stable")
+
+    def _best(self, h: np.ndarray, first: np.ndarray, hits: np.ndarray) -> list[pd.DataFrame]:
+        """Of all alignments of some documents and items the best of each pair: most equal tokens, then first in the document."""
+        n = hits[3]
+        which = np.repeat(np.arange(len(n)), n)
+        shift = hits[2][which] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        doc, item = hits[0][which], hits[1][which]
+        order = np.lexsort((shift, item, doc))
+        key = np.stack([doc[order], item[order], shift[order]])
+        key = key[:, np.any(np.diff(key, axis=1, prepend=-1), axis=0) | (np.arange(key.shape[1]) == 0)]
+        size = self.first[key[1] + 1] - self.first[key[1]]
+        best, whole = _NONE, None
+        for a, z in _parts(size):
+            part = key[:, a:z]
+            if whole is not None:  # the pair that the part before ended in: equal in all tokens already?
+                part = part[:, (part[0] != whole[0]) | (part[1] != whole[1])]
+            whole = None
+            got = pd.concat([best, self._verify(h, first, *part)]) if part.shape[1] else best
+            best = got.sort_values(["doc", "item", "n_equal", "doc_start"], ascending=[True, True, False, True], kind="stable").drop_duplicates(["doc", "item"])
+            if len(best) and z < key.shape[1]:
+                last = best[(best.doc == key[0, z]) & (best["item"] == key[1, z])]
+                if len(last) and last.n_equal.iloc[0] == size[z]:
+                    whole = key[:2, z]
+        return [best]
 
     def _verify(self, h: np.ndarray, first: np.ndarray, doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> pd.DataFrame:
         size = self.first[item + 1] - self.first[item]
@@ -184,7 +239,7 @@ def matches(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BYTES) -
 
     out = None
     for bc in _over_blocks(docs, bench, block_bytes):
-        part = text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(runner(bc), schema)
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(runner(bc), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -204,7 +259,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BY
         return run
 
     for bc in _over_blocks(docs, bench, block_bytes):
-        docs = text_rows(docs).mapInArrow(runner(bc), docs.schema)
+        docs = docs.mapInArrow(runner(bc), docs.schema)
     return docs
 
 

@@ -90,3 +90,36 @@ def test_first_of_equal_alignments():
     t = b"a b c d e f - a b c d e f"
     got = b.find(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
     assert got.doc_start.tolist() == [0]
+
+
+def test_repetitive_texts(monkeypatch):
+    """Every alignment is compared once, part by part: the same rows as with all at once, in bounded time."""
+    import time
+
+    import numpy as np
+
+    def find(items, texts):
+        raw = [t.encode() for t in texts]
+        return o.Block.build(list(range(len(items))), items).find(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+    items = ["a " * 100, "a " * 60 + "b " + "a " * 60, "a b " * 40, "x y z " * 20, "c " * 13]
+    texts = ["a " * 700, "a b " * 300, "a " * 70 + "b " + "a " * 70, "y z x " * 90, "q " * 50 + "c " * 30]
+    want = {}
+    for i, item in enumerate(items):
+        for d, text in enumerate(texts):
+            w, t = item.split(), text.split()
+            for shift in range(-len(w), len(t)):
+                eq = [0 <= shift + k < len(t) and t[shift + k] == x for k, x in enumerate(w)]
+                good = [k for k in range(len(w) - 12) if sum(eq[k : k + 13]) >= 11]
+                if good:
+                    row = (-sum(eq[good[0] : good[-1] + 13]), shift + good[0], good[0], good[-1] + 13 - good[0])
+                    want[d, i] = min(want.get((d, i), row), row)
+    for part in (1 << 20, 300):
+        monkeypatch.setattr(o, "PART", part)
+        got = find(items, texts)
+        assert {(r.doc, r.item): (-r.n_equal, r.doc_start, r.item_start, r.n_tokens) for r in got.itertuples()} == want
+    monkeypatch.setattr(o, "PART", 1 << 20)
+    began = time.process_time()
+    got = find(["a " * 200, "a " * 199 + "b "], ["a " * 50_000])
+    assert time.process_time() - began < 20
+    assert got.n_equal.tolist() == [200, 199]
