@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import files
+from pagewright.llm.ranks import carried
 from pagewright.llm.textbatch import claim, scramble
 from pagewright.session import materialize, scratch_path, table
 
@@ -415,19 +416,6 @@ def _index_writer(path: str) -> Callable:
     return run
 
 
-def _copies(written: DataFrame) -> DataFrame:
-    """written with the copy number of each row: its place in its shard's run of that id, behind what earlier shards have of the id. The windows go over one row a shard."""
-    ends = written.groupBy("shard").agg(F.min_by("doc_id", "first").alias("lead"), F.max_by(F.struct("doc_id", "run"), "first").alias("last"))
-    by_shard = Window.orderBy("shard")
-    ends = ends.select("shard", "lead", F.col("last.doc_id").alias("tail"), (F.col("last.run") + 1).alias("n"), F.lag(F.struct(F.col("last.doc_id").alias("id"))).over(by_shard).alias("before"))
-    goes_on = F.col("before").isNotNull() & F.col("before.id").eqNullSafe(F.col("lead"))
-    ends = ends.withColumn("goes_on", goes_on).withColumn("segment", F.sum((~(goes_on & F.col("lead").eqNullSafe(F.col("tail")))).cast("int")).over(by_shard))
-    ends = ends.withColumn("so_far", F.sum("n").over(Window.partitionBy("segment").orderBy("shard")))
-    ends = ends.select("shard", "lead", F.when(F.col("goes_on"), F.lag("so_far").over(by_shard)).otherwise(0).alias("carry"))
-    copy = F.col("run") + F.when(F.col("doc_id").eqNullSafe(F.col("lead")), F.col("carry")).otherwise(0)
-    return written.join(ends, "shard").select("doc_id", "shard", "first", "n_tokens", copy.alias("copy"))
-
-
 def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, *, end_id: int | None = END_ID, special_as_text: bool = False) -> Store:
     """Writes payload and index of docs (doc_id, text) and returns the store."""
     spark = docs.sparkSession
@@ -437,7 +425,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, *, end
     in_order = keyed.withColumns({"tie": tie[0], "from": tie[1]}).repartitionByRange("doc_id", "tie", "from").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     written = in_order.mapInArrow(_writer(path, tokenizer, end_id, special_as_text), "doc_id long, shard int, first long, n_tokens long, run long")
     written = materialize(written, "token-rows")
-    entries = _copies(written)
+    entries = carried(written, name="copy").drop("run")
     buckets = max(1, -(-written.count() // BUCKET_KEYS))
     by_bucket = entries.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "copy"), F.lit(buckets)).cast("int"))
     indexed = by_bucket.groupBy("bucket").applyInPandas(_index_writer(path), "bucket int, keys long")
