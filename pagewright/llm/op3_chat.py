@@ -7,10 +7,11 @@ Its states are the role of the last turn written (or none yet). Dynamic programm
   and before it, or at the end, empty turns may be inserted (INSERT each).
 The cheapest way is taken and rendered. Among equally cheap ones the order of STATES and of the list above decides.
 
-Scale: a conversation is cut into segments of SEGMENT turn numbers. Each segment gives its table of costs from any state to any state
+Scale: a conversation is cut into segments of SEGMENT turns, by their place in it (found from turns sorted over all tasks, not by a window over the
+conversation). Each segment gives its table of costs from any state to any state
 (a min-plus matrix), a conversation's few matrices are chained, and each segment is then traced back and rendered for itself between the states
 found. So a very long conversation is spread over tasks, and only its rendered parts meet. Ties in `turn` are ordered by role,
-then by a hash of the text, and stay in one segment.
+then by a hash of the text, so neither equal nor null turn numbers make a segment longer.
 
 Defined results: null or empty texts are empty turns, kept like others. A null role is an unknown one; a null turn comes first; rows with a null conv_id form one
 conversation. Repeated rows are turns of their own (and get merged). Roles are compared in lower case, trimmed. The template's markers inside a text
@@ -26,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.ranks import numbered
 from pagewright.session import materialize, table
 
 STATES = ("none", "system", "user", "assistant")
@@ -160,10 +162,9 @@ def format_chats(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """
     role = F.lower(F.trim(F.coalesce(F.col("role"), F.lit(""))))
     code = F.when(role == "system", 1).when(role == "user", 2).when(role == "assistant", 3).otherwise(0)
-    rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.floor(F.col("turn") / segment), F.lit(0)).cast("long").alias("seg"), F.col("turn").cast("long").alias("turn"), code.alias("code"), F.xxhash64("text").alias("tie"), F.coalesce(F.col("text"), F.lit("")).alias("text")
-    )
-    order = ["conv_id", "seg", "turn", "code", "tie"]
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), code.alias("code"), F.xxhash64("text").alias("tie"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = numbered(rows, "conv_id", ["turn", "code", "tie"], "at").select("conv_id", F.expr(f"at div {int(segment)}").alias("seg"), "at", "code", "text")
+    order = ["conv_id", "seg", "at"]
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
@@ -194,9 +195,9 @@ def format_chats(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
         names = ["conv_id", "seg", "n_turns", "n_rendered", "cost", "actions", "part"]
         out, size = [], 0
         for k, g in _groups(frames, ["conv_id", "seg"]):
-            start, end, first, last, cost = g[0][6:]
+            start, end, first, last, cost = g[0][5:]
             way = trace([r[3] for r in g], start, end)
-            text = render(way, [r[5] for r in g], bool(first))
+            text = render(way, [r[4] for r in g], bool(first))
             actions = "".join("".join(f"-{STATES[w][0]}" for w in ins) + STATES[b][0] + "+" * merged for b, ins, merged in way)
             n = sum(len(ins) + (not merged) for _, ins, merged in way)
             if last:
@@ -210,7 +211,7 @@ def format_chats(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
         yield _out(out, names)
 
     same = rows["conv_id"].eqNullSafe(states["conv_id"]) & (rows["seg"] == states["seg"])
-    both = rows.join(states, same).select(*(rows[c] for c in ("conv_id", "seg", "turn", "code", "tie", "text")), "start", "end", "first", "last", "cost")
+    both = rows.join(states, same).select(*(rows[c] for c in ("conv_id", "seg", "at", "code", "text")), "start", "end", "first", "last", "cost")
     done = both.repartition("conv_id", "seg").sortWithinPartitions(*order).mapInPandas(parts, "conv_id long, seg long, n_turns long, n_rendered long, cost long, actions string, part string")
     whole = done.groupBy("conv_id").agg(F.sum("n_turns").alias("n_turns"), F.sum("n_rendered").alias("n_rendered"), F.max("cost").alias("cost"), F.array_sort(F.collect_list(F.struct("seg", "actions", "part"))).alias("p"))
     return whole.select("conv_id", "n_turns", "n_rendered", "cost", F.array_join("p.actions", "").alias("actions"), F.array_join("p.part", "").alias("text"))

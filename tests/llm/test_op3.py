@@ -99,3 +99,17 @@ def test_empty_and_extra(spark):
     d = rows(spark, [(1, 0, "user", "x" * 300_000)]).selectExpr("*", "1 AS seg", "2 AS code", "3 AS cost")
     assert len(o.format_chats(d).first().text) > 300_000
     assert o.format_chats(d.limit(0)).count() == 0
+
+
+def test_null_and_equal_turns_are_cut_too(spark, monkeypatch):
+    """Segments hold at most so many turns, whatever turn and conv_id say."""
+    r = random.Random(4)
+    data = [(None if i % 3 else 5, None if i % 2 else 7, r.choice(["user", "assistant", "x"]), f"m{i}") for i in range(900)]
+    whole = {x.conv_id: (x.cost, x.n_turns, len(x.text)) for x in o.format_chats(rows(spark, data)).collect()}
+    cut = {x.conv_id: x for x in o.format_chats(rows(spark, data).repartition(6), segment=16).collect()}
+    assert {k: (v.cost, v.n_turns) for k, v in cut.items()} == {k: v[:2] for k, v in whole.items()}
+    numbered = o.numbered(rows(spark, data).repartition(6), "conv_id", ["turn", "role"], "at").collect()
+    for c in (None, 5):
+        mine = sorted((x.at, x.turn is not None, x.turn or 0, x.role) for x in numbered if x.conv_id == c)
+        assert [x[0] for x in mine] == list(range(len(mine)))
+        assert [x[1:] for x in mine] == sorted(x[1:] for x in mine)
