@@ -8,7 +8,9 @@ sum of one table entry for each feature and pair: vectorised look-ups and additi
 Features describe the text alone (byte classes, word lengths, repetition, lines, case, symbol runs); language, source, ids and labels are no inputs.
 
 Bounds: the model is fitted on the driver on at most TRAIN_ROWS labelled rows, those with the smallest md5 of their id among all that may be
-learned from; every row is scored. The ids of the training rows (at most TRAIN_ROWS) are broadcast, so texts aren't shuffled.
+learned from; every row is scored. The ids of the training rows (at most TRAIN_ROWS) are broadcast, so texts aren't shuffled, and the features of
+each come back once, so at most TRAIN_ROWS rows reach the driver. Of several texts of an id the one with the smallest hash is learned from, whatever the order of tasks.
+Ids of any type are compared as text.
 
 Null and empty texts have all features 0 and get a score like any other. Rows without label, or with a null label or id, aren't learned from;
 a document with several label rows counts with each. Repeated documents are scored each. Without labels of both kinds every
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.textbatch import find_words, pieces, scramble, text_rows
+from pagewright.llm.textbatch import find_words, pieces, scramble
 from pagewright.session import table
 
 TRAIN_ROWS = 20_000
@@ -217,20 +219,19 @@ def learnable() -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Fits the model on at most so many labelled rows of those that may be learned from."""
     spark = docs.sparkSession
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & learnable()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "quality").limit(most).toPandas()  # at most `most` rows of two numbers
-    ids = spark.createDataFrame(chosen[["doc_id"]].drop_duplicates(), "doc_id long")
-    kind = dict(docs.dtypes)["doc_id"]
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & learnable()).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    chosen = known.orderBy(F.md5("doc_id"), "doc_id", "quality").limit(most).toPandas()  # at most `most` rows of an id and a number
+    ids = spark.createDataFrame([(x,) for x in sorted(set(chosen.doc_id))], "doc_id string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, buf, off in pieces(b.column(1)):
+            for i, j, buf, off in pieces(b.column(2)):
                 rows = features(buf, off)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.FixedSizeListArray.from_arrays(rows.reshape(-1), len(NAMES)).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.FixedSizeListArray.from_arrays(rows.reshape(-1), len(NAMES)).cast(pa.list_(pa.float64()))], ["doc_id", "tie", "x"])
 
-    picked = text_rows(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    got = picked.mapInArrow(run, f"doc_id {kind}, x array<double>").toPandas()  # at most one row for each chosen id, and repeats of it
-    both = got.drop_duplicates("doc_id").merge(chosen, on="doc_id").sort_values(["doc_id", "quality"], kind="stable")
+    picked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    got = picked.mapInArrow(run, "doc_id string, tie long, x array<double>").groupBy("doc_id").agg(F.min_by("x", "tie").alias("x")).toPandas()  # a row for each chosen id
+    both = got.merge(chosen, on="doc_id").sort_values(["doc_id", "quality"], kind="stable")
     x = np.stack(both.x.to_list()) if len(both) else np.zeros((0, len(NAMES)))
     return fit(x, both.quality.to_numpy(np.float64))
 
@@ -248,7 +249,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return text_rows(docs).mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def quality_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -59,3 +59,28 @@ def test_edges(spark):
         assert got.score.nunique() == 1
         assert (got.predicted == 1).all()
     assert o.quality_rows(d.limit(0), labels).count() == 0
+
+
+def test_against_brute_force(spark):
+    """Ids of text, repeated ids with other texts: the same model and scores as from plain loops, in any order of rows."""
+    t = table(spark, SF, "documents").select("doc_id", "text").toPandas()
+    y = table(spark, SF, "labels").toPandas()
+    d = [(f"d{i}", x) for i, x in zip(t.doc_id, t.text)] + [(f"d{i}", "other text, the same id") for i in t.doc_id[:50]]
+    lab = [(f"d{i}", int(q), 0) for i, q in zip(y.doc_id, y.quality)]
+    frame, labels = spark.createDataFrame(d, "doc_id string, text string"), spark.createDataFrame(lab, "doc_id string, quality int, toxic int")
+    tie = {(r.doc_id, r.text): r.h for r in frame.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
+    use = {}
+    for i, x in sorted(d, key=lambda r: -tie[r]):
+        use[i] = x
+
+    def row(text):
+        b = np.frombuffer((text or "").encode(), np.uint8)
+        return o.features(b, np.array([0, len(b)]))[0]
+
+    learn = sorted((i, q) for i, q, _ in lab if zlib.crc32(i.encode()) % 3 != 1 and i in use)
+    m = o.fit(np.stack([row(use[i]) for i, _ in learn]), np.array([q for _, q in learn], float))
+    want = sorted((i, round(float(m.score(row(x)[None])[0]), 9)) for i, x in d)
+    for n in (1, 5):
+        got = o.quality_rows(frame.repartition(n), labels.repartition(n)).collect()
+        assert sorted((r.doc_id, round(r.score, 9)) for r in got) == want
+        assert all(r.held_out == (zlib.crc32(r.doc_id.encode()) % 3 == 1) for r in got)
