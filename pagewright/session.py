@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_SHARED = "/tmp/checkpoints/pagewright"
+DEFAULT_LOCAL = "/tmp/checkpoints/pagewright"
 
 
 def local_session(cpus: int | str = 8, name: str = "pagewright", checkpoint_dir: str | None = None) -> SparkSession:
@@ -32,10 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where there is one machine, is there a default."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{DEFAULT_SHARED}"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{DEFAULT_LOCAL}"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -50,7 +52,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     The table outlives any executor. It stays until its folder is cleaned, as a lazy result may read it at any later time.
     """
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """materialize(), and where the table is, for remove()."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
