@@ -7,16 +7,20 @@ places shifted by k: two permutations give all coordinates. ROWS coordinates for
 1. Documents with equal sets form a class; its smallest id stands for it from here on.
 2. A pair of classes that share a bucket is plausible if their sizes and one bit of each of 128 coordinates allow the similarity. Groups are the
    components of all plausible pairs. Most come from pairing each class with the smallest and the largest id of each of its buckets; where groups still
-   meet in a bucket, all its pairs of different groups are tested too.
-3. Within each group all pairs are verified on full sets, block against block; pairs that reach the similarity are links.
+   meet in a bucket, all its pairs of different groups are tested too: by a join in buckets of up to SMALL classes, block against block in larger ones.
+3. A group is dealt into blocks bounded by documents and bytes; all pairs within a block are verified on full sets. Of a group of several blocks, the smallest
+   ids of what is linked so far are dealt and verified again, until no link is new. Blocks of which members are in different components still, and
+   plausible, are verified against each other.
 4. Components of all links; the smallest id names a component.
 
 Candidates miss a pair at similarity 0.8 with probability (1 - 0.8^5)^32 = 3e-6, less above it. The plausibility test refuses a pair at 0.8
-when over 34 of 128 bits differ; 13 are expected (6 standard deviations).
+when over 34 of 128 bits differ; 13 are expected (6 standard deviations). A test measures the recall of both. Sets of over about a million shingles
+saturate the circle: such documents meet each other in every bucket and only size and full sets tell them apart.
 
 Hot groups: equal sets collapse before anything is paired; stars have as many pairs as members; buckets are pre-aggregated and joined, never gathered,
-so adaptive execution can split a hot one. A large group is spread over blocks; a block comparison intersects a set with all sets of a block in one
-pass and sends out only pairs that join trees.
+so adaptive execution can split a hot one. A comparison of blocks sends out only pairs that join trees, no more than it has members. A group of near copies
+that link through their representatives costs as many set comparisons as BLOCK times its members; only members of components that stay apart
+and look plausible are compared block against block.
 
 Defined results: null and empty texts have an empty set (n_shingles 0), link with nothing and are kept. Fewer words than `width`: the whole sequence is one
 shingle. A null id links with nothing and is kept. Rows with the same id are one document: it has the links of all of them. Empty tables give
@@ -36,13 +40,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.graph import components
-from pagewright.llm.textbatch import LOWER, find_words, pieces, rolling, scramble, text_rows
+from pagewright.llm.textbatch import LOWER, find_words, pieces, rolling, scramble
 from pagewright.session import materialize, table
 
 BANDS, ROWS, CIRCLE = 32, 5, 1 << 20
 COORDINATES = BANDS * ROWS
 MOST_BITS = 34
-BLOCK = 256
+#: Most documents, and about most bytes of sets, in a block; classes that a bucket's join takes; classes in a block of descriptions.
+BLOCK, BLOCK_BYTES, SMALL, WIDE = 256, 64 << 20, 64, 4096
 U = np.uint64
 
 
@@ -99,7 +104,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 cols = list(zip(*(_describe(s) for s in shingle_sets(buf, off, width)), strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "k1", "k2", "b0", "b1", "bands"])
 
-    return text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, b0 long, b1 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, b0 long, b1 long, bands array<long>")
 
 
 class _Forest:
@@ -147,14 +152,38 @@ def _unpack(data: bytes, sizes: bytes) -> list[np.ndarray]:
     return np.split(np.frombuffer(data, U), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
 
 
-def verified(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) of similar full sets among the documents of each group (node, component): enough of them to connect all that are similar.
+def _blocks(groups: DataFrame, turn: int) -> DataFrame:
+    """groups (doc_id, g, n_shingles) with a block and the number of blocks of each group, bounded by documents and bytes."""
+    size = groups.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("long").alias("blocks"))
+    return groups.join(size, "g").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(turn)), "blocks"))
+
 
-    A group is dealt into blocks of about BLOCK documents; each block is compared with itself and with each other block of its group. Of a comparison
-    only the pairs that join trees leave the task, so its output is no larger than the number of its documents.
-    """
-    size = groups.groupBy("component").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("blocks"))
-    placed = materialize(groups.join(size, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("g"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks"), "blocks")
+def _within(members: DataFrame, percent: int, keep: bool) -> DataFrame:
+    """Of members (g, block, blocks, doc_id, members) the links inside each block as (g, blocks, a, b); if keep, also a row (g, blocks, a, null, block, members) for each member of a group of several blocks."""
+    schema = "g long, blocks long, a long, b long, block long, members binary"
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for f in frames for r in f.itertuples(index=False, name=None))
+        out, held = [], 0
+        for (g, block, blocks), mine in groupby(rows, key=lambda r: r[:3]):
+            mine = list(mine)
+            out += [(g, blocks, mine[i][3], mine[j][3], None, None) for i, j in _similar([np.frombuffer(r[4], U) for r in mine], None, percent)]
+            if keep and blocks > 1:
+                out += [(g, blocks, r[3], None, block, r[4]) for r in mine]
+                held += sum(len(r[4]) for r in mine)
+            if len(out) > 5000 or held > 1 << 24:
+                yield pd.DataFrame(out, columns=names).astype({"b": "Int64", "block": "Int64"})
+                out, held = [], 0
+        yield pd.DataFrame(out, columns=names).astype({"b": "Int64", "block": "Int64"})
+
+    dealt = members.select("g", "block", "blocks", "doc_id", "members").repartition("g", "block").sortWithinPartitions("g", "block")
+    return dealt.mapInPandas(run, schema)
+
+
+def verified(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of similar full sets among the documents of each group (node, component, n_shingles): enough of them to connect all that are similar."""
+    placed = materialize(_blocks(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("g"), "n_shingles"), 0).drop("n_shingles"), "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,37 +191,114 @@ def verified(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 members = pa.array([s.tobytes() for s in shingle_sets(buf, off, width)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[:4]), members], ["g", "block", "blocks", "doc_id", "members"])
 
-    def within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, "doc_id").select("g", "block", "blocks", "doc_id", "text").mapInArrow(sets, "g long, block long, blocks long, doc_id long, members binary")
+    first = materialize(_within(members, percent, True), "verified")
+    found = first.where("b is not null").select("a", "b")
+    large = first.where("b is null").select("g", "block", F.col("a").alias("doc_id"), "members")
+    if not large.limit(1).count():
+        return found
+    return found.unionByName(_large(large, first.where("b is not null and blocks > 1").select("g", "a", "b"), percent))
+
+
+def _large(large: DataFrame, links_: DataFrame, percent: int) -> DataFrame:
+    """More links of groups of several blocks: by representatives of what is linked, then between blocks that still hold different components."""
+    found, turn = None, 1
+    while True:
+        known = links_ if found is None else links_.unionByName(found)
+        label = components(known.select("a", "b"))
+        named = large.join(label, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
+        lead = named.select("g", "doc_id", "members").where(F.col("c") == F.col("doc_id")).withColumn("n_shingles", F.expr("length(members) div 8"))
+        open_ = materialize(lead.groupBy("g").agg(F.count("*").alias("left")).where("left > 1").select("g"), "open")
+        if not open_.limit(1).count():
+            break
+        dealt = _blocks(lead.drop("members").join(open_, "g", "left_semi"), turn).select("doc_id", "block", "blocks")
+        new = materialize(_within(lead.select("g", "doc_id", "members").join(dealt, "doc_id"), percent, False).select("g", "a", "b"), "links")
+        if not new.limit(1).count():
+            between = materialize(_between(named.join(open_, "g", "left_semi"), percent), "links")
+            return between if found is None else found.select("a", "b").unionByName(between)
+        found = new if found is None else found.unionByName(new)
+        turn += 1
+    return found.select("a", "b") if found is not None else links_.select("a", "b").limit(0)
+
+
+def _between(named: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (g, block, doc_id, members, c) of different blocks and components. Blocks' bits are compared first; sets of blocks without a plausible pair aren't."""
+    info = "g long, block long, ids binary, sizes binary, labels binary, bits binary, data binary"
+    names = [x.split()[0] for x in info.split(",")]
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (r for f in frames for r in f.itertuples(index=False, name=None))
-        out, held = [], 0
-        for (g, block, blocks), mine in groupby(rows, key=lambda r: r[:3]):
+        for (g, block), mine in groupby(rows, key=lambda r: r[:2]):
             mine = list(mine)
-            parts = [np.frombuffer(r[4], U) for r in mine]
-            out += [(g, block, mine[i][3], mine[j][3], None, None, None) for i, j in _similar(parts, None, percent)]
-            if blocks > 1:
-                out.append((g, block, None, None, np.array([r[3] for r in mine], np.int64).tobytes(), np.array([len(x) for x in parts], np.int64).tobytes(), b"".join(r[4] for r in mine)))
-                held += len(out[-1][6])
-            if len(out) > 5000 or held > 1 << 24:
-                yield pd.DataFrame(out, columns=names)
-                out, held = [], 0
-        yield pd.DataFrame(out, columns=names)
+            bits = b"".join(np.packbits(signature(np.frombuffer(r[4], U))[:128].astype(np.uint8) & 1).tobytes() for r in mine)
+            n = np.array([len(r[4]) // 8 for r in mine], np.int64)
+            yield pd.DataFrame([(g, block, np.array([r[2] for r in mine], np.int64).tobytes(), n.tobytes(), np.array([r[3] for r in mine], np.int64).tobytes(), bits, b"".join(r[4] for r in mine))], columns=names)
+
+    packed = named.select("g", "block", "doc_id", "c", "members").repartition("g", "block").sortWithinPartitions("g", "block").mapInPandas(pack, info)
+    packed = materialize(packed, "packed")
+    light = packed.select("g", "block", "sizes", "labels", "bits")
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            keep = []
+            for r in f.itertuples(index=False):
+                n, m = np.frombuffer(r.sizes, np.int64), np.frombuffer(r.sizes_2, np.int64)
+                x, y = np.frombuffer(r.bits, U).reshape(-1, 2), np.frombuffer(r.bits_2, U).reshape(-1, 2)
+                c, d = np.frombuffer(r.labels, np.int64), np.frombuffer(r.labels_2, np.int64)
+                keep.append(bool((_near(n, x, m, y, percent) & (c[:, None] != d)).any()))
+            yield f.loc[keep, ["g", "block", "block_2"]]
 
-    names = ["g", "block", "a", "b", "ids", "sizes", "data"]
-    members = text_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, "doc_id").select("g", "block", "blocks", "doc_id", "text").mapInArrow(sets, "g long, block long, blocks long, doc_id long, members binary")
-    first = materialize(members.repartition("g", "block").sortWithinPartitions("g", "block").mapInPandas(within, "g long, block long, a long, b long, ids binary, sizes binary, data binary"), "verified")
-    packed = first.where("ids is not null").select("g", "block", "ids", "sizes", "data")
+    other = light.toDF("g", "block_2", "sizes_2", "labels_2", "bits_2")
+    met = light.join(other, "g").where("block < block_2").repartition("g", "block", "block_2").mapInPandas(meet, "g long, block long, block_2 long")
+    met = materialize(met, "met")
 
-    def between(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples(index=False):
                 ids = np.concatenate([np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids_2, np.int64)])
                 found = np.array(_similar(_unpack(r.data, r.sizes), _unpack(r.data_2, r.sizes_2), percent), np.int64).reshape(-1, 2)
                 yield pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
-    other = packed.toDF("g", "block_2", "ids_2", "sizes_2", "data_2")
-    pairs = packed.join(other, "g").where("block < block_2").repartition("g", "block", "block_2")
-    links_ = first.where("a is not null").select("a", "b")
-    return links_.unionByName(pairs.mapInPandas(between, "a long, b long"))
+    sets = packed.select("g", "block", "ids", "sizes", "data")
+    return met.join(sets, ["g", "block"]).join(sets.toDF("g", "block_2", "ids_2", "sizes_2", "data_2"), ["g", "block_2"]).mapInPandas(compare, "a long, b long")
+
+
+def _near(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of descriptions (sizes, two words of bits) are plausible."""
+    differ = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+    return (differ <= MOST_BITS) & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m))
+
+
+def _wide_buckets(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of components (a, b) that are to be one, of rows (band, c, n_shingles, b0, b1, blocks): each bucket's plausible pairs, block against block; a comparison gives pairs that join trees."""
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("c", "b0", "b1"), "blocks"))
+    schema = "band long, block long, labels binary, sizes binary, bits binary"
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows_ = (r for f in frames for r in f.itertuples(index=False, name=None))
+        for (band, block), mine in groupby(rows_, key=lambda r: r[:2]):
+            v = np.array([r[2:] for r in mine], np.int64)
+            yield pd.DataFrame([(band, block, v[:, 0].tobytes(), v[:, 1].tobytes(), np.ascontiguousarray(v[:, 2:]).tobytes())], columns=["band", "block", "labels", "sizes", "bits"])
+
+    packed = materialize(placed.select("band", "block", "c", "n_shingles", "b0", "b1").repartition("band", "block").sortWithinPartitions("band", "block").mapInPandas(pack, schema), "packed")
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                c, d = np.frombuffer(r.labels, np.int64), np.frombuffer(r.labels_2, np.int64)
+                n, m = np.frombuffer(r.sizes, np.int64), np.frombuffer(r.sizes_2, np.int64)
+                x, y = np.frombuffer(r.bits, U).reshape(-1, 2), np.frombuffer(r.bits_2, U).reshape(-1, 2)
+                names, at = np.unique(np.concatenate([c, d]), return_inverse=True)
+                forest = _Forest(len(names))
+                for i in range(0, len(c), 256):
+                    near = _near(n[i : i + 256], x[i : i + 256], m, y, percent) & (c[i : i + 256, None] != d)
+                    p, q = np.nonzero(near)
+                    for k in np.unique(at[i + p] * len(names) + at[len(c) + q]).tolist():
+                        forest.join(*divmod(k, len(names)))
+                yield pd.DataFrame([(names[p], names[q]) for p, q in forest.edges], columns=["a", "b"])
+
+    pairs = packed.join(packed.toDF("band", "block_2", "labels_2", "sizes_2", "bits_2"), "band").where("block <= block_2")
+    return pairs.repartition("band", "block", "block_2").mapInPandas(meet, "a long, b long")
 
 
 def _plausible(x: str, y: str, percent: int) -> F.Column:
@@ -218,11 +324,13 @@ def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
     comp = components(edges)
     # Buckets in which groups still meet.
     known = reps.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.explode("bands").alias("band"), me.alias("x"), F.coalesce("component", "doc_id").alias("c"))
-    sizes = known.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    sizes = known.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1").drop("parts")
     open_ = materialize(known.join(materialize(sizes, "open"), "band"), "buckets")
-    left = open_.where("c <> main").select("band", F.col("x").alias("y"), F.col("c").alias("d"))
-    more = left.join(open_, "band").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("x.doc_id") < F.col("y.doc_id")))).where(_plausible("x", "y", percent))
-    more = materialize(more.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "pairs")
+    few = open_.where(F.col("n") <= SMALL)
+    left = few.where("c <> main").select("band", F.col("x").alias("y"), F.col("c").alias("d"))
+    more = left.join(few, "band").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("x.doc_id") < F.col("y.doc_id")))).where(_plausible("x", "y", percent)).select(F.col("c").alias("a"), F.col("d").alias("b"))
+    many = open_.where(F.col("n") > SMALL).select("band", "c", "x.n_shingles", "x.b0", "x.b1", F.ceil(F.col("n") / WIDE).alias("blocks"))
+    more = materialize(more.unionByName(_wide_buckets(many, percent)).distinct(), "pairs")
     if not more.limit(1).count():
         return comp
     lone = more.select(F.explode(F.array("a", "b")).alias("b")).select(F.col("b").alias("a"), "b")
@@ -233,7 +341,7 @@ def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """Components of class representatives that have a link: node, component."""
-    groups = materialize(candidate_groups(reps, percent), "groups")
+    groups = materialize(candidate_groups(reps, percent).join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node"), "groups")
     return components(materialize(verified(groups, docs, width, percent), "links"))
 
 

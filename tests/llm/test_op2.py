@@ -124,3 +124,44 @@ def test_components(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: root(n) for n in up}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """Small limits: near copies over many blocks, chains whose ends differ, and wide buckets, against brute force."""
+    monkeypatch.setattr(o, "BLOCK", 5)
+    monkeypatch.setattr(o, "SMALL", 3)
+    monkeypatch.setattr(o, "WIDE", 6)
+    r = random.Random(12)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(60)]
+        rows += [t for t in variants(r, base, 25, 4)]
+    w = [f"c{i}" for i in range(60)]
+    for i in range(0, 120, 2):  # each like the one before, not like the first
+        w[i % 60] = f"n{i}"
+        rows.append(" ".join(w))
+    r.shuffle(rows)
+    check(spark, list(enumerate(rows)), 2)
+
+
+def test_recall_near_the_limit():
+    """Share of pairs of similarity 0.80 to 0.82 that meet in a band and that the bits let pass; also short sets."""
+    r = np.random.default_rng(3)
+    met = passed = n = 0
+    for size in (9, 18, 45, 90, 450):
+        for _ in range(400):
+            both = r.integers(0, 2**63, size * 80 // 90 + size, dtype=np.int64).astype(np.uint64)
+            same = (4 * size + 4) // 5
+            rest = size - same
+            a, b = np.unique(np.append(both[:same], both[same : same + rest // 2])), np.unique(np.append(both[:same], both[same + rest // 2 : same + rest]))
+            j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            if not 0.8 <= j <= 0.83:
+                continue
+            x, y = o._describe(a), o._describe(b)
+            n += 1
+            met += bool(np.any(x[5] == y[5]))
+            passed += sum((p ^ q).bit_count() for p, q in ((x[3] & 2**64 - 1, y[3] & 2**64 - 1), (x[4] & 2**64 - 1, y[4] & 2**64 - 1))) <= o.MOST_BITS
+    print(f"recall of {n} pairs: bands {met / n:.4f}, bits {passed / n:.4f}")
+    assert n > 1000
+    assert met / n > 0.999
+    assert passed / n > 0.999
