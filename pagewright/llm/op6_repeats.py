@@ -1,22 +1,24 @@
 """Substring dedup on a compacted de Bruijn graph of words.
 
-A run of WINDOW words is an edge between its first and its last WINDOW - 1 words. An edge that occurs twice is a repeat; its occurrence
+A run of WINDOW words is an edge from the node of its first WINDOW - 1 words to that of its last. An edge that occurs twice is a repeat; its occurrence
 with the smallest (doc_id, start) is the source, and the words that any other occurrence covers go.
 
-Consecutive edges of a document that share a minimizer (the smallest hash among their runs of ANCHOR words) form a path; equal edges
-have equal minimizers, so all occurrences of an edge lie in paths of the same minimizer.
-
-1. Paths are counted by minimizer. Those of a minimizer that occurs once hold no repeat. That is most of them.
-2. Where all paths of a minimizer are equal and don't cross themselves, they are copies of one nonbranching path: they are settled as a whole
-   by their source coordinates, without listing edges. Joining the counts back to the paths does that.
-3. The other minimizers stand at branches. The edges of their paths are listed with 128-bit hashes, counted and joined back the same way.
-4. Overlapping and touching edges of a document merge into its removed spans, and the words left are joined again.
-
-Scale: per seven words one path of about 30 bytes is shuffled, twice; edges only at branches. Texts are shuffled by doc_id once, and again only
-for documents at branches. Counts are pre-aggregated; joins have one unique side, so adaptive execution can split a hot
-key. A document's hits are gathered (never more than its words).
-
-Paths are compared by a 64-bit hash beside their 64-bit minimizer, edges by two 64-bit hashes: 128 bits, so that an accidental match
+1. Consecutive edges of a document that share a minimizer (the smallest hash among their runs of ANCHOR words) form a piece; equal edges
+   have equal minimizers, so all occurrences of an edge lie in pieces of the same minimizer. Pieces are counted by minimizer; those of a minimizer
+   that occurs once hold no repeat and leave the graph. That is most of them.
+2. Where a minimizer's pieces differ or cross themselves, the graph branches inside them: they are cut into single edges with 128-bit hashes, and edges that occur once leave.
+3. Nodes between pieces: each occurrence of a piece knows the piece that enters its first node and the one that leaves its last node in its document. From these
+   every piece's in- and out-degree is counted. Where all occurrences of a piece lead to one other piece, and all occurrences of that one come from it, the node between does not
+   branch: a join of the pieces' degrees finds these, a second join marks them at all occurrences, and pieces that go on across such nodes are one path.
+4. All occurrences of a compacted path are equal and whole. Its source coordinates are its smallest (doc_id, start); an occurrence elsewhere that has the same
+   length and pieces is verified as a copy and is a removed span.
+5. Overlapping and touching spans of a document merge, and the words left are joined again.
+
+Scale: per seven words one piece of about 30 bytes is shuffled, twice; what repeats is sorted by document once and joined by piece. Texts are shuffled by doc_id once, and again only
+for documents with repeats. Counts are pre-aggregated; joins have one unique side and both are written first, so adaptive execution can split a hot
+key. A document's pieces are gathered (never more than its words). No step follows a path piece by piece: where a link holds, it holds at every occurrence, so paths come whole.
+
+Pieces are compared by a 64-bit hash beside their 64-bit minimizer, edges by two 64-bit hashes: 128 bits, so that an accidental match
 is less likely than 1e-9 even among 10^14 edges.
 
 Defined results: null and empty texts have no words and keep the hash of the empty text. Texts of fewer words than the window lose nothing.
@@ -32,10 +34,10 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.textbatch import WORD_BASE_2, find_words, pieces, rolling, scramble, span_hash, text_rows
+from pagewright.llm.textbatch import WORD_BASE_2, find_words, pieces, rolling, span_hash
 from pagewright.session import materialize, table
 
 WINDOW, ANCHOR = 20, 8
@@ -51,11 +53,11 @@ def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (w - span)], a[w - span :]) if span < w else a
 
 
-def _paths(h: np.ndarray, first: np.ndarray, window: int, anchor: int) -> dict[str, np.ndarray]:
-    """Paths of a batch: doc, start (both within the batch), n edges, minimizer, content hash, whether it may cross itself, whether it is its document's first of that minimizer."""
+def _pieces(h: np.ndarray, first: np.ndarray, window: int, anchor: int) -> dict[str, np.ndarray]:
+    """Pieces of a batch: doc, start (both within the batch), n edges, minimizer, content hash, whether it may cross itself."""
     n = len(h) - window + 1
     if n <= 0:
-        return {k: np.zeros(0, t) for k, t in (("doc", I64), ("start", I64), ("n", I64), ("key", U), ("content", U), ("loop", bool), ("lead", bool))}
+        return {k: np.zeros(0, t) for k, t in (("doc", I64), ("start", I64), ("n", I64), ("key", U), ("content", U), ("loop", bool))}
     m = rolling(h, anchor)
     low = _sliding_min(m, window - anchor + 1)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -70,26 +72,24 @@ def _paths(h: np.ndarray, first: np.ndarray, window: int, anchor: int) -> dict[s
     at = np.cumsum(span) - span
     where = np.repeat(begin - at, span) + np.arange(int(span.sum()))
     loop = np.add.reduceat(m[where] == np.repeat(key, span), at, dtype=np.int32) > 1 if len(at) else np.zeros(0, bool)
-    lead = np.zeros(len(begin), bool)
-    lead[np.unique(scramble(key + scramble(doc[begin].astype(U))), return_index=True)[1]] = True
-    return {"doc": doc[begin], "start": begin, "n": size, "key": key, "content": span_hash(h, begin, begin + size + window - 1, WORD_BASE_2), "loop": loop, "lead": lead}
+    return {"doc": doc[begin], "start": begin, "n": size, "key": key, "content": span_hash(h, begin, begin + size + window - 1, WORD_BASE_2), "loop": loop}
 
 
-def paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """key, doc_id, start, n, content, loop, lead: one row for each path."""
+def pieces_of(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """key, doc_id, start, n, content, loop: one row for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             for i, _, buf, off in pieces(b.column(1)):
                 w = find_words(buf, off)
-                p = _paths(w.hashes(), w.first, window, anchor)
+                p = _pieces(w.hashes(), w.first, window, anchor)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p["key"].view(I64)), pa.array(ids[p["doc"] + i]), pa.array((p["start"] - w.first[p["doc"]]).astype(np.int32)), pa.array(p["n"].astype(np.int32)), pa.array(p["content"].view(I64)), pa.array(p["loop"]), pa.array(p["lead"])],
-                    ["key", "doc_id", "start", "n", "content", "loop", "lead"],
+                    [pa.array(p["key"].view(I64)), pa.array(ids[p["doc"] + i]), pa.array((p["start"] - w.first[p["doc"]]).astype(np.int32)), pa.array(p["n"].astype(np.int32)), pa.array(p["content"].view(I64)), pa.array(p["loop"])],
+                    ["key", "doc_id", "start", "n", "content", "loop"],
                 )
 
-    return text_rows(docs).select("doc_id", "text").mapInArrow(run, "key long, doc_id long, start int, n int, content long, loop boolean, lead boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, start int, n int, content long, loop boolean")
 
 
 def _removed(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -113,53 +113,41 @@ def _kept(raw: bytes, gone: np.ndarray | None) -> tuple[int, int, str]:
     return len(words), 0 if gone is None else int(gone.sum()), hashlib.sha256(b" ".join(words if gone is None else left)).hexdigest()
 
 
-_SETTLED = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, spans array<struct<start:int,n:int>>, edges array<struct<h1:long,h2:long,start:int>>"
+_SETTLED = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, edges array<struct<h1:long,h2:long,start:int>>"
 
 
 def _settle(window: int):
-    """Rows of doc_id, text, hits: the result where no hit is at a branch, else the text, the spans known to go and the edges in question."""
-    span = pa.struct([("start", pa.int32()), ("n", pa.int32())])
+    """Rows of doc_id, text, hits (pieces at branches; null where nothing of the document repeats): the result, or the text and the edges of those pieces."""
     edge = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, off in pieces(b.column(1)):
                 part = b.slice(i, j - i)
-                at, (start, n, branch) = _hits(part.column(2), ("start", "n", "branch"))
-                w = None
+                at, (start, n) = _hits(part.column(2), ("start", "n"))
+                some, w = np.asarray(part.column(2).is_valid()), None
                 rows: list[tuple] = []
                 for d in range(j - i):
                     raw = buf[off[d] : off[d + 1]].tobytes()
-                    a, z = at[d], at[d + 1]
-                    known = branch[a:z] == 0
-                    s, e = start[a:z][known], (start[a:z] + n[a:z] + window - 1)[known]
-                    if known.all():
-                        size = int(e.max()) if len(e) else 0
-                        gone = None
-                        if len(s):
-                            gone = _removed(max(size, len(raw.split())), s, e)
-                        rows.append((*_kept(raw, gone), None, None, None))
+                    if not some[d]:
+                        rows.append((*_kept(raw, None), None, None))
+                        continue
+                    bs, bn = start[at[d] : at[d + 1]], n[at[d] : at[d + 1]]
+                    if not len(bs):
+                        rows.append((None, None, None, raw.decode(), None))
                         continue
                     if w is None:
                         w = find_words(buf, off)
                         h = w.hashes()
                         h1, h2 = rolling(h, window), rolling(h, window, WORD_BASE_2)
-                    bs, bn = start[a:z][~known], n[a:z][~known]
                     lead = np.cumsum(bn) - bn
-                    place = np.sort(np.repeat(bs - lead, bn) + np.arange(int(bn.sum())))
+                    place = np.repeat(bs - lead, bn) + np.arange(int(bn.sum()))
                     x, y = h1[w.first[d] + place], h2[w.first[d] + place]
-                    is_first = np.zeros(len(x), bool)
-                    is_first[np.unique(scramble(x) + y, return_index=True)[1]] = True
-                    # Later occurrences within the document go whatever other documents hold; only first ones are in question.
-                    s, e = np.concatenate([s, place[~is_first]]), np.concatenate([e, place[~is_first] + window])
-                    x, y, place = x[is_first], y[is_first], place[is_first]
-                    edges = pa.StructArray.from_arrays([pa.array(x.view(I64)), pa.array(y.view(I64)), pa.array(place.astype(np.int32))], fields=list(edge))
-                    spans = pa.StructArray.from_arrays([pa.array(s.astype(np.int32)), pa.array((e - s).astype(np.int32))], fields=list(span))
-                    rows.append((int(w.count[d]), None, None, raw.decode(), spans, edges))
+                    rows.append((None, None, None, raw.decode(), pa.StructArray.from_arrays([pa.array(x.view(I64)), pa.array(y.view(I64)), pa.array(place.astype(np.int32))], fields=list(edge))))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string()), _lists(cols[4], span), _lists(cols[5], edge)],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "spans", "edges"],
+                    [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string()), _lists(cols[4], edge)],
+                    ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "edges"],
                 )
 
     return run
@@ -174,7 +162,7 @@ def _lists(values: tuple, kind: pa.DataType) -> pa.Array:
 
 
 def _finish(window: int):
-    """Rows of doc_id, text, spans, places (of edges that go)."""
+    """Rows of doc_id, text, spans (first edge, number of edges) that go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,9 +170,8 @@ def _finish(window: int):
             at, (start, n) = _hits(b.column(2), ("start", "n"))
             for d in range(b.num_rows):
                 raw = b.column(1)[d].as_py().encode()
-                place = np.array(b.column(3)[d].as_py() or [], I64)
-                s, e = np.concatenate([start[at[d] : at[d + 1]], place]), np.concatenate([(start + n)[at[d] : at[d + 1]], place + window])
-                rows.append(_kept(raw, _removed(len(raw.split()), s, e)))
+                s = start[at[d] : at[d + 1]]
+                rows.append(_kept(raw, _removed(len(raw.split()), s, s + n[at[d] : at[d + 1]] + window - 1) if len(s) else None))
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
@@ -203,21 +190,44 @@ def _in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return ranked.select(F.col("own").alias("doc_id"), "text"), ranked.select(F.col("own"), F.col("doc_id").alias("given"))
 
 
+def compacted(parts: DataFrame) -> DataFrame:
+    """Of occurrences of pieces (p1, p2: the piece; doc_id, start, n: edges of the document) those of compacted paths: doc_id, start, n, h1, h2 (the first piece), n_pieces, chain (a hash of its pieces)."""
+    in_doc = Window.partitionBy("doc_id").orderBy("start")
+    me = F.struct("id", "start", "n")
+    steps = parts.withColumn("id", F.xxhash64("p1", "p2")).withColumns({"b": F.lag(me).over(in_doc), "f": F.lead(me).over(in_doc)})
+    before, after = F.when(F.expr("b.start + b.n = start"), F.col("b.id")), F.when(F.expr("f.start = start + n"), F.col("f.id"))
+    steps = materialize(steps.select("p1", "p2", "id", "doc_id", "start", "n", before.alias("before"), after.alias("after")), "steps")
+    seen = [f(c).alias(f"{name}_{c}") for c in ("before", "after") for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    degrees = steps.groupBy("p1", "p2", "id").agg(F.count("*").alias("times"), *seen)
+    only = {c: F.when(F.expr(f"n_{c} = times and lo_{c} = hi_{c}"), F.col(f"lo_{c}")) for c in ("before", "after")}
+    nodes = materialize(degrees.select("p1", "p2", "id", only["before"].alias("enters"), only["after"].alias("leaves")), "degrees")
+    ahead = nodes.where("leaves is not null").select(F.col("id").alias("enters"), F.col("leaves").alias("id"))
+    links = materialize(nodes.where("enters is not null").select("p1", "p2", "id", "enters").join(ahead, ["enters", "id"]).select("p1", "p2", F.lit(True).alias("goes_on")), "links")
+    marked = steps.join(links, ["p1", "p2"], "left").withColumn("path", F.sum(F.col("goes_on").isNull().cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = marked.groupBy("doc_id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min_by(F.struct("p1", "p2"), "start").alias("p"), F.count("*").alias("n_pieces"), F.bit_xor(F.xxhash64("id")).alias("chain"))
+    return whole.select("doc_id", "start", "n", F.col("p.p1").alias("h1"), F.col("p.p2").alias("h2"), "n_pieces", "chain")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     docs, back = _in_order(docs)
-    counts = paths(docs, window, anchor).groupBy("key").agg(F.count("*").alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("loop").alias("loop"), F.min("doc_id").alias("source"))
+    counts = pieces_of(docs, window, anchor).groupBy("key").agg(F.count("*").alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("loop").alias("loop"))
     # Written, so that both sides of the join are plain shuffles and a hot key's rows can be split.
-    repeated = materialize(counts.where("times > 1 or loop").select("key", ((F.col("lo") != F.col("hi")) | F.col("loop")).alias("branch"), "source"), "repeated")
-    met = paths(docs, window, anchor).select("key", "doc_id", "start", "n", "lead").join(repeated, "key")
-    hits = materialize(met.where("branch or doc_id > source or not lead").select("doc_id", "start", "n", F.col("branch").cast("int").alias("branch")), "hits")
-    listed = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "branch")).alias("hits"))
+    repeated = materialize(counts.where("times > 1 or loop").select("key", ((F.col("lo") != F.col("hi")) | F.col("loop")).alias("branch")), "repeated")
+    hits = materialize(pieces_of(docs, window, anchor).select("key", "doc_id", "start", "n").join(repeated, "key"), "hits")
+    listed = hits.groupBy("doc_id").agg(F.collect_list(F.when(F.col("branch"), F.struct("start", "n"))).alias("hits"))
     settled = materialize(docs.join(listed, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(_settle(window), _SETTLED), "settled")
     done = settled.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
     edges = settled.where("text is not null").select("doc_id", F.inline("edges"))
-    twice = materialize(edges.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("doc_id").alias("source")).where("times > 1").drop("times"), "twice")
-    gone = edges.join(twice, ["h1", "h2"]).where("doc_id > source").groupBy("doc_id").agg(F.collect_list("start").alias("places"))
-    late = settled.where("text is not null").select("doc_id", "text", "spans").join(gone, "doc_id", "left").select("doc_id", "text", "spans", "places")
+    twice = materialize(edges.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "twice")
+    cut = edges.join(twice, ["h1", "h2"]).select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), "doc_id", "start", F.lit(1).alias("n"))
+    plain = hits.where("not branch").select(F.col("key").alias("p1"), F.lit(0).cast("long").alias("p2"), "doc_id", "start", "n")
+    found = materialize(compacted(plain.unionByName(cut)), "paths")
+    path = ["h1", "h2", "n", "chain"]
+    source = materialize(found.groupBy(*path).agg(F.min(F.struct("doc_id", "start")).alias("source")), "sources")
+    copies = found.join(source, path).where("doc_id <> source.doc_id or start <> source.start")
+    gone = copies.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    late = settled.where("text is not null").select("doc_id", "text").join(gone, "doc_id", "left").select("doc_id", "text", "spans")
     out = done.unionByName(late.mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string"))
     if back is None:
         return out

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
 U = np.uint64
 BATCH_BYTES = (1 << 19) - 64
@@ -152,17 +151,6 @@ def _bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b, o - o[0]
 
 
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def text_rows(df: DataFrame) -> DataFrame:
-    """df, for a pass over texts in Python: batches of at most 1,000 rows, unless the session asks for another number than the default of 10,000."""
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH_ROWS, "10000") == "10000":
-        conf.set(_BATCH_ROWS, "1000")
-    return df
-
-
 def pieces(col: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Splits a text column into runs of rows of at most so many bytes (one row at least): first row, last row + 1, buffer, offsets."""
     claim("texts")

@@ -61,3 +61,29 @@ def test_long_and_empty(spark):
     assert (got[1][1], got[2][:2]) == (0, (200_000, 1000))
     assert o.remove_repeats(docs(spark, [(1, "x")]).limit(0)).count() == 0
     assert table(spark, SF, "documents").count() > 0
+
+
+def test_paths_are_compacted(spark):
+    """A passage between unique words is one path; where continuations differ, paths end; occurrences are equal and whole."""
+    r = random.Random(2)
+
+    def own(n):
+        return [f"u{r.randrange(10**9)}" for _ in range(n)]
+
+    p, q, s = [f"p{i}" for i in range(300)], [f"q{i}" for i in range(80)], [f"s{i}" for i in range(80)]
+    texts = [own(30) + p + own(30), own(7) + p + own(50), p + q, own(3) + p + q + own(5), p + s, own(9) + s]
+    d = docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    parts = o.pieces_of(d).selectExpr("key AS p1", "content AS p2", "doc_id", "start", "n")
+    many = parts.groupBy("p1", "p2").count().where("count > 1").drop("count")
+    found = o.compacted(parts.join(many, ["p1", "p2"])).collect()
+    of_p = [x for x in found if x.doc_id in (0, 1) and x.n > 13]
+    assert len(of_p) == 2  # the 281 edges of p, but for pieces that reach into what stands around it
+    assert len({(x.h1, x.h2, x.n, x.chain, x.n_pieces) for x in of_p}) == 1
+    assert of_p[0].n_pieces > 15 and of_p[0].n > 250
+    assert all(x.n_pieces == 1 for x in found if x.doc_id in (0, 1) and x.n <= 13)
+    first = {(x.h1, x.h2): x for x in found}
+    assert len({(x.doc_id, x.start) for x in found}) == len(found)
+    for x in found:
+        assert (x.n, x.chain) == (first[x.h1, x.h2].n, first[x.h1, x.h2].chain)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert rows_of(o.remove_repeats(d)) == brute(rows, 20)
