@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.textbatch import WORD_BASE_2, find_words, pieces, rolling, span_hash
-from pagewright.session import materialize, table
+from pagewright.session import materialize, remove, table, written
 
 WINDOW, ANCHOR = 20, 8
 U = np.uint64
@@ -190,21 +190,31 @@ def _in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return ranked.select(F.col("own").alias("doc_id"), "text"), ranked.select(F.col("own"), F.col("doc_id").alias("given"))
 
 
-def compacted(parts: DataFrame) -> DataFrame:
-    """Of occurrences of pieces (p1, p2: the piece; doc_id, start, n: edges of the document) those of compacted paths: doc_id, start, n, h1, h2 (the first piece), n_pieces, chain (a hash of its pieces)."""
-    in_doc = Window.partitionBy("doc_id").orderBy("start")
-    me = F.struct("id", "start", "n")
-    steps = parts.withColumn("id", F.xxhash64("p1", "p2")).withColumns({"b": F.lag(me).over(in_doc), "f": F.lead(me).over(in_doc)})
+def compacted(parts: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """Of occurrences of pieces (p1, p2: the piece; doc_id, start, n: edges of the document) those of compacted paths: doc_id, start, n, h1, h2 (the first piece), n_pieces, chain (a hash of its pieces).
+
+    The tables that it writes and its rows are read from are named in scratch.
+    """
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        table_, at = written(df, name)
+        if scratch is not None:
+            scratch.append(at)
+        return table_
+
+    in_doc, me = Window.partitionBy("doc_id").orderBy("start"), F.xxhash64("p1", "p2")
+    near = F.struct(me.alias("id"), "start", "n")
+    steps = parts.withColumns({"b": F.lag(near).over(in_doc), "f": F.lead(near).over(in_doc)})
     before, after = F.when(F.expr("b.start + b.n = start"), F.col("b.id")), F.when(F.expr("f.start = start + n"), F.col("f.id"))
-    steps = materialize(steps.select("p1", "p2", "id", "doc_id", "start", "n", before.alias("before"), after.alias("after")), "steps")
+    steps = kept(steps.select("p1", "p2", "doc_id", "start", "n", before.alias("before"), after.alias("after")), "steps")
     seen = [f(c).alias(f"{name}_{c}") for c in ("before", "after") for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    degrees = steps.groupBy("p1", "p2", "id").agg(F.count("*").alias("times"), *seen)
+    degrees = steps.groupBy("p1", "p2").agg(F.count("*").alias("times"), *seen)
     only = {c: F.when(F.expr(f"n_{c} = times and lo_{c} = hi_{c}"), F.col(f"lo_{c}")) for c in ("before", "after")}
-    nodes = materialize(degrees.select("p1", "p2", "id", only["before"].alias("enters"), only["after"].alias("leaves")), "degrees")
-    ahead = nodes.where("leaves is not null").select(F.col("id").alias("enters"), F.col("leaves").alias("id"))
-    links = materialize(nodes.where("enters is not null").select("p1", "p2", "id", "enters").join(ahead, ["enters", "id"]).select("p1", "p2", F.lit(True).alias("goes_on")), "links")
-    marked = steps.join(links, ["p1", "p2"], "left").withColumn("path", F.sum(F.col("goes_on").isNull().cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = marked.groupBy("doc_id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min_by(F.struct("p1", "p2"), "start").alias("p"), F.count("*").alias("n_pieces"), F.bit_xor(F.xxhash64("id")).alias("chain"))
+    nodes = kept(degrees.select("p1", "p2", only["before"].alias("enters"), only["after"].alias("leaves")).where("enters is not null or leaves is not null"), "degrees")
+    ahead = nodes.where("leaves is not null").select(me.alias("enters"), F.col("leaves").alias("id"))
+    links = kept(nodes.where("enters is not null").select("p1", "p2", me.alias("id"), "enters").join(ahead, ["enters", "id"]).select("p1", "p2", F.lit(True).alias("goes_on")), "links")
+    marked = steps.select("p1", "p2", "doc_id", "start", "n").join(links, ["p1", "p2"], "left").withColumn("path", F.sum(F.col("goes_on").isNull().cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = marked.groupBy("doc_id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min_by(F.struct("p1", "p2"), "start").alias("p"), F.count("*").alias("n_pieces"), F.bit_xor(me).alias("chain"))
     return whole.select("doc_id", "start", "n", F.col("p.p1").alias("h1"), F.col("p.p2").alias("h2"), "n_pieces", "chain")
 
 
@@ -213,16 +223,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     docs, back = _in_order(docs)
     counts = pieces_of(docs, window, anchor).groupBy("key").agg(F.count("*").alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("loop").alias("loop"))
     # Written, so that both sides of the join are plain shuffles and a hot key's rows can be split.
-    repeated = materialize(counts.where("times > 1 or loop").select("key", ((F.col("lo") != F.col("hi")) | F.col("loop")).alias("branch")), "repeated")
-    hits = materialize(pieces_of(docs, window, anchor).select("key", "doc_id", "start", "n").join(repeated, "key"), "hits")
+    repeated, repeated_at = written(counts.where("times > 1 or loop").select("key", ((F.col("lo") != F.col("hi")) | F.col("loop")).alias("branch")), "repeated")
+    hits, hits_at = written(pieces_of(docs, window, anchor).select("key", "doc_id", "start", "n").join(repeated, "key"), "hits")
     listed = hits.groupBy("doc_id").agg(F.collect_list(F.when(F.col("branch"), F.struct("start", "n"))).alias("hits"))
     settled = materialize(docs.join(listed, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(_settle(window), _SETTLED), "settled")
     done = settled.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
     edges = settled.where("text is not null").select("doc_id", F.inline("edges"))
-    twice = materialize(edges.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "twice")
+    twice, twice_at = written(edges.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "twice")
     cut = edges.join(twice, ["h1", "h2"]).select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), "doc_id", "start", F.lit(1).alias("n"))
     plain = hits.where("not branch").select(F.col("key").alias("p1"), F.lit(0).cast("long").alias("p2"), "doc_id", "start", "n")
-    found = materialize(compacted(plain.unionByName(cut)), "paths")
+    scratch = [repeated_at, hits_at, twice_at]
+    found = materialize(compacted(plain.unionByName(cut), scratch), "paths")
+    for at in scratch:  # found is written: nothing reads these again
+        remove(docs.sparkSession, at)
     path = ["h1", "h2", "n", "chain"]
     source = materialize(found.groupBy(*path).agg(F.min(F.struct("doc_id", "start")).alias("source")), "sources")
     copies = found.join(source, path).where("doc_id <> source.doc_id or start <> source.start")
