@@ -8,8 +8,8 @@ places shifted by k: two permutations give all coordinates. ROWS coordinates for
 2. A pair of classes that share a bucket is plausible if their sizes and one bit of each of 128 coordinates allow the similarity. Groups are the
    components of all plausible pairs. Most come from pairing each class with the smallest and the largest id of each of its buckets; where groups still
    meet in a bucket, all its pairs of different groups are tested too: by a join in buckets of up to SMALL classes, block against block in larger ones.
-3. A group is dealt into blocks bounded by documents and bytes; all pairs within a block are verified on full sets. Of a group of several blocks, the smallest
-   ids of what is linked so far are dealt and verified again, until no link is new. Blocks of which members are in different components still, and
+3. A group is dealt into blocks bounded by documents and bytes; all pairs within a block are verified on full sets. Of a group of several blocks, one
+   root of each tree of links is dealt and verified again, until a group's roots meet in one block or few links are new. Blocks of which members are in different components still, and
    plausible, are verified against each other.
 4. Components of all links; the smallest id names a component.
 
@@ -47,7 +47,7 @@ BANDS, ROWS, CIRCLE = 32, 5, 1 << 20
 COORDINATES = BANDS * ROWS
 MOST_BITS = 34
 #: Most documents, and about most bytes of sets, in a block; classes that a bucket's join takes; classes in a block of descriptions.
-BLOCK, BLOCK_BYTES, SMALL, WIDE = 256, 64 << 20, 64, 4096
+BLOCK, BLOCK_BYTES, SMALL, WIDE = 256, 64 << 20, 64, 1024
 U = np.uint64
 
 
@@ -158,9 +158,9 @@ def _blocks(groups: DataFrame, turn: int) -> DataFrame:
     return groups.join(size, "g").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(turn)), "blocks"))
 
 
-def _within(members: DataFrame, percent: int, keep: bool) -> DataFrame:
-    """Of members (g, block, blocks, doc_id, members) the links inside each block as (g, blocks, a, b); if keep, also a row (g, blocks, a, null, block, members) for each member of a group of several blocks."""
-    schema = "g long, blocks long, a long, b long, block long, members binary"
+def _within(members: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Of members (g, block, blocks, doc_id, members) the links inside each block as (g, blocks, a, b); of groups of several blocks, and of all after the first turn, also a row (g, blocks, a, null, block, root, members) for each member: root says that it stands for what it is linked with."""
+    schema = "g long, blocks long, a long, b long, block long, root boolean, members binary"
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,9 +168,13 @@ def _within(members: DataFrame, percent: int, keep: bool) -> DataFrame:
         out, held = [], 0
         for (g, block, blocks), mine in groupby(rows, key=lambda r: r[:3]):
             mine = list(mine)
-            out += [(g, blocks, mine[i][3], mine[j][3], None, None) for i, j in _similar([np.frombuffer(r[4], U) for r in mine], None, percent)]
-            if keep and blocks > 1:
-                out += [(g, blocks, r[3], None, block, r[4]) for r in mine]
+            edges = _similar([np.frombuffer(r[4], U) for r in mine], None, percent)
+            out += [(g, blocks, mine[i][3], mine[j][3], None, None, None) for i, j in edges]
+            if turn or blocks > 1:
+                forest = _Forest(len(mine))
+                for i, j in edges:
+                    forest.join(i, j)
+                out += [(g, blocks, r[3], None, block, forest.root(i) == i, r[4]) for i, r in enumerate(mine)]
                 held += sum(len(r[4]) for r in mine)
             if len(out) > 5000 or held > 1 << 24:
                 yield pd.DataFrame(out, columns=names).astype({"b": "Int64", "block": "Int64"})
@@ -192,33 +196,43 @@ def verified(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[:4]), members], ["g", "block", "blocks", "doc_id", "members"])
 
     members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, "doc_id").select("g", "block", "blocks", "doc_id", "text").mapInArrow(sets, "g long, block long, blocks long, doc_id long, members binary")
-    first = materialize(_within(members, percent, True), "verified")
+    first = materialize(_within(members, percent, 0), "verified")
     found = first.where("b is not null").select("a", "b")
-    large = first.where("b is null").select("g", "block", F.col("a").alias("doc_id"), "members")
-    if not large.limit(1).count():
+    if not first.where("b is null").limit(1).count():
         return found
-    return found.unionByName(_large(large, first.where("b is not null and blocks > 1").select("g", "a", "b"), percent))
-
-
-def _large(large: DataFrame, links_: DataFrame, percent: int) -> DataFrame:
-    """More links of groups of several blocks: by representatives of what is linked, then between blocks that still hold different components."""
-    found, turn = None, 1
-    while True:
-        known = links_ if found is None else links_.unionByName(found)
-        label = components(known.select("a", "b"))
-        named = large.join(label, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
-        lead = named.select("g", "doc_id", "members").where(F.col("c") == F.col("doc_id")).withColumn("n_shingles", F.expr("length(members) div 8"))
-        open_ = materialize(lead.groupBy("g").agg(F.count("*").alias("left")).where("left > 1").select("g"), "open")
-        if not open_.limit(1).count():
-            break
-        dealt = _blocks(lead.drop("members").join(open_, "g", "left_semi"), turn).select("doc_id", "block", "blocks")
-        new = materialize(_within(lead.select("g", "doc_id", "members").join(dealt, "doc_id"), percent, False).select("g", "a", "b"), "links")
-        if not new.limit(1).count():
-            between = materialize(_between(named.join(open_, "g", "left_semi"), percent), "links")
-            return between if found is None else found.select("a", "b").unionByName(between)
-        found = new if found is None else found.unionByName(new)
+    return found.unionByName(_large(first, percent))
+
+
+def _large(first: DataFrame, percent: int) -> DataFrame:
+    """More links (a, b) of groups of several blocks: roots are dealt and verified until a group's meet in one block or few are linked; what stays apart is compared between blocks."""
+    links_, found, turn = first.where("b is not null and blocks > 1").select("g", "a", "b"), None, 0
+    roots = first.where("root")
+    apart, n = None, roots.count()
+    while n:
         turn += 1
-    return found.select("a", "b") if found is not None else links_.select("a", "b").limit(0)
+        dealt = _blocks(roots.select("g", F.col("a").alias("doc_id"), "members", F.expr("length(members) div 8").alias("n_shingles")), turn)
+        now = materialize(_within(dealt, percent, turn), "roots")
+        new = now.where("b is not null").select("g", "a", "b")
+        found = new if found is None else found.unionByName(new)
+        left = now.where("root")
+        many = left.count()
+        # Of groups whose roots met in one block, and of all when few roots were linked, those of several roots stay apart.
+        over = left if 10 * many > 9 * n else left.where("blocks = 1")
+        over = over.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+        apart = over if apart is None else apart.unionByName(over)
+        if 10 * many > 9 * n:
+            break
+        roots = left.where("blocks > 1")
+        n = roots.count()
+    if apart is None:
+        return links_.select("a", "b").limit(0)
+    apart = materialize(apart, "apart")
+    if not apart.limit(1).count():
+        return found.select("a", "b")
+    label = components(links_.unionByName(found).join(apart, "g", "left_semi").select("a", "b"))
+    members = first.where("b is null").join(apart, "g", "left_semi").select("g", "block", F.col("a").alias("doc_id"), "members")
+    named = members.join(label, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
+    return found.select("a", "b").unionByName(materialize(_between(named, percent), "links"))
 
 
 def _between(named: DataFrame, percent: int) -> DataFrame:
