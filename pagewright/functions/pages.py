@@ -127,8 +127,9 @@ def stats_text(hits: Column | str, misses: Column | str, evictions: Column | str
     return F.format_string("Stats { hits: %d, misses: %d, evictions: %d, hit_rate: %.2f%% }", _col(hits), _col(misses), _col(evictions), hit_rate(hits, misses) * 100)
 
 
-#: What an outcome says; {page} stands for the page.
+#: What an outcome says; {page} stands for the page's number, {cause} for what the system said.
 MESSAGES = {
+    "Io": "I/O error: {cause}",
     "PageNotFound": "Page {page} not found",
     "NoFreeFrames": "No free frames available in buffer pool",
     "InvalidPageId": "Invalid page ID: {page}",
@@ -137,9 +138,13 @@ MESSAGES = {
 }
 
 
-def outcome_message(outcome: Column | str, page: Column | str) -> Column:
-    """Text of an outcome; null for ok."""
+def outcome_message(outcome: Column | str, page: Column | str, cause: Column | str | None = None) -> Column:
+    """Text of an outcome, with the page's bare number (the sentinel's for no page); null for ok. cause: of an Io outcome, what it comes from."""
+    number = F.coalesce(_col(page).cast("string"), F.lit(str(INVALID_PAGE_ID)))
     out = F.lit(None).cast("string")
     for k, text in MESSAGES.items():
-        out = F.when(_col(outcome) == k, F.replace(F.lit(text), F.lit("{page}"), page_id_text(page))).otherwise(out)
+        told = F.replace(F.lit(text), F.lit("{page}"), number)
+        if cause is not None:
+            told = F.replace(told, F.lit("{cause}"), _col(cause))
+        out = F.when(_col(outcome) == k, told).otherwise(out)
     return out

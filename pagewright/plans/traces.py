@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.pages import PAYLOAD_SIZE, header_bytes, update_checksum, zero_bytes
@@ -15,6 +15,11 @@ def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("trace_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, "write").otherwise("read").alias("op"), (F.col("user_id") % 64).alias("page_id"))
 
 
+def event_ops(spark: SparkSession, sf_dir: str, op: Column) -> DataFrame:
+    """One trace for each event type: that operation, of page user_id % 64."""
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("trace_id"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("user_id") % 64).alias("page_id"))
+
+
 def order_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trace for each priority: reads of page o_custkey % 256."""
     o = table(spark, sf_dir, "orders")

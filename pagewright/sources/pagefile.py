@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from pagewright.functions.pages import PAGE_SIZE, zero_page
+from pagewright.session import materialize
 
 SCHEMA = "page_id long, data binary"
 PAGES_A_PARTITION = 16_384
@@ -39,6 +40,16 @@ def page_count(path: str) -> int:
     return store.get_file_info(p).size // PAGE_SIZE
 
 
+#: Lowest and highest page that a filter's value allows.
+_BOUNDS = {
+    EqualTo: lambda v: (v, v),
+    GreaterThan: lambda v: (v + 1, 1 << 62),
+    GreaterThanOrEqual: lambda v: (v, 1 << 62),
+    LessThan: lambda v: (0, v - 1),
+    LessThanOrEqual: lambda v: (0, v),
+}
+
+
 class _Range(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
@@ -69,6 +80,20 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(range(a, z), pa.int64()), pa.array([raw[i * PAGE_SIZE : (i + 1) * PAGE_SIZE] for i in range(z - a)], pa.binary())], schema=kind)
 
 
+class _PushingReader(_Reader):
+    """For sessions with spark.sql.python.filterPushdown.enabled: others refuse a reader that takes filters."""
+
+    def pushFilters(self, filters: list) -> Iterator:
+        """Bounds on page_id are taken; the others go back."""
+        for f in filters:
+            v = getattr(f, "value", None)
+            if getattr(f, "attribute", None) != ("page_id",) or not isinstance(v, int) or type(f) not in _BOUNDS:
+                yield f
+                continue
+            low, high = _BOUNDS[type(f)](v)
+            self.low, self.high = max(self.low, low), min(self.high, high)
+
+
 class _Part(WriterCommitMessage):
     def __init__(self, path: str | None, first: int, last: int):
         self.path, self.first, self.last = path, first, last
@@ -137,7 +162,7 @@ class PageFile(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> _Reader:
-        return _Reader(self.options)
+        return (_PushingReader if self.options.get("pushfilters") == "true" else _Reader)(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
         return _Writer(self.options, overwrite)
@@ -148,7 +173,8 @@ def open_pages(spark: SparkSession, path: str, **options) -> DataFrame:
     if not exists(path):
         raise FileNotFoundError(path)
     spark.dataSource.register(PageFile)
-    return spark.read.format("pagefile").options(**options).load(path)
+    pushed = str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower()
+    return spark.read.format("pagefile").options(pushFilters=pushed, **options).load(path)
 
 
 def create(spark: SparkSession, path: str) -> DataFrame:
@@ -168,6 +194,21 @@ def save(pages: DataFrame, path: str, overwrite: bool = False) -> None:
     ordered.write.format("pagefile").mode("overwrite" if overwrite else "append").save(path)
 
 
+def page_at(spark: SparkSession, path: str, page: int) -> DataFrame:
+    """One page of a file by its place, without reading others: one row, or none if it doesn't exist."""
+    return open_pages(spark, path, minPage=page, maxPage=page).where(F.col("page_id") == page)
+
+
+def number(pages: DataFrame, *order: str) -> DataFrame:
+    """pages with dense page ids in that order. Rows are sorted and written once; only a count for each task is looked at together."""
+    sorted_ = pages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    kept = materialize(sorted_, "numbered")
+    task, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    counts = kept.groupBy(task.alias("task")).agg(F.count("*").alias("n"))
+    begin = counts.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("begin"))  # a row for each task
+    return kept.withColumns({"task": task, "place": place}).join(begin, "task").withColumn("page_id", F.col("begin") + F.col("place")).drop("at", "task", "place", "begin")
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """Pages of all small files (under 2 GB each) below a path, by the built-in source: path, page_id, data."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") >= PAGE_SIZE)

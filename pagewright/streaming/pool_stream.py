@@ -1,6 +1,7 @@
 """The buffer pool over a stream of trace rows: one state for each trace, kept between micro-batches.
 
-Rows of a trace must arrive in seq order across micro-batches; within one they are sorted. A batch of a trace is folded frame by frame.
+Rows of a trace must arrive in seq order across micro-batches; within one they are sorted. A trace's rows of one micro-batch are in memory together:
+bound them by the source's rate (maxFilesPerTrigger and the like). The state is the pool's, never the trace's.
 """
 
 from __future__ import annotations

@@ -72,7 +72,7 @@ def test_zero_page_is_a_class_of_its_own(spark):
 
 def test_shown(spark):
     r = spark.range(1).select(P.page_id_text(F.lit(5)).alias("a"), P.page_id_text(P.page_id(F.lit(P.INVALID_PAGE_ID))).alias("b"), P.frame_id_text(F.lit(3)).alias("c"), P.stats_text(F.lit(80), F.lit(20), F.lit(1)).alias("d"), P.hit_rate(F.lit(0), F.lit(0)).alias("e"), P.hit_rate(F.lit(7), F.lit(3)).alias("f"), P.outcome_message(F.lit("PageNotFound"), F.lit(5)).alias("g"), P.outcome_message(F.lit("ok"), F.lit(5)).alias("h")).first()
-    assert tuple(r) == ("Page(5)", "Page(INVALID)", "Frame(3)", "Stats { hits: 80, misses: 20, evictions: 1, hit_rate: 80.00% }", 0.0, 0.7, "Page Page(5) not found", None)
+    assert tuple(r) == ("Page(5)", "Page(INVALID)", "Frame(3)", "Stats { hits: 80, misses: 20, evictions: 1, hit_rate: 80.00% }", 0.0, 0.7, "Page 5 not found", None)
 
 
 def test_file_round_trip(spark, tmp_path):
@@ -137,3 +137,47 @@ def test_document_pages(spark):
         assert len(r.data) == 4096
         assert int.from_bytes(r.data[1:5], "little") == crc(bytes(r.data))
         assert int.from_bytes(r.data[5:13], "little") == r.doc_id
+
+
+def test_messages_take_bare_numbers(spark):
+    r = spark.range(1).select(*(P.outcome_message(F.lit(k), F.lit(42), F.lit("disk on fire")).alias(k) for k in P.MESSAGES), P.outcome_message(F.lit("PageNotFound"), F.lit(None)).alias("none")).first()
+    assert tuple(r) == ("I/O error: disk on fire", "Page 42 not found", "No free frames available in buffer pool", "Invalid page ID: 42", "Buffer pool is full", "Page 42 is not pinned", "Page 4294967295 not found")
+
+
+def test_point_read_and_numbering(spark, tmp_path):
+    path = str(tmp_path / "b.db")
+    d = spark.range(500).selectExpr("id * 7 AS k").repartition(7).withColumn("data", F.concat(F.unhex(F.lpad(F.hex("k"), 8, "0")), F.substring(P.zero_page(), 5, 4092)))
+    made = pagefile.number(d, "k")
+    pagefile.save(made.select("page_id", "data"), path)
+    assert [int.from_bytes(r.data[:4], "big") for r in pagefile.open_pages(spark, path).orderBy("page_id").collect()] == [7 * i for i in range(500)]
+    one_ = pagefile.page_at(spark, path, 123)
+    assert one_.rdd.getNumPartitions() == 1
+    assert [(r.page_id, int.from_bytes(r.data[:4], "big")) for r in one_.collect()] == [(123, 861)]
+    assert pagefile.page_at(spark, path, 500).count() == 0
+    assert pagefile.page_at(spark, path, -1).count() == 0
+
+
+def test_pushed_filters(tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan, StringContains
+
+    path = tmp_path / "c.db"
+    path.write_bytes(bytes(4096 * 10))
+    r = pagefile.PageFile({"path": str(path), "pushfilters": "true"}).reader(None)
+    rest = list(r.pushFilters([GreaterThanOrEqual(("page_id",), 3), LessThan(("page_id",), 6), StringContains(("data",), "x")]))
+    assert rest == [StringContains(("data",), "x")]
+    assert [(p.first, p.last) for p in r.partitions()] == [(3, 6)]
+    r = pagefile.PageFile({"path": str(path), "pushfilters": "true"}).reader(None)
+    assert list(r.pushFilters([EqualTo(("page_id",), 9)])) == []
+    assert [(p.first, p.last) for p in r.partitions()] == [(9, 10)]
+
+
+def test_filter_pushdown_by_session(spark, tmp_path):
+    path = tmp_path / "d.db"
+    path.write_bytes(bytes(4096 * 40))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = pagefile.open_pages(spark, str(path), pagesPerPartition=1).where("page_id >= 7 and page_id < 10")
+        assert [r.page_id for r in got.orderBy("page_id").collect()] == [7, 8, 9]
+        assert got.rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
