@@ -5,27 +5,34 @@ in every spelling, and keeps its format.
 
 kind      found as                                                     surrogate
 secret    token/secret/password/key, = or :, a value of 8+ signs       value: letter for letter, digit for digit
+apikey    AKIA or ASIA and 16 signs; ghp_, gho_ ... and 36+ signs      its beginning kept, the rest sign for sign
 email     local@domain                                                 local part and domain each, their last label kept
 iban      country, 2 check digits, 11-30 signs (spaces allowed)        country kept, letter for letter, digit for digit
-ip        four numbers up to 255                                       four numbers from 1 to 254
-phone     +country and groups; (area) number; 3-3-4 groups             digit for digit, country code kept
+ip        four numbers up to 255, not behind "version", "release", "v" four numbers from 1 to 254
+ipv6      eight groups of hexadecimal digits, or fewer around ::       hexadecimal digits, groups kept
+phone     +country and groups; (area) number; 3-3-4 groups             digit for digit, country code kept; the same with and without +1
 ssn       3-2-4 digits                                                 digit for digit
-card      13 to 19 digits, spaces or hyphens between                   first digit kept; passes the Luhn check if the original does
+card      16 digits, or 13 to 19 that pass the Luhn check;             first digit kept; passes the Luhn check if the original does
+          spaces or hyphens between
 hexkey    32 or more hexadecimal digits                                hexadecimal digits
 name      title and all capitalised words behind it; a name's words     names made of syllables, endings by the title's gender, Latin or Cyrillic
           without a title in the same text
 
 Entities are compared without case and, for numbers, without punctuation; a surrogate is written with the case and punctuation of the mention.
 A letter becomes one of the same script (Latin, Latin with diacritics, Cyrillic, Greek). Words of a name are entities of their own, so
-"Mr. Ann Example" and "Ms. Example" share the surrogate of "Example". Domains are, too. Small particles (de, van, von, ...), hyphens, initials' full stops and
+"Mr. Ann Example" and "Ms. Example" share the surrogate of "Example", and "Dr. Ann" and "Ms. Ann Example" that of "Ann" where it is no surname: a title isn't
+part of an entity. A first name's ending follows the gender that the titles before it tell; where they tell none or both it is neutral. An O' or Mc stays. Domains are, too. Small particles (de, van, von, ...), hyphens, initials' full stops and
 a final 's may stand in or behind a name and are kept. Untitled capitalised mentions of a word of a text's titled names get its surrogate (of the surname if it
 is one, too), each counted as a mention; single letters and capitalised particles only get one behind a title.
 
+The key comes from the caller or from the session's option spark.pagewright.surrogates.key; without either an application draws its own, so surrogates can't be
+looked up, nor linked between applications.
+
 Distinctness: two entities of a kind never share a surrogate, and none equals an entity of that kind in the data. Entities whose surrogate is taken (the
 smallest keeps it) go to another round with a new hash; from round 6 on they also get a suffix of their own hash, so rounds end.
 
-Scale: texts are read in place; a cheap filter leaves out those without digits, @ and titles. Only documents with entities are stored and regrouped, by row, not by
-id. Entities are made distinct before any surrogate is computed; joins have one unique side, so a hot entity can be split.
+Scale: a cheap filter leaves out texts without digits, @ and titles; the others are searched once, and rows are written with what was found. Only documents with entities
+are regrouped, by row, not by id. Entities are made distinct before any surrogate is computed; joins have one unique side, so a hot entity can be split.
 
 Null texts stay null, empty ones empty; texts without entities come back unchanged. Repeated rows and ids are handled each for itself. All columns of docs are kept;
 names beginning with __pii are this module's own. Empty tables give empty results.
@@ -33,6 +40,8 @@ names beginning with __pii are this module's own. Empty tables give empty result
 
 from __future__ import annotations
 
+import functools
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +49,8 @@ from pyspark.sql import functions as F
 
 from pagewright.session import materialize, table
 
-KEY = "pagewright-demo-key"
+#: The session option that holds the key.
+KEY_OPTION = "spark.pagewright.surrogates.key"
 LATE_ROUND = 6
 
 _MALE = "Mr|Mister|Herr|Herrn|Monsieur|Señor|Sr|Sir|господин|г-н"
@@ -60,9 +70,11 @@ BARE = r"(?<![\p{L}\p{M}\p{N}])" + _WORD
 #: Patterns in order of precedence.
 PATTERNS = {
     "secret": r"(?<![\p{L}])(?i:token|secret|password|passwd|pwd|(?:api|access|secret)[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.\-]{8,}+={0,2}",
+    "apikey": r"(?<![\p{L}\p{N}])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+)" + _AFTER,
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,5}\.[\p{L}]{2,24}" + _AFTER,
     "iban": _BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[\p{L}\p{N}])",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[0-9a-fA-F:]*\d)(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}+)(?![\p{L}\p{N}:])",
+    "ip": r"(?<![\p{L}\p{N}.])(?<!(?i:\b(?:version|release|ver|v)\.? ?))(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})" + _AFTER,
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}" + _AFTER,
     "card": _BEFORE + r"\d(?:[ -]?\d){12,18}" + _AFTER,
@@ -125,22 +137,28 @@ def _entities(kind: Column, core: Column) -> Column:
 
     def name(w: Column, i: Column, n: Column, before: Column) -> Column:
         script = F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-        role = F.when(i == n - 1, "x").otherwise(F.regexp_extract(kind, "^name(.)$", 1))
+        role = F.when(i == n - 1, "x").otherwise("g")
         return one(F.concat(F.lit("name-"), script, F.lit("-"), role), none, F.lower(w), F.lower(w), w, before)
 
     names = _with(F.struct(words.alias("words"), gaps.alias("gaps")), lambda x: F.transform(x["words"], lambda w, i: name(w, i, F.size(x["words"]), F.get(x["gaps"], i))))
+    area = F.regexp_extract(core, r"^\+1[ .-]?(?=\D*\d{3}\D*\d{3}\D*\d{4}$)", 0)
+    local_ = F.substr(core, F.length(area) + 1, F.length(core))
+    phone = F.array(one("phone", none, _alnum(local_), _alnum(local_), local_, area))
+    start = F.regexp_extract(core, "^(?:A[KS]IA|gh[pousr]_)", 0)
+    rest = F.substr(core, F.length(start) + 1, F.length(core))
+    apikey = F.array(one("apikey", none, core, F.lower(rest), rest, start))
     plain = F.array(one(kind, none, F.when(kind.isin("ip"), core).otherwise(_alnum(core)), F.when(kind.isin("ip"), core).otherwise(_alnum(core)), core))
-    return F.when(kind == "email", email).when(kind.startswith("name"), names).otherwise(plain)
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "apikey", apikey).when(kind.startswith("name"), names).otherwise(plain)
 
 
-def _surrogate(kind: Column, norm: Column, shape: Column, turn: int, key: str) -> Column:
-    """The surrogate for a shape in a round."""
+def _surrogate(kind: Column, norm: Column, shape: Column, gender: Column, turn: int, key: str) -> Column:
+    """The surrogate for a shape in a round; gender (m, f, n) is that of a first name."""
     hashed = [F.sha2(F.concat_ws("\x01", F.lit(key), kind, norm, F.lit(f"{turn}:{n}")), 256) for n in range(3)]
-    is_hex = (kind == "hexkey") | (kind == "secret") & shape.rlike("^[0-9a-f]{16,}$")
-    return _with(F.struct(F.concat(*hashed).alias("stream"), is_hex.alias("hex")), lambda once: _drawn(kind, norm, shape, turn, once["stream"], once["hex"]))
+    is_hex = kind.isin("hexkey", "ipv6") | (kind == "secret") & shape.rlike("^[0-9a-f]{16,}$")
+    return _with(F.struct(F.concat(*hashed).alias("stream"), is_hex.alias("hex")), lambda once: _drawn(kind, norm, shape, gender, turn, once["stream"], once["hex"]))
 
 
-def _drawn(kind: Column, norm: Column, shape: Column, turn: int, stream: Column, is_hex: Column) -> Column:
+def _drawn(kind: Column, norm: Column, shape: Column, gender: Column, turn: int, stream: Column, is_hex: Column) -> Column:
     def byte(i: Column) -> Column:
         return F.conv(F.substr(stream, (i % 96) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
@@ -161,25 +179,39 @@ def _drawn(kind: Column, norm: Column, shape: Column, turn: int, stream: Column,
     for script, (syllables, endings) in SYLLABLES.items():
         for role, tails in endings.items():
             parts = [_pick(syllables, byte(F.lit(n))) for n in range(2 if turn < 2 else 3)]
-            out = out.when(kind == f"name-{script}-{role}", F.concat(*parts, _pick(tails, byte(F.lit(5)))))
+            mine = kind == f"name-{script}-x" if role == "x" else (kind == f"name-{script}-g") & (gender == role)
+            out = out.when(mine, F.concat(*parts, _pick(tails, byte(F.lit(5)))))
     out = out.otherwise(signs)
     return out if turn < LATE_ROUND else F.concat(out, F.when(kind == "ip", F.lit(".")).otherwise(""), F.substr(F.sha2(norm, 256), F.lit(1), F.lit(8 + 4 * (turn - LATE_ROUND))))
 
 
-def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, scope, norm, surrogate of distinct entities (kind, scope, norm, shape). No two of a kind and scope share a surrogate, and none is an entity's shape."""
-    todo, done = entities, None
+@functools.cache
+def _drawn_key(application: str) -> str:
+    return secrets.token_hex(32)
+
+
+def _key(spark: SparkSession, key: str | None) -> str:
+    return key or spark.conf.get(KEY_OPTION, None) or _drawn_key(spark.sparkContext.applicationId)
+
+
+def surrogate_table(entities: DataFrame, key: str | None = None) -> DataFrame:
+    """kind, scope, norm, surrogate of distinct entities (kind, scope, norm, shape; gender where known). No two of a kind and scope share a surrogate, and none is an entity's shape."""
+    spark = entities.sparkSession
+    key, tasks = _key(spark, key), max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    todo, done = entities if "gender" in entities.columns else entities.withColumn("gender", F.lit("n")), None
     real = entities.select("kind", "scope", F.col("shape").alias("surrogate")).distinct()
     turn = 0
     while True:
-        new = todo.withColumn("surrogate", _surrogate(F.col("kind"), F.col("norm"), F.col("shape"), turn, key))
+        # Few rows that cost much each: dealt to many tasks and computed once.
+        drawn = _surrogate(F.col("kind"), F.col("norm"), F.col("shape"), F.col("gender"), turn, key)
+        new = materialize(todo.repartition(tasks, "kind", "norm").withColumn("surrogate", drawn), "drawn")
         first = new.groupBy("kind", "scope", "surrogate").agg(F.min("norm").alias("keeper")).join(real, ["kind", "scope", "surrogate"], "left_anti")
         if done is not None:
             first = first.join(done.select("kind", "scope", "surrogate"), ["kind", "scope", "surrogate"], "left_anti")
         tried = materialize(new.join(first, ["kind", "scope", "surrogate"], "left"), "surrogates")
         ok = tried.where("norm = keeper").select("kind", "scope", "norm", "surrogate")
         done = ok if done is None else done.unionByName(ok)
-        todo = tried.where("keeper is null or norm <> keeper").select("kind", "scope", "norm", "shape")
+        todo = tried.where("keeper is null or norm <> keeper").select("kind", "scope", "norm", "shape", "gender")
         if not todo.limit(1).count():
             return done
         turn += 1
@@ -197,7 +229,10 @@ def _written(kind: Column, core: Column, surrogate: Column) -> Column:
 
     walked = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), shown.alias("c"), signs.alias("s")), step), "")
     top = F.when(kind == "domain", F.concat(F.lit("."), F.regexp_extract(core, r"[^.]*$", 0))).otherwise("")
-    return F.when(kind == "ip", surrogate).when(kind.startswith("name-"), F.when((core == F.upper(core)) & (F.length(core) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))).otherwise(F.concat(walked, top))
+    lead = F.regexp_extract(core, r"^(?:\p{Lu}['’]|Mc(?=\p{Lu}))", 0)
+    cased = F.when((core == F.upper(core)) & (F.length(core) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    no_card = (kind == "card") & (F.length(_alnum(core)) != 16) & ~F.call_function("luhn_check", _alnum(core))
+    return F.when(no_card, core).when(kind == "ip", surrogate).when(kind.startswith("name-"), F.concat(lead, cased)).otherwise(F.concat(walked, top))
 
 
 def _with_bare(found: DataFrame) -> DataFrame:
@@ -224,28 +259,29 @@ def _later(bare: DataFrame, mentions: DataFrame) -> DataFrame:
     return bare.select("__pii_row", "at", F.col("mention").alias("core"), F.lower("mention").alias("norm")).join(name, ["__pii_row", "norm"], "left")
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs' columns with surrogates in text, then n_entities (mentions replaced); a column of docs with that name is left out."""
-    docs = docs.drop("n_entities")
+def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """docs' columns with surrogates in text, then n_entities (mentions found); a column of docs with that name is left out."""
+    docs, key = docs.drop("n_entities"), _key(docs.sparkSession, key)
     cols = docs.columns
     text = F.col("text")
-    hit = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
-    clean = docs.where(~hit).withColumn("n_entities", F.lit(0))
-    found = docs.where(hit).withColumn("__pii_row", F.monotonically_increasing_id()).withColumn("__pii_parts", F.split(text, ANY, -1)).withColumn("__pii", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    found = materialize(_with_bare(found), "found")
+    hits = F.when(F.coalesce(text.rlike(HINT), F.lit(False)), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    searched = docs.withColumn("__pii", F.coalesce(hits, F.array().cast("array<string>"))).withColumn("__pii_parts", F.when(F.size("__pii") > 0, F.split(text, ANY, -1)))
+    searched = materialize(searched.withColumn("__pii_row", F.monotonically_increasing_id()), "searched")
+    clean = searched.where("size(__pii) = 0").select(*cols).withColumn("n_entities", F.lit(0))
+    found = materialize(_with_bare(searched.where("size(__pii) > 0")), "found")
     listed = found.select("__pii_row", F.posexplode("__pii").alias("at", "x")).select("__pii_row", "at", "x.*")
     m = listed.where("not bare").select("__pii_row", "at", "mention").withColumn("kind", kind_of(F.col("mention")))
     lead = F.when(F.col("kind") == "secret", F.regexp_extract("mention", r"^[^=:]*[=:]\s*[\"']?", 0)).when(F.col("kind") == "name", F.regexp_extract("mention", rf"^(?:{_TITLES})\.? {{1,2}}", 0)).otherwise("")
     m = m.withColumn("lead", lead).withColumn("core", F.substr("mention", F.length("lead") + 1, F.length("mention")))
     title = F.regexp_replace(F.trim("lead"), r"\.", "")
-    gender = F.when(title.rlike(f"^(?:{_MALE})$"), "m").when(title.rlike(f"^(?:{_FEMALE})$"), "f").otherwise("n")
-    m = m.withColumn("kind", F.when(F.col("kind") == "name", F.concat(F.lit("name"), gender)).otherwise(F.col("kind")))
-    m = m.select("__pii_row", "at", "lead", "kind", F.posexplode(_entities(F.col("kind"), F.col("core"))).alias("nth", "e")).select("__pii_row", "at", "lead", F.col("kind").alias("as"), "nth", "e.*")
+    m = m.withColumn("gender", F.when(title.rlike(f"^(?:{_MALE})$"), "m").when(title.rlike(f"^(?:{_FEMALE})$"), "f"))
+    m = m.select("__pii_row", "at", "lead", "kind", "gender", F.posexplode(_entities(F.col("kind"), F.col("core"))).alias("nth", "e")).select("__pii_row", "at", "lead", "gender", F.col("kind").alias("as"), "nth", "e.*")
     m = materialize(m, "mentions")
     later = materialize(_later(listed.where("bare"), m), "later")
-    known = surrogate_table(m.groupBy("kind", "scope", "norm").agg(F.min("shape").alias("shape")), key)
+    one_gender = F.when(F.min("gender") == F.max("gender"), F.min("gender")).otherwise("n")
+    known = surrogate_table(m.groupBy("kind", "scope", "norm").agg(F.min("shape").alias("shape"), one_gender.alias("gender")), key)
     again = later.where("kind is not null").select("__pii_row", "at", F.lit("").alias("lead"), F.lit("name").alias("as"), F.lit(0).alias("nth"), "kind", F.lit("").alias("scope"), "norm", F.col("norm").alias("shape"), "core", F.lit("").alias("before"))
-    shown = m.unionByName(again).join(known, ["kind", "scope", "norm"]).select("__pii_row", "at", "lead", "as", "nth", F.concat("before", _written(F.col("kind"), F.col("core"), F.col("surrogate"))).alias("s"))
+    shown = m.drop("gender").unionByName(again).join(known, ["kind", "scope", "norm"]).select("__pii_row", "at", "lead", "as", "nth", F.concat("before", _written(F.col("kind"), F.col("core"), F.col("surrogate"))).alias("s"))
     parts = shown.groupBy("__pii_row", "at").agg(F.min("lead").alias("lead"), F.min("as").alias("as"), F.array_sort(F.collect_list(F.struct("nth", "s"))).alias("parts"))
     sep = F.when(F.col("as") == "email", "@").otherwise("")
     whole = parts.select("__pii_row", F.struct("at", F.concat("lead", F.reduce(F.col("parts.s"), F.lit(None).cast("string"), lambda a, s: F.when(a.isNull(), s).otherwise(F.concat(a, sep, s)))).alias("s")).alias("part"), F.lit(1).alias("new"))
