@@ -361,7 +361,7 @@ _CRC_SQL = f"""WITH RECURSIVE c AS (SELECT i, i::UBIGINT AS v, 0 AS k FROM range
 ), p AS (SELECT doc_id, x, unnest(range(0, greatest(1, CAST(ceil(len(x) / 8166.0) AS BIGINT)))) AS part FROM d
 ), b AS (SELECT doc_id, part, '01' || '00000000' || array_to_string(list_transform(range(8), lambda j: lpad(hex((doc_id >> (8 * j)::INT) & 255), 2, '0')), '') || rpad(x[part * 8166 + 1 : part * 8166 + 8166], 8166, '0') AS h FROM p
 )
-SELECT doc_id, part, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(4096), lambda i: (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1)::UBIGINT * 16 + (strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)::UBIGINT)), lambda s, y: xor(s // 256, t[(xor(s % 256, y) + 1)::BIGINT])), 4294967295::UBIGINT) AS BIGINT) AS checksum FROM b, tab"""
+SELECT doc_id, part, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: (strpos('0123456789ABCDEF', x[1]) * 16 + strpos('0123456789ABCDEF', x[2]) - 17)::UBIGINT)), lambda s, y: xor(s // 256, t[(xor(s % 256, y) + 1)::BIGINT])), 4294967295::UBIGINT) AS BIGINT) AS checksum FROM b, tab"""
 
 _NUMBERED = "SELECT row_number() OVER (ORDER BY doc_id, part) - 1 AS page_id, doc_id FROM ({_PARTS})".replace("{_PARTS}", _PARTS)
 
