@@ -11,10 +11,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from pagewright.functions.pages import PAGE_SIZE, zero_page
@@ -99,7 +100,7 @@ class _Part(WriterCommitMessage):
         self.path, self.first, self.last = path, first, last
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Each task writes its range of pages to a file of its own; the commit joins them in page order and puts the whole in place with one rename."""
 
     def __init__(self, options: dict, overwrite: bool):
@@ -107,19 +108,23 @@ class _Writer(DataSourceWriter):
         if exists(self.path) and not overwrite:
             raise FileExistsError(self.path)
 
-    def write(self, rows: Iterator) -> _Part:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Part:
         store, p = _at(self.path)
         store.create_dir(posixpath.dirname(p), recursive=True)
         name, first, last, out = f"{p}.{self.own}.{uuid.uuid4().hex}", None, None, None
-        for r in rows:
-            if r.data is None or len(r.data) != PAGE_SIZE:
-                raise ValueError(f"page {r.page_id} doesn't have {PAGE_SIZE} bytes")
-            if last is not None and r.page_id != last + 1:
-                raise ValueError(f"page {r.page_id} follows page {last}")
-            if out is None:
-                out, first = store.open_output_stream(name), r.page_id
-            last = r.page_id
-            out.write(bytes(r.data))
+        for b in batches:
+            ids, data = b.column("page_id").to_pylist(), b.column("data")
+            for page, n in zip(ids, pc.binary_length(data).to_pylist(), strict=True):
+                if n != PAGE_SIZE:
+                    raise ValueError(f"page {page} doesn't have {PAGE_SIZE} bytes")
+                if last is not None and page != last + 1:
+                    raise ValueError(f"page {page} follows page {last}")
+                first, last = page if first is None else first, page
+            if ids:
+                out = out or store.open_output_stream(name)
+                begin = data.buffers()[1]
+                at = int.from_bytes(begin[4 * data.offset : 4 * data.offset + 4].to_pybytes(), "little") if pa.types.is_binary(data.type) else int.from_bytes(begin[8 * data.offset : 8 * data.offset + 8].to_pybytes(), "little")
+                out.write(data.buffers()[2][at : at + PAGE_SIZE * len(ids)])  # a batch's pages lie in a row
         if out is None:
             return _Part(None, 0, -1)
         out.close()
