@@ -6,10 +6,13 @@ every executor reaches.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
 from collections.abc import Iterator
+from typing import IO
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -100,14 +103,34 @@ class _Part(WriterCommitMessage):
         self.path, self.first, self.last = path, first, last
 
 
+def _raw(data: pa.BinaryArray | pa.LargeBinaryArray) -> pa.Buffer:
+    """The bytes of an array's values, which lie in a row."""
+    kind = np.int32 if pa.types.is_binary(data.type) else np.int64
+    ends = np.frombuffer(data.buffers()[1], kind, len(data) + 1, data.offset * kind().itemsize)
+    return data.buffers()[2][int(ends[0]) : int(ends[-1])]
+
+
 class _Writer(DataSourceArrowWriter):
-    """Each task writes its range of pages to a file of its own; the commit joins them in page order and puts the whole in place with one rename."""
+    """All tasks write their pages at the pages' places in one new file; the commit looks at the tasks' ranges only, and puts that file in place with one rename.
+
+    A task that runs again writes the same places. On stores where nothing can be written at a place, each task writes a file of its own, and the
+    commit joins them.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite, self.own = options["path"], overwrite, uuid.uuid4().hex
+        store, p = _at(self.path)
+        self.placed, self.whole = isinstance(store, fs.LocalFileSystem), f"{p}.{self.own}.whole"
         if exists(self.path) and not overwrite:
             raise FileExistsError(self.path)
 
+    def _open(self, store: fs.FileSystem, name: str, first: int) -> IO[bytes] | pa.NativeFile:
+        if not self.placed:
+            return store.open_output_stream(name)
+        out = open(self.whole, "wb", opener=lambda p, _: os.open(p, os.O_WRONLY | os.O_CREAT, 0o666))  # not cut off: others write it, too
+        out.seek(first * PAGE_SIZE)
+        return out
+
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Part:
         store, p = _at(self.path)
         store.create_dir(posixpath.dirname(p), recursive=True)
@@ -119,14 +142,17 @@ class _Writer(DataSourceArrowWriter):
                     raise ValueError(f"page {page} doesn't have {PAGE_SIZE} bytes")
                 if last is not None and page != last + 1:
                     raise ValueError(f"page {page} follows page {last}")
+                if page is None or page < 0:
+                    raise ValueError("a page without a place")
                 first, last = page if first is None else first, page
             if ids:
-                out = out or store.open_output_stream(name)
-                begin = data.buffers()[1]
-                at = int.from_bytes(begin[4 * data.offset : 4 * data.offset + 4].to_pybytes(), "little") if pa.types.is_binary(data.type) else int.from_bytes(begin[8 * data.offset : 8 * data.offset + 8].to_pybytes(), "little")
-                out.write(data.buffers()[2][at : at + PAGE_SIZE * len(ids)])  # a batch's pages lie in a row
+                out = out or self._open(store, name, first)
+                out.write(_raw(data))
         if out is None:
             return _Part(None, 0, -1)
+        if self.placed:
+            out.flush()
+            os.fsync(out.fileno())
         out.close()
         return _Part(name, first, last)
 
@@ -138,22 +164,29 @@ class _Writer(DataSourceArrowWriter):
             if x.first != next_:
                 raise ValueError(f"page {next_} is missing or double")
             next_ = x.last + 1
-        whole = f"{p}.{self.own}.whole"
-        with store.open_output_stream(whole) as out:
-            for x in parts:
-                with store.open_input_stream(x.path) as f:
-                    while chunk := f.read(1 << 22):
-                        out.write(chunk)
-        store.move(whole, p)
+        if self.placed:
+            with self._open(store, self.whole, 0) as out:
+                out.truncate(next_ * PAGE_SIZE)
+        else:
+            with store.open_output_stream(self.whole) as out:
+                for x in parts:
+                    with store.open_input_stream(x.path) as f:
+                        while chunk := f.read(1 << 22):
+                            out.write(chunk)
+        store.move(self.whole, p)
         self._clean(parts)
 
     def abort(self, parts: list) -> None:
         self._clean([x for x in parts if x is not None and x.path])
+        store, _ = _at(self.path)
+        if store.get_file_info(self.whole).type == fs.FileType.File:
+            store.delete_file(self.whole)
 
     def _clean(self, parts: list) -> None:
         store, _ = _at(self.path)
         for x in parts:
-            store.delete_file(x.path)
+            if not self.placed:
+                store.delete_file(x.path)
 
 
 class PageFile(DataSource):

@@ -1,5 +1,6 @@
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -116,6 +117,36 @@ def test_gaps_and_doubles_are_refused(spark, tmp_path):
             pagefile.save(d, str(tmp_path / "g.db"))
 
 
+def test_tasks_write_in_place_in_any_order_and_again(tmp_path):
+    path = str(tmp_path / "w.db")
+
+    def batch(*ids):
+        return pa.RecordBatch.from_pydict({"page_id": ids, "data": [bytes([i]) * 4096 for i in ids]})
+
+    w = pagefile.PageFile({"path": path}).writer(None, False)
+    late, early, none = w.write(iter([batch(3), batch(4, 5).slice(0, 2)])), w.write(iter([batch(9, 0, 1, 2).slice(1)])), w.write(iter([]))
+    again = w.write(iter([batch(3, 4, 5)]))
+    w.write(iter([batch(6, 7)]))  # an attempt that wasn't taken
+    assert not pagefile.exists(path)
+    w.commit([late, none, early])
+    assert open(path, "rb").read() == b"".join(bytes([i]) * 4096 for i in range(6))
+    assert (again.first, again.last) == (late.first, late.last)
+    assert [x.name for x in tmp_path.iterdir()] == ["w.db"]
+    w = pagefile.PageFile({"path": path}).writer(None, True)
+    w.abort([w.write(iter([batch(0)])), None])
+    assert [x.name for x in tmp_path.iterdir()] == ["w.db"]
+
+
+def test_joined_on_stores_without_places(tmp_path):
+    path = str(tmp_path / "j.db")
+    w = pagefile.PageFile({"path": path}).writer(None, False)
+    w.placed = False
+    parts = [w.write(iter([pa.RecordBatch.from_pydict({"page_id": [i], "data": [bytes([i]) * 4096]})])) for i in (1, 0)]
+    w.commit(parts)
+    assert open(path, "rb").read() == bytes(4096) + b"\x01" * 4096
+    assert [x.name for x in tmp_path.iterdir()] == ["j.db"]
+
+
 def test_store_operations(spark):
     s = pagefile.allocate(pagefile.empty(spark), 2)
     assert sorted(r.page_id for r in s.collect()) == [0, 1]
