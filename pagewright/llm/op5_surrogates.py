@@ -6,6 +6,8 @@ in every spelling, and keeps its format.
 kind      found as                                                     surrogate
 secret    token/secret/password/key, = or :, a value of 8+ signs       value: letter for letter, digit for digit
 apikey    AKIA or ASIA and 16 signs; ghp_, gho_ ... and 36+ signs      its beginning kept, the rest sign for sign
+idno      passport, driving licence, identity card, tax id ... with a   letter for letter, digit for digit
+          number behind it: up to 3 letters, 6 to 12 digits, a letter
 email     local@domain                                                 local part and domain each, their last label kept
 iban      country, 2 check digits, 11-30 signs (spaces allowed)        country kept, letter for letter, digit for digit
 ip        four numbers up to 255, not behind "version", "release", "v" four numbers from 1 to 254
@@ -15,8 +17,9 @@ ssn       3-2-4 digits                                                 digit for
 card      16 digits, or 13 to 19 that pass the Luhn check;             first digit kept; passes the Luhn check if the original does
           spaces or hyphens between
 hexkey    32 or more hexadecimal digits                                hexadecimal digits
-name      title and all capitalised words behind it; a name's words     names made of syllables, endings by the title's gender, Latin or Cyrillic
-          without a title in the same text
+name      title, or words like "my name is" or "patient name:", and all  names made of syllables, endings by the title's gender, Latin or Cyrillic
+          capitalised words behind it; a name's words without that in
+          the same text
 
 Entities are compared without case and, for numbers, without punctuation; a surrogate is written with the case and punctuation of the mention.
 A letter becomes one of the same script (Latin, Latin with diacritics, Cyrillic, Greek). Words of a name are entities of their own, so
@@ -31,7 +34,7 @@ looked up, nor linked between applications.
 Distinctness: two entities of a kind never share a surrogate, and none equals an entity of that kind in the data. Entities whose surrogate is taken (the
 smallest keeps it) go to another round with a new hash; from round 6 on they also get a suffix of their own hash, so rounds end.
 
-Scale: a cheap filter leaves out texts without digits, @ and titles; the others are searched once, and rows are written with what was found. Only documents with entities
+Scale: a cheap filter leaves out texts without digits, @, titles and the like; the others are searched once, and rows are written with what was found. Only documents with entities
 are regrouped, by row, not by id. Entities are made distinct before any surrogate is computed; joins have one unique side, so a hot entity can be split.
 
 Null texts stay null, empty ones empty; texts without entities come back unchanged. Repeated rows and ids are handled each for itself. All columns of docs are kept;
@@ -57,6 +60,9 @@ _MALE = "Mr|Mister|Herr|Herrn|Monsieur|Señor|Sr|Sir|господин|г-н"
 _FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Srta|Sra|Lady|госпожа|г-жа"
 _NEUTRAL = "Dr|Prof|Mx"
 _TITLES = f"{_FEMALE}|{_MALE}|{_NEUTRAL}"
+#: Words that tell that a name follows.
+_CUES = "(?:[Mm]y|[Hh]is|[Hh]er|[Tt]heir)(?: full| first| last)? name is|(?:[Ff]ull|[Pp]atient|[Cc]ustomer|[Ee]mployee|[Aa]pplicant|[Cc]ardholder|[Aa]ccount [Hh]older)(?:['’]s)? [Nn]ame(?: is|:)"
+_LEAD = rf"(?:(?:{_TITLES})\.?|{_CUES}) {{1,2}}"
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: A capitalised word that is no title; a final 's isn't part of it.
 _WORD = rf"(?!(?:{_TITLES})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:['’](?![sS](?![\p{{L}}\p{{M}}]))[\p{{L}}\p{{M}}]++)*+"
@@ -71,6 +77,7 @@ BARE = r"(?<![\p{L}\p{M}\p{N}])" + _WORD
 PATTERNS = {
     "secret": r"(?<![\p{L}])(?i:token|secret|password|passwd|pwd|(?:api|access|secret)[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.\-]{8,}+={0,2}",
     "apikey": r"(?<![\p{L}\p{N}])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+)" + _AFTER,
+    "idno": _BEFORE + r"(?i:passport|driv(?:er['’]?s?|ing) licen[cs]e|(?:national|tax|insurance) id|(?:identity|id) card)(?i: (?:number|num|no|nr|id))?\.?(?:[:#] {0,2}| {1,2}#?)[A-Z]{0,3}\d{6,12}[A-Z]?" + _AFTER,
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,5}\.[\p{L}]{2,24}" + _AFTER,
     "iban": _BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
     "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[0-9a-fA-F:]*\d)(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}+)(?![\p{L}\p{N}:])",
@@ -79,11 +86,11 @@ PATTERNS = {
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}" + _AFTER,
     "card": _BEFORE + r"\d(?:[ -]?\d){12,18}" + _AFTER,
     "hexkey": _BEFORE + r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)" + _AFTER,
-    "name": _BEFORE + rf"(?:{_TITLES})\.? {{1,2}}{_PARTICLE}{_WORD}(?:{_BETWEEN}{_PARTICLE}{_WORD})*+",
+    "name": _BEFORE + rf"{_LEAD}{_PARTICLE}{_WORD}(?:{_BETWEEN}{_PARTICLE}{_WORD})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every text with an entity has.
-HINT = rf"[0-9@=:]|(?:{_TITLES})\.? "
+HINT = rf"[0-9@=:]|(?:{_TITLES})\.? |name is "
 
 #: Surrogate names: syllables, then an ending by gender.
 SYLLABLES = {
@@ -271,7 +278,7 @@ def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
     found = materialize(_with_bare(searched.where("size(__pii) > 0")), "found")
     listed = found.select("__pii_row", F.posexplode("__pii").alias("at", "x")).select("__pii_row", "at", "x.*")
     m = listed.where("not bare").select("__pii_row", "at", "mention").withColumn("kind", kind_of(F.col("mention")))
-    lead = F.when(F.col("kind") == "secret", F.regexp_extract("mention", r"^[^=:]*[=:]\s*[\"']?", 0)).when(F.col("kind") == "name", F.regexp_extract("mention", rf"^(?:{_TITLES})\.? {{1,2}}", 0)).otherwise("")
+    lead = F.when(F.col("kind") == "secret", F.regexp_extract("mention", r"^[^=:]*[=:]\s*[\"']?", 0)).when(F.col("kind") == "idno", F.regexp_extract("mention", r"^(.*?)[A-Z]{0,3}\d{6,12}[A-Z]?$", 1)).when(F.col("kind") == "name", F.regexp_extract("mention", f"^{_LEAD}", 0)).otherwise("")
     m = m.withColumn("lead", lead).withColumn("core", F.substr("mention", F.length("lead") + 1, F.length("mention")))
     title = F.regexp_replace(F.trim("lead"), r"\.", "")
     m = m.withColumn("gender", F.when(title.rlike(f"^(?:{_MALE})$"), "m").when(title.rlike(f"^(?:{_FEMALE})$"), "f"))

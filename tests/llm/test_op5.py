@@ -168,3 +168,14 @@ def test_keys(spark):
         assert texts(o.replace(d)) == texts(o.replace(d, "of the session")) != drawn
     finally:
         spark.conf.unset(o.KEY_OPTION)
+
+
+def test_names_and_numbers_behind_cues(spark):
+    a = "My name is Ann Example. Ann lives here. Patient name: Ludwig van Beethoven, passport no. C01X00T47, Passport number: AB1234567, driver's license D1234567; ID card #12345678Z. My name is Dr. Jo Doe."
+    got = texts(o.replace(docs(spark, [(1, a), (2, "the PASSPORT NO AB1234567 and national id: AB1234567"), (3, "My name is legion; his name is: None. The passport of 2021, tax id 12345, full name: see below")])))
+    m = re.fullmatch(r"My name is (\w+) (\w+)\. (\w+) lives here\. Patient name: (\w+) van (\w+), passport no\. C01X00T47, Passport number: ([A-Z]{2}\d{7}), driver's license ([A-Z]\d{7}); ID card #(\d{8}[A-Z])\. My name is Dr\. (\w+) (\w+)\.", got[1])
+    assert m
+    assert m[1] == m[3]
+    assert not set(m.groups()) & {"Ann", "Example", "Ludwig", "Beethoven", "AB1234567", "D1234567", "12345678Z", "Jo", "Doe"}
+    assert got[2] == f"the PASSPORT NO {m[6]} and national id: {m[6]}"
+    assert got[3] == "My name is legion; his name is: None. The passport of 2021, tax id 12345, full name: see below"
