@@ -311,6 +311,14 @@ def ext_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
+def ext_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes from a quantity to two above it: each quantity is listed with the three sizes it meets, so the join is one of equal keys, never a nested loop."""
+    q = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("q")).distinct()
+    met = q.select(F.explode(F.sequence("q", F.col("q") + 2)).alias("size"))
+    parts = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("size")).agg(F.count("*").alias("parts"))
+    return parts.join(met.groupBy("size").agg(F.count("*").alias("quantities")), "size").select("size", (F.col("parts") * F.col("quantities")).alias("n"))
+
+
 def ext_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_sum"))
@@ -365,9 +373,9 @@ SELECT doc_id, part, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list
 
 _NUMBERED = "SELECT row_number() OVER (ORDER BY doc_id, part) - 1 AS page_id, doc_id FROM ({_PARTS})".replace("{_PARTS}", _PARTS)
 
-QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (pool_fifo_hit_rate, pool_stats_full, pool_capacity_sweep, pool_order_trace, pool_missing_pages, pool_missing_pages_kept, pool_replacer, pool_pins, pool_exhausted, pool_new_pages, pool_delete_flush, pool_delete_pinned, pool_flush_all, pool_reset, pool_replacer_all, page_headers, page_checksums, page_inventory, page_reencode, page_store, page_store_nation, page_file, page_file_size, page_file_reads, page_allocated, page_new_headers, page_ids, ext_tumbling, ext_session, ext_json_props)
-} | {name: _shared(sql) for name, sql in SHARED.items()}
+QUERIES: dict[str, Query] = {name: _shared(sql) for name, sql in SHARED.items()} | {
+    f.__name__: f for f in (pool_fifo_hit_rate, pool_stats_full, pool_capacity_sweep, pool_order_trace, pool_missing_pages, pool_missing_pages_kept, pool_replacer, pool_pins, pool_exhausted, pool_new_pages, pool_delete_flush, pool_delete_pinned, pool_flush_all, pool_reset, pool_replacer_all, page_headers, page_checksums, page_inventory, page_reencode, page_store, page_store_nation, page_file, page_file_size, page_file_reads, page_allocated, page_new_headers, page_ids, ext_tumbling, ext_session, ext_json_props, ext_range_join)
+}
 
 ORACLES: dict[str, str] = SHARED | {
     "pool_fifo_hit_rate": _fold(_EVENTS, "16", "trace_id") + f" SELECT trace_id, r.h AS cache_hits, r.m AS cache_misses, r.e AS evictions, {_RATE} FROM f",
