@@ -242,13 +242,8 @@ def page_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", P.page_id(n).isNotNull().alias("valid"), P.page_id_text(P.page_id(n)).alias("page"), P.frame_id_text("doc_id").alias("frame"), *(P.outcome_message(F.lit(k), n, F.lit("cause")).alias(k) for k in P.MESSAGES))
 
 
-def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten pages, five of them allocated late, written to by the first twelve nations: what is where. (page_store_nation takes all.)"""
-    return _stored(spark, table(spark, sf_dir, "nation").where("n_nationkey < 12"))
-
-
 def page_store_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same store, written to by all of nation."""
+    """Ten pages, five of them allocated late, written to by all of nation: what is where."""
     return _stored(spark, table(spark, sf_dir, "nation"))
 
 
@@ -374,7 +369,7 @@ SELECT doc_id, part, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list
 _NUMBERED = "SELECT row_number() OVER (ORDER BY doc_id, part) - 1 AS page_id, doc_id FROM ({_PARTS})".replace("{_PARTS}", _PARTS)
 
 QUERIES: dict[str, Query] = {name: _shared(sql) for name, sql in SHARED.items()} | {
-    f.__name__: f for f in (pool_fifo_hit_rate, pool_stats_full, pool_capacity_sweep, pool_order_trace, pool_missing_pages, pool_missing_pages_kept, pool_replacer, pool_pins, pool_exhausted, pool_new_pages, pool_delete_flush, pool_delete_pinned, pool_flush_all, pool_reset, pool_replacer_all, page_headers, page_checksums, page_inventory, page_reencode, page_store, page_store_nation, page_file, page_file_size, page_file_reads, page_allocated, page_new_headers, page_ids, ext_tumbling, ext_session, ext_json_props, ext_range_join)
+    f.__name__: f for f in (pool_fifo_hit_rate, pool_stats_full, pool_capacity_sweep, pool_order_trace, pool_missing_pages, pool_missing_pages_kept, pool_replacer, pool_pins, pool_exhausted, pool_new_pages, pool_delete_flush, pool_delete_pinned, pool_flush_all, pool_reset, pool_replacer_all, page_headers, page_checksums, page_inventory, page_reencode, page_store_nation, page_file, page_file_size, page_file_reads, page_allocated, page_new_headers, page_ids, ext_tumbling, ext_session, ext_json_props, ext_range_join)
 }
 
 ORACLES: dict[str, str] = SHARED | {
@@ -390,7 +385,6 @@ ORACLES: dict[str, str] = SHARED | {
     "page_headers": f"SELECT doc_id, part, 'Data' AS page_type, doc_id AS lsn, true AS checksum_ok, 'Page(' || part || ')' AS shown, CAST(4096 AS BIGINT) AS n_bytes FROM ({_PARTS})",
     "page_inventory": f"SELECT CASE WHEN doc_id % 7 = 0 THEN 'Invalid' ELSE 'Data' END AS page_type, CASE WHEN doc_id % 7 = 0 THEN 'zero' WHEN doc_id % 5 = 0 THEN 'corrupt' ELSE 'ok' END AS class, count(*) AS page_count, count(*) * 4096 AS file_size, max(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE doc_id END) AS max_lsn FROM ({_PARTS}) GROUP BY 1, 2",
     "page_reencode": f"SELECT CASE WHEN doc_id % 10 = 0 THEN 'Free' ELSE 'BTreeLeaf' END AS page_type, count(*) AS n, CAST(sum(doc_id * 2 + part) AS BIGINT) AS lsn_sum, count(*) AS ok FROM ({_PARTS}) GROUP BY 1",
-    "page_store": "SELECT CAST(n_nationkey AS BIGINT) AS page_id, CASE WHEN n_nationkey < 10 THEN 'ok' ELSE 'PageNotFound' END AS state FROM nation WHERE n_nationkey < 12",
     "page_store_nation": "SELECT CAST(n_nationkey AS BIGINT) AS page_id, CASE WHEN n_nationkey < 10 THEN 'ok' ELSE 'PageNotFound' END AS state FROM nation",
     "pool_missing_pages": _missing(False, ", x.e AS evictions, x.m AS message"),
     "pool_missing_pages_kept": _missing(True, ""),
