@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import pages as P
+from pagewright.operators.contents import page_reads, stored_pages
 from pagewright.operators.pool import pool_events, pool_stats
 from pagewright.operators.replacer import replacer_events
 from pagewright.plans import traces
@@ -101,6 +102,21 @@ def pool_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("summary", P.stats_text("cache_hits", "cache_misses", F.lit(0)))
 
 
+def pool_contents_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The write that each read is shown, in a pool of a quarter of the pages: most come back from the file."""
+    return page_reads(traces.event_trace(spark, sf_dir), POOL, 64)
+
+
+def pool_contents_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of the pages in the file at the end, where every fiftieth event flushes all and others write a page of their own: the last writes before the last flush."""
+    n = F.col("event_id") % 50
+    trace = traces.event_ops(spark, sf_dir, F.when(n == 0, "flush_all").otherwise("write"))
+    data = P.update_checksum(P.set_header(P.zero_page(), F.lit("Data"), F.lit(0), F.col("seq")))
+    got = stored_pages(trace, trace.where("op = 'write'").select("trace_id", "seq", data.alias("data")), 64, 64)
+    h = P.header("data")
+    return got.select("trace_id", "page_id", h["page_type"].alias("page_type"), h["lsn"].cast("long").alias("lsn"), P.verify_checksum("data").alias("checksum_ok"))
+
+
 def pool_replacer_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All operations of the bare FIFO order by turns; what each question and each eviction said."""
     e = table(spark, sf_dir, "events")
@@ -369,7 +385,7 @@ SELECT doc_id, part, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list
 _NUMBERED = "SELECT row_number() OVER (ORDER BY doc_id, part) - 1 AS page_id, doc_id FROM ({_PARTS})".replace("{_PARTS}", _PARTS)
 
 QUERIES: dict[str, Query] = {name: _shared(sql) for name, sql in SHARED.items()} | {
-    f.__name__: f for f in (pool_fifo_hit_rate, pool_stats_full, pool_capacity_sweep, pool_order_trace, pool_missing_pages, pool_missing_pages_kept, pool_replacer, pool_pins, pool_exhausted, pool_new_pages, pool_delete_flush, pool_delete_pinned, pool_flush_all, pool_reset, pool_replacer_all, page_headers, page_checksums, page_inventory, page_reencode, page_store_nation, page_file, page_file_size, page_file_reads, page_allocated, page_new_headers, page_ids, ext_tumbling, ext_session, ext_json_props, ext_range_join)
+    f.__name__: f for f in (pool_fifo_hit_rate, pool_stats_full, pool_capacity_sweep, pool_order_trace, pool_missing_pages, pool_missing_pages_kept, pool_replacer, pool_pins, pool_exhausted, pool_new_pages, pool_delete_flush, pool_delete_pinned, pool_flush_all, pool_reset, pool_contents_read, pool_contents_stored, pool_replacer_all, page_headers, page_checksums, page_inventory, page_reencode, page_store_nation, page_file, page_file_size, page_file_reads, page_allocated, page_new_headers, page_ids, ext_tumbling, ext_session, ext_json_props, ext_range_join)
 }
 
 ORACLES: dict[str, str] = SHARED | {
@@ -422,6 +438,12 @@ SELECT trace_id, seq, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY trace_id ORDER
 ), s AS (SELECT trace_id, count(*) FILTER (seq > z AND NOT m) AS h, count(*) FILTER (seq > z AND m) AS m FROM a JOIN z USING (trace_id) GROUP BY 1
 ), v AS (SELECT *, CASE WHEN h + m > 0 THEN h / (h + m) ELSE 0.0 END AS hit_rate FROM s)
 SELECT trace_id, h AS cache_hits, m AS cache_misses, m AS pages_read, hit_rate, printf('Stats {{ hits: %d, misses: %d, evictions: 0, hit_rate: %.2f%% }}', h, m, 100.0 * hit_rate) AS summary FROM v""",
+    "pool_contents_read": f"""SELECT trace_id, seq, op, page_id, version FROM (
+  SELECT trace_id, seq, CASE WHEN w THEN 'write' ELSE 'read' END AS op, page AS page_id, last_value(CASE WHEN w THEN seq END IGNORE NULLS) OVER (PARTITION BY trace_id, page ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS version FROM ({_EVENTS})
+) WHERE op = 'read'""",
+    "pool_contents_stored": f"""WITH t AS (SELECT *, event_id % 50 = 0 AS k FROM ({_OPS})
+), z AS (SELECT trace_id, max(seq) FILTER (k) AS z FROM t GROUP BY 1)
+SELECT trace_id, page AS page_id, 'Data' AS page_type, max(seq) AS lsn, true AS checksum_ok FROM t JOIN z USING (trace_id) WHERE NOT k AND seq < z GROUP BY 1, 2""",
     "page_checksums": _CRC_SQL,
     "page_file": f"SELECT page_id, 'Data' AS page_type, doc_id AS lsn, true AS checksum_ok FROM ({_NUMBERED})",
     "page_file_size": f"SELECT count(*) AS page_count, count(*) * 4096 AS file_size, 'documents' AS file FROM ({_PARTS}) UNION ALL SELECT 0, 0, 'empty'",
