@@ -8,7 +8,8 @@ score is its points, with a bonus or malus for its tag and names, times (1 - sha
 container; it widens to the article or main element around it, and to ancestors that hold further text blocks, so no part of the
 article is lost. Siblings with a fifth of its score, and sibling paragraphs of plain prose, are kept with it.
 
-Names that may also be an article's own (search, print, related, discussion, reply) are a malus in the score; such an element goes where it lies outside the container, is
+Names that may also be an article's own (search, print, related, discussion, reply) are boilerplate with a word for a page's tools behind them (share-buttons,
+related-posts, search-form) and alone only a malus in the score; such an element goes where it lies outside the container, is
 mostly links, or is a list of replies.
 
 Every block of the container is returned, whole. Null and empty pages, and pages without text, give an empty text. A tag that the page ends in is no text; a
@@ -48,7 +49,9 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
 WEAK_WORDS = frozenset("banner discussion flash header print recommended related replies reply respond response responses search share shares sharing tags teaser teasers tooltip".split())
 REPLY_WORDS = frozenset("discussion replies reply respond response responses".split())
 #: Words that may follow the telling one.
-AFTER_WORDS = frozenset("area articles bar block body bottom box center container content controls count embed form group holder inner item items left link links list main message outer panel placeholder post posts region right row section slot space stories strip text thread title top unit view wrap wrapper zone".split())
+AFTER_WORDS = frozenset("area articles banner bar block body bottom box center container content controls count embed form group holder inner item items left link links list main message outer panel placeholder post posts region right row section slot space stories strip text thread title top unit view wrap wrapper zone".split())
+#: Behind a word that may be an article's own, these tell of a page's tools: share-buttons, related-posts.
+TOOL_WORDS = frozenset("articles bar box button buttons form icons links list posts stories widget widgets".split())
 GOOD_WORDS = frozenset("article body content entry main post story text blog page hentry prose".split())
 TAG_POINTS = {"article": 10, "main": 8, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "address": -3, "table": -3, "th": -5}
 KEEP_TAGS = frozenset(("html", "body", "article", "main"))
@@ -72,6 +75,10 @@ def _says(names: list[list[str]], words: frozenset[str]) -> bool:
     return any(ws and (ws[-1] in words or ws[0] in words and all(w in AFTER_WORDS for w in ws[1:])) for ws in names)
 
 
+def _tools(names: list[list[str]]) -> bool:
+    return any(len(ws) > 1 and ws[0] in WEAK_WORDS and all(w in TOOL_WORDS for w in ws[1:]) or len(ws) == 2 and ws[0] in DROP_WORDS and ws[1] in WEAK_WORDS for ws in names)
+
+
 def _attributes(source: str, pos: int) -> tuple[dict[str, str], bool, int]:
     """A tag's attributes from behind its name, whether it closes itself, and the place behind the tag; in a tag that doesn't end, that is the source's end."""
     out: dict[str, str] = {}
@@ -207,7 +214,7 @@ def _dropped(tag: str, attrs: dict[str, str]) -> int:
     if tag in KEEP_TAGS:
         return 0
     names = _names(attrs)
-    return 2 if _says(names, COMMENT_WORDS) else 1 if _says(names, DROP_WORDS) else 0
+    return 2 if _says(names, COMMENT_WORDS) else 1 if _says(names, DROP_WORDS) or _tools(names) else 0
 
 
 def extract(source: str | None) -> str:

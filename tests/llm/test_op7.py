@@ -51,8 +51,8 @@ def test_edges(spark):
     assert o.main_text(d.limit(0)).count() == 0
 
 
-KEPT = ['<div class="related-work"><p>Others, before us, wrote about it.</p></div>', "<p class='print'>In print, it is longer.</p>", "<p id='search'>The search for it went on.</p>", '<div class="flash"><p>A flash, then thunder.</p></div>', '<section id="discussion"><p>We discuss, at length, what it means.</p></section>', '<p class="reply">No, said she.</p>', "<p title=don't>Quoted, badly.</p>", '<div class="ad-hoc"><p>Made for this, and no more.</p></div>']
-GONE = ['<div class="notice">Please note this, dear reader</div>', '<div id="disqus_thread"><p>First, as ever!</p></div>', '<div class="notification">You have, now, new mail</div>', '<ol class="commentlist"><li>So, so true, and well said</li></ol>', '<div class="advertising">Buy, buy, buy</div>', '<div class="replies"><div class="reply">Me too, I think, really</div></div>', '<div class="tags"><a href=x>one</a> <a href=y>two</a></div>', '<div class="cookie-notice"><p>We use cookies, sorry.</p></div>', "<script>a<b</script>", '<aside class="x">Aside, from all</aside>']
+KEPT = ['<div class="related-work"><p>Others, before us, wrote about it.</p></div>', "<p class='print'>In print, it is longer.</p>", "<p id='search'>The search for it went on.</p>", '<div class="flash"><p>A flash, then thunder.</p></div>', '<section id="discussion"><p>We discuss, at length, what it means.</p></section>', '<p class="reply">No, said she.</p>', "<p title=don't>Quoted, badly.</p>", '<div class="ad-hoc"><p>Made for this, and no more.</p></div>', '<div class="social-history"><p>Of society, long ago.</p></div>', '<section class="related-findings"><p>Found, as well, by others.</p></section>']
+GONE = ['<div class="notice">Please note this, dear reader</div>', '<div id="disqus_thread"><p>First, as ever!</p></div>', '<div class="notification">You have, now, new mail</div>', '<ol class="commentlist"><li>So, so true, and well said</li></ol>', '<div class="advertising">Buy, buy, buy</div>', '<div class="replies"><div class="reply">Me too, I think, really</div></div>', '<div class="tags"><a href=x>one</a> <a href=y>two</a></div>', '<div class="cookie-notice"><p>We use cookies, sorry.</p></div>', "<script>a<b</script>", '<aside class="x">Aside, from all</aside>', '<div class="share-buttons">Send it, please, to friends</div>', '<div class="related-posts"><p>Read, next, what we wrote.</p></div>', '<div class="social-share">Tell all, now</div>', '<div id="gdpr-banner"><p>Your data, our care.</p></div>', '<div class="cookieBanner">Yes, or no</div>', '<div class="search-form">Look, here</div>']
 
 
 @pytest.mark.parametrize("bit", KEPT + GONE)
