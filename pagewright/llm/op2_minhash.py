@@ -36,7 +36,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.graph import components
@@ -379,11 +379,18 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group; their columns. Of rows with the same id one stays."""
+    """docs with one document of each group; their columns. Of rows with the same id the one whose text has the smallest hash stays; rows without an id all stay.
+
+    Only rows whose id is repeated are regrouped, and reduced before they are shuffled, so neither null ids nor a hot one meet in a task.
+    """
     gone = near_classes(docs, width, percent).where("not kept").select("doc_id").distinct()
     left = docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return left.withColumn("__row", F.row_number().over(one)).where("__row = 1 or doc_id is null").drop("__row")
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    twice = materialize(ids.where("__rows > 1").select("doc_id"), "twice")
+    if not twice.limit(1).count():
+        return left
+    one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__one")).select("__one.*")
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

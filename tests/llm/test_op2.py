@@ -88,6 +88,15 @@ def test_repeated_null_and_long(spark):
     assert sorted((x.doc_id for x in left.collect()), key=repr) == sorted([None, None, 1, 3, 4, 6], key=repr)
 
 
+def test_deduplicate_repeated_and_null_ids(spark):
+    """Of an id's rows one stays, the same in any order of tasks; rows without an id all stay; a single id's row is untouched."""
+    rows = [(7, f"text {i} of the hot id " + " ".join(f"w{i}x{j}" for j in range(9))) for i in range(200)] + [(7, None), (8, ""), (8, "")] + [(None, f"no id {i}") for i in range(150)] + [(9, "one row of its own")]
+    d = docs(spark, [(*x, "en", "s") for x in rows]).withColumnRenamed("n_chars", "__rows")
+    got = [sorted(map(tuple, o.deduplicate(x).collect()), key=repr) for x in (d.repartition(7), d.coalesce(1))]
+    assert got[0] == got[1]
+    assert [sum(r[0] == k for r in got[0]) for k in (7, 8, 9, None)] == [1, 1, 1, 150]
+
+
 def test_empty(spark):
     d = docs(spark, [(1, "x")]).limit(0)
     assert o.near_classes(d).count() == 0
