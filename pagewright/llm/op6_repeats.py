@@ -6,7 +6,8 @@ with the smallest (doc_id, start) is the source, and the words that any other oc
 1. Consecutive edges of a document that share a minimizer (the smallest hash among their runs of ANCHOR words) form a piece; equal edges
    have equal minimizers, so all occurrences of an edge lie in pieces of the same minimizer. Pieces are counted by minimizer; those of a minimizer
    that occurs once hold no repeat and leave the graph. That is most of them.
-2. Where a minimizer's pieces differ or cross themselves, the graph branches inside them: they are cut into single edges with 128-bit hashes, and edges that occur once leave.
+2. Where a minimizer's pieces differ or cross themselves, the graph branches inside them. Of equal such pieces only the first occurrence stays in the graph: every edge of another
+   occurrence starts earlier in the first, so the other goes whole, and it can't be the source of an edge. The first ones are cut into single edges with 128-bit hashes, and edges that occur once leave.
 3. Nodes between pieces: each occurrence of a piece knows the piece that enters its first node and the one that leaves its last node in its document. From these
    every piece's in- and out-degree is counted. Where all occurrences of a piece lead to one other piece, and all occurrences of that one come from it, the node between does not
    branch: a join of the pieces' degrees finds these, a second join marks them at all occurrences, and pieces that go on across such nodes are one path.
@@ -14,7 +15,7 @@ with the smallest (doc_id, start) is the source, and the words that any other oc
    length and pieces is verified as a copy and is a removed span.
 5. Overlapping and touching spans of a document merge, and the words left are joined again.
 
-Scale: per seven words one piece of about 30 bytes is shuffled, twice; what repeats is sorted by document once and joined by piece. Texts are shuffled by doc_id once, and again only
+Scale: per seven words one piece of about 30 bytes is shuffled, twice; what repeats has a number instead of its hashes from there on, is sorted by document once and joined by piece. Texts are shuffled by doc_id once, and again only
 for documents with repeats. Counts are pre-aggregated; joins have one unique side and both are written first, so adaptive execution can split a hot
 key. A document's pieces are gathered (never more than its words). No step follows a path piece by piece: where a link holds, it holds at every occurrence, so paths come whole.
 
@@ -34,7 +35,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.textbatch import WORD_BASE_2, find_words, pieces, rolling, span_hash
@@ -190,10 +191,10 @@ def _in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return ranked.select(F.col("own").alias("doc_id"), "text"), ranked.select(F.col("own"), F.col("doc_id").alias("given"))
 
 
-def compacted(parts: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+def compacted(parts: DataFrame, scratch: list[str] | None = None, me: Column | None = None) -> DataFrame:
     """Of occurrences of pieces (p1, p2: the piece; doc_id, start, n: edges of the document) those of compacted paths: doc_id, start, n, h1, h2 (the first piece), n_pieces, chain (a hash of its pieces).
 
-    The tables that it writes and its rows are read from are named in scratch.
+    The tables that it writes and its rows are read from are named in scratch. me: a long of p1 and p2 that no two pieces share, a hash of both if not given.
     """
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -202,7 +203,8 @@ def compacted(parts: DataFrame, scratch: list[str] | None = None) -> DataFrame:
             scratch.append(at)
         return table_
 
-    in_doc, me = Window.partitionBy("doc_id").orderBy("start"), F.xxhash64("p1", "p2")
+    in_doc, mixed = Window.partitionBy("doc_id").orderBy("start"), F.xxhash64("p1", "p2")
+    me = mixed if me is None else me
     near = F.struct(me.alias("id"), "start", "n")
     steps = parts.withColumns({"b": F.lag(near).over(in_doc), "f": F.lead(near).over(in_doc)})
     before, after = F.when(F.expr("b.start + b.n = start"), F.col("b.id")), F.when(F.expr("f.start = start + n"), F.col("f.id"))
@@ -214,31 +216,47 @@ def compacted(parts: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     ahead = nodes.where("leaves is not null").select(me.alias("enters"), F.col("leaves").alias("id"))
     links = kept(nodes.where("enters is not null").select("p1", "p2", me.alias("id"), "enters").join(ahead, ["enters", "id"]).select("p1", "p2", F.lit(True).alias("goes_on")), "links")
     marked = steps.select("p1", "p2", "doc_id", "start", "n").join(links, ["p1", "p2"], "left").withColumn("path", F.sum(F.col("goes_on").isNull().cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = marked.groupBy("doc_id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min_by(F.struct("p1", "p2"), "start").alias("p"), F.count("*").alias("n_pieces"), F.bit_xor(me).alias("chain"))
+    whole = marked.groupBy("doc_id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min_by(F.struct("p1", "p2"), "start").alias("p"), F.count("*").alias("n_pieces"), F.bit_xor(mixed).alias("chain"))
     return whole.select("doc_id", "start", "n", F.col("p.p1").alias("h1"), F.col("p.p2").alias("h2"), "n_pieces", "chain")
 
 
+def _first_marked(whole: DataFrame) -> DataFrame:
+    """doc_id, start, n, first of occurrences of pieces (id, content: the piece): whether each is its piece's first by (doc_id, start)."""
+    piece = ["id", "content"]
+    lead, lead_at = written(whole.groupBy(*piece).agg(F.min(F.struct("doc_id", "start")).alias("lead")), "lead")
+    marked = materialize(whole.join(lead, piece).select("doc_id", "start", "n", F.expr("doc_id = lead.doc_id and start = lead.start").alias("first")), "marked")
+    remove(whole.sparkSession, lead_at)
+    return marked
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     docs, back = _in_order(docs)
-    counts = pieces_of(docs, window, anchor).groupBy("key").agg(F.count("*").alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("loop").alias("loop"))
+    spark, number = docs.sparkSession, F.monotonically_increasing_id().alias("id")
+    # lo and hi first: side by side with the key they take less in a shuffle.
+    counts = pieces_of(docs, window, anchor).groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.count("*").alias("times"), F.max("loop").alias("loop"))
     # Written, so that both sides of the join are plain shuffles and a hot key's rows can be split.
-    repeated, repeated_at = written(counts.where("times > 1 or loop").select("key", ((F.col("lo") != F.col("hi")) | F.col("loop")).alias("branch")), "repeated")
-    hits, hits_at = written(pieces_of(docs, window, anchor).select("key", "doc_id", "start", "n").join(repeated, "key"), "hits")
-    listed = hits.groupBy("doc_id").agg(F.collect_list(F.when(F.col("branch"), F.struct("start", "n"))).alias("hits"))
+    repeated, repeated_at = written(counts.where("times > 1 or loop").select("key", number, ((F.col("lo") != F.col("hi")) | F.col("loop")).alias("branch")), "repeated")
+    hits = pieces_of(docs, window, anchor).select("key", "content", "doc_id", "start", "n").join(repeated, "key")
+    hits, hits_at = written(hits.select("id", "branch", F.when(F.col("branch"), F.col("content")).alias("content"), "doc_id", "start", "n"), "hits")
+    remove(spark, repeated_at)
+    marked = _first_marked(hits.where("branch").select("id", "content", "doc_id", "start", "n"))
+    seen = hits.where("not branch").select("doc_id", F.lit(None).cast("struct<start:int,n:int>").alias("hit"))
+    listed = seen.unionByName(marked.select("doc_id", F.when(F.col("first"), F.struct("start", "n")).alias("hit"))).groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
     settled = materialize(docs.join(listed, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(_settle(window), _SETTLED), "settled")
     done = settled.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
     edges = settled.where("text is not null").select("doc_id", F.inline("edges"))
-    twice, twice_at = written(edges.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "twice")
-    cut = edges.join(twice, ["h1", "h2"]).select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), "doc_id", "start", F.lit(1).alias("n"))
-    plain = hits.where("not branch").select(F.col("key").alias("p1"), F.lit(0).cast("long").alias("p2"), "doc_id", "start", "n")
-    scratch = [repeated_at, hits_at, twice_at]
-    found = materialize(compacted(plain.unionByName(cut), scratch), "paths")
+    twice, twice_at = written(edges.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2", number), "twice")
+    cut = edges.join(twice, ["h1", "h2"]).select("id", F.lit(1).cast("long").alias("p2"), "doc_id", "start", F.lit(1).alias("n"))
+    plain = hits.where("not branch").select("id", F.lit(0).cast("long").alias("p2"), "doc_id", "start", "n")
+    scratch = [hits_at, twice_at]
+    found = materialize(compacted(plain.unionByName(cut).withColumnRenamed("id", "p1"), scratch, F.expr("2 * p1 + p2")), "paths")
     for at in scratch:  # found is written: nothing reads these again
-        remove(docs.sparkSession, at)
+        remove(spark, at)
     path = ["h1", "h2", "n", "chain"]
     source = materialize(found.groupBy(*path).agg(F.min(F.struct("doc_id", "start")).alias("source")), "sources")
     copies = found.join(source, path).where("doc_id <> source.doc_id or start <> source.start")
+    copies = copies.select("doc_id", "start", "n").unionByName(marked.where("not first").select("doc_id", "start", "n"))
     gone = copies.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     late = settled.where("text is not null").select("doc_id", "text").join(gone, "doc_id", "left").select("doc_id", "text", "spans")
     out = done.unionByName(late.mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string"))

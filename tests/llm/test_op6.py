@@ -4,6 +4,7 @@ import re
 
 import pytest
 from helpers import SF, docs, oracle, same
+from pyspark.sql import functions as F
 
 from pagewright.llm import op6_repeats as o
 from pagewright.session import table
@@ -87,3 +88,26 @@ def test_paths_are_compacted(spark):
         assert (x.n, x.chain) == (first[x.h1, x.h2].n, first[x.h1, x.h2].chain)
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     assert rows_of(o.remove_repeats(d)) == brute(rows, 20)
+
+
+def test_equal_pieces_at_branches_are_cut_once(spark, monkeypatch):
+    """Of near copies only first occurrences of a piece are cut into edges; the graph doesn't grow with their number."""
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        w[r.randrange(8) * 50 + 20] = f"z{r.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    rows += [(300, rows[7][1] + " tail " + rows[7][1]), (301, " ".join(base[5:60] + base[30:90]))]
+    real, given = o.compacted, []
+
+    def spy(parts, *a, **k):
+        given.append(parts.count())
+        return real(parts, *a, **k)
+
+    monkeypatch.setattr(o, "compacted", spy)
+    assert rows_of(o.remove_repeats(docs(spark, rows))) == brute(rows, 20)
+    branching = o.pieces_of(docs(spark, rows)).groupBy("key").agg(F.countDistinct("content").alias("kinds"), F.count("*").alias("times"), F.max("loop").alias("loop"))
+    plain = branching.where("kinds = 1 and times > 1 and not loop").agg(F.sum("times")).first()[0] or 0
+    assert given[0] - plain < 120 * 381 / 10
