@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & learnable()).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.md5("doc_id"), "doc_id", "quality").limit(most).toPandas()  # at most `most` rows of an id and a number
-    ids = spark.createDataFrame([(x,) for x in sorted(set(chosen.doc_id))], "doc_id string")
+    ids = spark.createDataFrame(pa.table({"doc_id": pa.array(sorted(set(chosen.doc_id)), pa.string())}))  # as Arrow: a list would go through Python workers of its own on every executor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import files
 from pagewright.llm.ranks import carried
-from pagewright.llm.textbatch import claim, scramble
+from pagewright.llm.textbatch import TRIM_BYTES, claim, scramble, trim
 from pagewright.session import materialize, scratch_path, table
 
 END_ID = 2
@@ -338,13 +338,18 @@ _CODERS: dict = {}
 
 
 def _coder(path: str, special_as_text: bool) -> WordCoder:
-    """One for each worker process, with its cache, until another operator works there."""
+    """One for each worker process, with its cache, until another operator or a later step of this one works there."""
     claim("tokens", _CODERS.clear)
     if (path, special_as_text) not in _CODERS:
         _CODERS[path, special_as_text] = WordCoder(path, special_as_text)
     return _CODERS[path, special_as_text]
 
 
+def _coded() -> None:
+    """Said where a store's texts are all encoded: the coders' caches are of no more use to this worker."""
+    claim("store")
+
+
 def _parts(texts: list[str]) -> Iterator[tuple[list[str], list[int], list[bool]]]:
     """Texts in runs of about CHUNK signs: parts, the text of each, and whether it is that text's last. A longer text is cut before a space between two other signs, where its ids are cut, too."""
     parts, owner, last, size = [], [], [], 0
@@ -392,6 +397,8 @@ def _writer(path: str, tokenizer: str, end_id: int | None, special_as_text: bool
                     same = same + 1 if x == id_now and (i or k or same) else 0
                     id_now, runs[k] = x, same
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(n), shard, np.int32)), pa.array(at[:-1]), pa.array(n), pa.array(runs)], names)
+            if b.nbytes >= TRIM_BYTES:
+                trim()
         if out is not None:
             out.close()
 
@@ -400,6 +407,7 @@ def _writer(path: str, tokenizer: str, end_id: int | None, special_as_text: bool
 
 def _index_writer(path: str) -> Callable:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _coded()
         ids = pdf.doc_id.fillna(0).to_numpy(np.int64)
         h = key_hash(ids, pdf["copy"].to_numpy(np.int64), pdf.doc_id.isna().to_numpy())
         mph = PerfectHash.build(h)
@@ -437,6 +445,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, *, end
 
 def _finder(store_path: str) -> Callable:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _coded()
         raw = files.read(f"{store_path}/index/bucket-{key[0]:05d}.mph")
         mph, at = PerfectHash.unpack(raw)
         rec = np.frombuffer(raw, RECORD, -1, at)
@@ -467,6 +476,7 @@ def read_ids(store: Store, found: DataFrame, schema: str, digest: Callable[[np.n
     path, dtype = store.path, np.dtype("<u2") if store.width == 2 else np.dtype("<u4")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _coded()
         at, reader = None, None
         for pdf in frames:
             out = []

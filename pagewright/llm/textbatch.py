@@ -6,6 +6,7 @@ hashes of a batch cost a few passes over its bytes; no Python loop runs over wor
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -58,6 +59,16 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _owner: list = [None, None]
+#: Only glibc has it; elsewhere nothing is trimmed but Arrow's pool.
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+TRIM_BYTES = 1 << 22
+
+
+def trim() -> None:
+    """Gives freed memory back to the system. Allocators keep up to a few hundred MB of it, which an idle worker would hold while others work."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
 
 
 def claim(owner: str, release: Callable[[], None] | None = None) -> None:
@@ -66,6 +77,7 @@ def claim(owner: str, release: Callable[[], None] | None = None) -> None:
         if _owner[1]:
             _owner[1]()
         _owner[:] = owner, release
+        trim()
 
 
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
@@ -160,3 +172,5 @@ def pieces(col: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int, n
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
         yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    if len(buf) >= TRIM_BYTES:
+        trim()

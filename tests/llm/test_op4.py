@@ -84,3 +84,13 @@ def test_against_brute_force(spark):
         got = o.quality_rows(frame.repartition(n), labels.repartition(n)).collect()
         assert sorted((r.doc_id, round(r.score, 9)) for r in got) == want
         assert all(r.held_out == (zlib.crc32(r.doc_id.encode()) % 3 == 1) for r in got)
+
+
+def test_training_ids_need_no_python_workers(spark, monkeypatch):
+    """A list given to createDataFrame is parallelized as pickled rows, for Python workers beside those of the operators."""
+
+    def refuse(*_):
+        raise AssertionError("rows went through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert len(o.train(table(spark, SF, "documents"), table(spark, SF, "labels"), 200).tables) == len(o.NAMES)

@@ -1,7 +1,10 @@
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from helpers import SF, docs
@@ -109,3 +112,37 @@ def test_copies_over_shards(spark):
     assert all(v == list(range(len(v))) for v in by_id.values())
     found = o.lookup(store, store.entries.select("doc_id", "copy")).collect()
     assert sorted(found, key=repr) == sorted(((r.doc_id, r.copy, r.shard, r.first, r.n_tokens) for r in entries), key=repr)
+
+
+def test_cache_is_released_when_all_texts_are_encoded(tmp_path):
+    o._coder(PATH, False).encode(["some words"])
+    assert o._CODERS
+    o._index_writer(str(tmp_path))((0,), pd.DataFrame({"doc_id": [1, 2], "copy": [0, 0], "shard": [0, 0], "first": [0, 3], "n_tokens": [3, 4]}))
+    assert not o._CODERS
+
+
+_HOLES = """
+import ctypes, re
+from pathlib import Path
+from pagewright.llm import textbatch as t
+
+def mb():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+t.claim("one")
+libc = ctypes.CDLL(None)
+libc.malloc.restype, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_void_p]
+held = [libc.malloc(100_000) for _ in range(2000)]
+for p in held:
+    ctypes.memset(p, 1, 100_000)
+for p in held[:-1]:  # the last one keeps the allocator from giving back what lies before it
+    libc.free(p)
+before = mb()
+t.claim("two")
+print(before - mb())
+"""
+
+
+def test_freed_memory_goes_back_between_operators():
+    got = subprocess.run([sys.executable, "-c", _HOLES], capture_output=True, text=True, timeout=60, check=True)
+    assert float(got.stdout.split()[-1]) > 150
